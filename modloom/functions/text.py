@@ -26,12 +26,16 @@ WORD = r"\p{L}\p{N}_"
 SPACE = r"[\s\p{Z}]"
 URL = rf"(?i)(?<![{WORD}])(?:https?://|www\.)[^\s\p{{Z}}]+"
 MENTION = rf"(?<![{WORD}])@[{WORD}]+"
-NON_ALNUM = r"[^\p{L}\p{N}]+"
-
-# Ranges of code points that NFKC keeps as they are, whatever stands before them.
-# A text made of these alone is already normalised; tests/test_text.py proves it.
-STABLE_RANGES = (
-    (0x0000, 0x009F),
+ALNUM = r"[\p{L}\p{N}]"
+# The ASCII ranges come first only because they are quicker to test.
+NON_ALNUM = r"[^a-z0-9\p{L}\p{N}]+"
+
+# Ranges of code points that cleaning keeps: visible or plain white space, and NFKC leaves them
+# alone whatever stands before them. tests/test_text.py proves it against the Unicode tables.
+QUIET_RANGES = (
+    (0x0009, 0x000A),
+    (0x000D, 0x000D),
+    (0x0020, 0x007E),
     (0x00A1, 0x00A7),
     (0x00BF, 0x0131),
     (0x014A, 0x017E),
@@ -64,7 +68,10 @@ def _regex_class(ranges: tuple[tuple[int, int], ...]) -> str:
     return "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in ranges)
 
 
-MAY_CHANGE = rf"&[#A-Za-z]|[^{_regex_class(STABLE_RANGES)}]"
+RESTLESS_ASCII = r"[^\t\n\r -~]"
+# The look-behind tests the character just found, so ASCII runs never meet the long class.
+RESTLESS = rf"{RESTLESS_ASCII}(?<![{_regex_class(QUIET_RANGES[3:])}])"
+ENTITY = "&[#A-Za-z]"
 
 
 @F.pandas_udf(T.StringType())
@@ -74,11 +81,18 @@ def _unescape_and_compose(texts: pd.Series) -> pd.Series:
     )
 
 
+def may_change(text: Column) -> Column:
+    """True where HTML entities, NFKC or invisible characters can matter; mostly false."""
+    ascii_only = F.length(text) == F.octet_length(text)
+    entity = F.contains(text, F.lit("&")) & text.rlike(ENTITY)
+    return entity | F.when(ascii_only, text.rlike(RESTLESS_ASCII)).otherwise(text.rlike(RESTLESS))
+
+
 def canonical_chars(text: Column) -> Column:
-    """HTML entities resolved, then Unicode NFKC."""
+    """HTML entities resolved, Unicode NFKC, then zero-width and control characters dropped."""
     # A when() around the UDF would not spare the call, a null argument does.
-    candidate = F.when(text.rlike(MAY_CHANGE), text)
-    return F.coalesce(_unescape_and_compose(candidate), text)
+    changed = _unescape_and_compose(F.when(may_change(text), text))
+    return F.coalesce(drop_invisible(changed), text)
 
 
 def drop_invisible(text: Column) -> Column:
@@ -86,11 +100,14 @@ def drop_invisible(text: Column) -> Column:
 
 
 def mask_urls(text: Column) -> Column:
-    return F.regexp_replace(text, URL, URL_TOKEN)
+    lowered = F.lower(text)
+    possible = F.contains(lowered, F.lit("://")) | F.contains(lowered, F.lit("www."))
+    return F.when(possible, F.regexp_replace(text, URL, URL_TOKEN)).otherwise(text)
 
 
 def mask_mentions(text: Column) -> Column:
-    return F.regexp_replace(text, MENTION, MENTION_TOKEN)
+    possible = F.contains(text, F.lit("@"))
+    return F.when(possible, F.regexp_replace(text, MENTION, MENTION_TOKEN)).otherwise(text)
 
 
 def collapse_repeats(text: Column, max_repeat: int = TEXT_RULES.max_repeat) -> Column:
@@ -104,8 +121,7 @@ def squeeze_spaces(text: Column) -> Column:
 
 
 def normalize_text(text: Column, max_repeat: int = TEXT_RULES.max_repeat) -> Column:
-    cleaned = drop_invisible(canonical_chars(text))
-    cleaned = mask_mentions(mask_urls(cleaned))
+    cleaned = mask_mentions(mask_urls(canonical_chars(text)))
     return squeeze_spaces(collapse_repeats(cleaned, max_repeat))
 
 
@@ -113,7 +129,7 @@ def text_hash(text: Column) -> Column:
     """sha1 of the lower-cased alphanumeric words, or of the text itself if it has none."""
     lowered = F.lower(text)
     key = F.trim(F.regexp_replace(lowered, NON_ALNUM, " "))
-    return F.sha1(F.when(key != "", key).otherwise(squeeze_ends(lowered)))
+    return F.sha1(F.when(lowered.rlike(ALNUM), key).otherwise(squeeze_ends(lowered)))
 
 
 def squeeze_ends(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modloom.domains import CLASS_NAMES, SOURCES
+from modloom.functions.counting import count_where
 from modloom.operators.groups import HOT_GROUP_ROWS, attach_groups, group_table, has_conflict, present
 
 
@@ -43,8 +44,8 @@ def duplicate_stats(df: DataFrame) -> DataFrame:
         F.coalesce(
             F.sum(F.when(F.col("is_duplicate"), F.col("group_size"))), F.lit(0)
         ).alias("duplicate_rows"),
-        F.count_if("is_duplicate").alias("duplicate_groups"),
-        F.count_if("label_conflict").alias("conflicting_groups"),
+        count_where("is_duplicate").alias("duplicate_groups"),
+        count_where("label_conflict").alias("conflicting_groups"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modloom.domains import CLASS_NAMES, IGNORE_ID, SEVERITY_NAMES, TARGET_NAMES
+from modloom.functions.counting import count_where
 from modloom.functions.scores import argmax, sigmoid, total
 
 TARGET_THRESHOLD = 0.5
@@ -30,13 +31,13 @@ def as_metrics(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
 def _confusion_counters(true: Column, predicted: Column, width: int) -> list[Column]:
     counters = [
         F.count(F.lit(1)).alias("rows"),
-        F.count_if(true == predicted).alias("right"),
+        count_where(true == predicted).alias("right"),
     ]
     for i in range(width):
         counters += [
-            F.count_if((true == i) & (predicted == i)).alias(f"tp{i}"),
-            F.count_if(predicted == i).alias(f"pred{i}"),
-            F.count_if(true == i).alias(f"true{i}"),
+            count_where((true == i) & (predicted == i)).alias(f"tp{i}"),
+            count_where(predicted == i).alias(f"pred{i}"),
+            count_where(true == i).alias(f"true{i}"),
         ]
     return counters
 
@@ -113,12 +114,12 @@ def target_metrics(df: DataFrame) -> DataFrame:
         *[(F.col("targets")[i].cast("int") == 1).alias(f"t{i}") for i in range(width)],
     )
     exact = reduce(lambda x, y: x & y, [F.col(f"p{i}") == F.col(f"t{i}") for i in range(width)])
-    counters = [F.count(F.lit(1)).alias("rows"), F.count_if(exact).alias("exact")]
+    counters = [F.count(F.lit(1)).alias("rows"), count_where(exact).alias("exact")]
     for i in range(width):
         counters += [
-            F.count_if(F.col(f"p{i}") & F.col(f"t{i}")).alias(f"tp{i}"),
-            F.count_if(f"p{i}").alias(f"pred{i}"),
-            F.count_if(f"t{i}").alias(f"true{i}"),
+            count_where(F.col(f"p{i}") & F.col(f"t{i}")).alias(f"tp{i}"),
+            count_where(f"p{i}").alias(f"pred{i}"),
+            count_where(f"t{i}").alias(f"true{i}"),
         ]
     metrics = {
         "val_num_target_rows": F.col("rows"),
@@ -177,7 +178,7 @@ def severity_confusion(df: DataFrame) -> DataFrame:
     width = len(SEVERITY_NAMES)
     counts = graded_rows(df).agg(
         *[
-            F.count_if((F.col("severity") == i) & (F.col("predicted") == j)).alias(f"c{i}{j}")
+            count_where((F.col("severity") == i) & (F.col("predicted") == j)).alias(f"c{i}{j}")
             for i in range(width)
             for j in range(width)
         ]
@@ -196,7 +197,7 @@ def severity_distance(df: DataFrame) -> DataFrame:
     """Wrong rows one level off and further off; no rows if nothing is wrong."""
     gap = F.abs(F.col("severity") - F.col("predicted"))
     counts = graded_rows(df).agg(
-        F.count_if(gap == 1).alias("adjacent"), F.count_if(gap > 1).alias("distant")
+        count_where(gap == 1).alias("adjacent"), count_where(gap > 1).alias("distant")
     )
     errors = F.col("adjacent") + F.col("distant")
     lines = [
@@ -239,8 +240,8 @@ def _target_scores(df: DataFrame, decimals: int) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum("positive").alias("positives"),
-            F.count_if(flat).alias("flat_predicted"),
-            F.count_if(flat & (F.col("positive") == 1)).alias("flat_hits"),
+            count_where(flat).alias("flat_predicted"),
+            count_where(flat & (F.col("positive") == 1)).alias("flat_hits"),
         )
     )
 

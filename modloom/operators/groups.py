@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modloom.domains import CLASS_NAMES, SOURCES
+from modloom.domains import CLASS_IDS, CLASS_NAMES, SOURCES
+from modloom.functions.counting import count_where
 
 # A group of this many rows may be worth spreading, and this many groups are spread at most.
 # The broadcast below therefore holds at most MAX_HOT_GROUPS rows of a few numbers each.
@@ -33,10 +34,12 @@ def group_table(df: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame:
     """
     pairs = strata(sources)
     counts = [
-        F.count_if((F.col("source") == source) & (F.col("label_name") == name)).alias(f"n{i}")
+        count_where((F.col("source") == source) & (F.col("label") == CLASS_IDS[name])).alias(f"n{i}")
         for i, (source, name) in enumerate(pairs)
     ]
-    table = df.groupBy("text_hash").agg(F.count(F.lit(1)).alias("group_size"), *counts)
+    # Joins on the key imply the same filter; naming it here lets them share the shuffle.
+    keyed = df.filter(F.col("text_hash").isNotNull())
+    table = keyed.groupBy("text_hash").agg(F.count(F.lit(1)).alias("group_size"), *counts)
     cells = [F.col(f"n{i}") for i in range(len(pairs))]
     known = reduce(lambda x, y: x + y, cells)
     return table.withColumn(

@@ -23,6 +23,7 @@ from modloom.domains import (
     SOURCE_COLUMNS,
     TARGET_COLUMNS,
 )
+from modloom.functions.counting import count_where
 from modloom.functions.text import add_text_columns, make_uid
 from modloom.operators.labels import holds, without_nan
 from modloom.rules import TEXT_RULES, TextRules
@@ -42,7 +43,7 @@ def split_labeled(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def check_binary(df: DataFrame, labels: Sequence[str] = FLAG_LABELS) -> DataFrame:
     binary = reduce(lambda x, y: x & y, [holds(F.col(name).isin(0, 1)) for name in labels])
-    return df.agg(F.count_if(~binary).alias("invalid_rows"))
+    return df.agg(count_where(~binary).alias("invalid_rows"))
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
@@ -65,9 +66,9 @@ def check_test_labels(texts: DataFrame, labels: DataFrame, key: str = "id") -> D
     )
     per_key = sides.groupBy(key).agg(F.sum("t").alias("t"), F.sum("l").alias("l"))
     return per_key.agg(
-        F.count_if(F.col("t") > 1).alias("repeated_texts"),
-        F.count_if(F.col("l") > 1).alias("repeated_labels"),
-        F.count_if((F.col("t") > 0) & (F.col("l") == 0)).alias("texts_without_labels"),
+        count_where(F.col("t") > 1).alias("repeated_texts"),
+        count_where(F.col("l") > 1).alias("repeated_labels"),
+        count_where((F.col("t") > 0) & (F.col("l") == 0)).alias("texts_without_labels"),
     )
 
 
@@ -98,6 +99,11 @@ def assemble_parts(
 # --- annotator source --------------------------------------------------------------------
 
 
+def _rating(rows: DataFrame, name: str) -> Column:
+    fractional = rows.schema[name].dataType.typeName() in ("float", "double")
+    return without_nan(F.col(name), "double") if fractional else F.col(name)
+
+
 def aggregate_annotators(rows: DataFrame, order: str | Column) -> DataFrame:
     """One row per comment: first text, mean ratings, OR of targets, number of annotators.
 
@@ -112,7 +118,7 @@ def aggregate_annotators(rows: DataFrame, order: str | Column) -> DataFrame:
         .agg(
             F.min_by("text", F.when(F.col("text").isNotNull(), ordering)).alias("text_raw"),
             *[
-                F.avg(without_nan(F.col(name), "double")).cast("float").alias(f"m_{name}")
+                F.avg(_rating(rows, name)).cast("float").alias(f"m_{name}")
                 for name in numeric
             ],
             F.count(F.lit(1)).cast("short").alias(COUNT_SIGNAL),

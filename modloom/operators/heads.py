@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modloom.domains import IGNORE_ID, TARGET_NAMES
+from modloom.functions.counting import count_where
 from modloom.functions.scores import linear_scores
 from modloom.operators.losses import class_weights
 from modloom.operators.tokens import word_tokens
@@ -139,8 +140,8 @@ def head_accuracy(df: DataFrame, models: dict) -> DataFrame:
     for name in models:
         right = F.col(f"{name}_prediction") == answers[name].cast("double")
         counters += [
-            F.count_if(masks[name]).alias(f"{name}_n"),
-            F.count_if(masks[name] & right).alias(f"{name}_right"),
+            count_where(masks[name]).alias(f"{name}_n"),
+            count_where(masks[name] & right).alias(f"{name}_right"),
         ]
     lines = [
         F.struct(

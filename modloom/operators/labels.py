@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from modloom.checks import need_columns
 from modloom.domains import CLASS_IDS, CLASS_NAMES, FALLBACK_CLASS
+from modloom.functions.counting import count_where
 from modloom.rules import LABEL_RULES, LabelRules, ScoreRule
 
 
@@ -89,7 +90,7 @@ def crosstab(
     One hash aggregate with a counter per value: a single shuffle of pre-aggregated rows.
     """
     return df.groupBy(*rows).agg(
-        *[F.count_if(F.col(column) == value).alias(value) for value in values]
+        *[count_where(F.col(column) == value).alias(value) for value in values]
     )
 
 
@@ -101,7 +102,7 @@ def domain_counts(df: DataFrame, column: str, values: Sequence[str]) -> DataFram
     """(name, position, n, total) for every value of the domain, absent ones with n = 0."""
     counts = df.agg(
         F.count(F.lit(1)).alias("total"),
-        *[F.count_if(F.col(column) == value).alias(f"n_{i}") for i, value in enumerate(values)],
+        *[count_where(F.col(column) == value).alias(f"n_{i}") for i, value in enumerate(values)],
     )
     cells = F.array(
         *[

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modloom.domains import CLASS_NAMES, IGNORE_ID, TARGET_NAMES
+from modloom.functions.counting import count_where
 from modloom.functions.scores import bce_with_logits, elements, expected_level, log_sum_exp, total
 
 # Fixed values of the training setup.
@@ -23,27 +24,23 @@ def _inverse_sqrt_weights(counts: list[Column]) -> list[Column]:
     return [weight * scale for weight in inverse]
 
 
-def _weight_rows(df: DataFrame, key: str, names: Sequence[str], counts: list[Column], weights):
+def _lines(df: DataFrame, key: str, names: Sequence[str], counts: list[Column]) -> DataFrame:
     cells = [
-        F.struct(F.lit(name).alias(key), n.alias("n"), w.alias("weight"))
-        for name, n, w in zip(names, counts, weights, strict=True)
+        F.struct(F.lit(name).alias(key), n.alias("n"), F.col("weights")[i].alias("weight"))
+        for i, (name, n) in enumerate(zip(names, counts, strict=True))
     ]
     return df.select(F.inline(F.array(*cells)))
 
 
-def class_weights(df: DataFrame) -> DataFrame:
-    """(label_name, n, weight) over the fixed classes."""
+def _class_row(df: DataFrame) -> DataFrame:
     counts = df.agg(
-        *[F.count_if(F.col("label") == i).alias(f"n{i}") for i in range(len(CLASS_NAMES))]
+        *[count_where(F.col("label") == i).alias(f"n{i}") for i in range(len(CLASS_NAMES))]
     )
     columns = [F.col(f"n{i}") for i in range(len(CLASS_NAMES))]
-    return _weight_rows(
-        counts, "label_name", CLASS_NAMES, columns, _inverse_sqrt_weights(columns)
-    )
+    return counts.withColumn("weights", F.array(*_inverse_sqrt_weights(columns)))
 
 
-def target_weights(df: DataFrame) -> DataFrame:
-    """(target, n, weight) over the positives of rows with targets; all 1 without such rows."""
+def _target_row(df: DataFrame) -> DataFrame:
     width = len(TARGET_NAMES)
     counts = df.filter("has_targets").agg(
         F.count(F.lit(1)).alias("rows"),
@@ -52,17 +49,34 @@ def target_weights(df: DataFrame) -> DataFrame:
             for i in range(width)
         ],
     )
-    columns = [F.col(f"n{i}") for i in range(width)]
-    weights = [
-        F.when(F.col("rows") > 0, weight).otherwise(1.0)
-        for weight in _inverse_sqrt_weights(columns)
-    ]
-    return _weight_rows(counts, "target", TARGET_NAMES, columns, weights)
+    weights = _inverse_sqrt_weights([F.col(f"n{i}") for i in range(width)])
+    usable = F.col("rows") > 0
+    return counts.withColumn(
+        "weights", F.array(*[F.when(usable, weight).otherwise(1.0) for weight in weights])
+    )
+
+
+def class_weights(df: DataFrame) -> DataFrame:
+    """(label_name, n, weight) over the fixed classes."""
+    counts = [F.col(f"n{i}") for i in range(len(CLASS_NAMES))]
+    return _lines(_class_row(df), "label_name", CLASS_NAMES, counts)
+
+
+def target_weights(df: DataFrame) -> DataFrame:
+    """(target, n, weight) over the positives of rows with targets; all 1 without such rows."""
+    counts = [F.col(f"n{i}") for i in range(len(TARGET_NAMES))]
+    return _lines(_target_row(df), "target", TARGET_NAMES, counts)
+
+
+def class_weight_vector(df: DataFrame) -> list[Column]:
+    """The class weights in id order, read from one scalar subquery."""
+    vector = _class_row(df).select("weights").scalar()
+    return [vector[i] for i in range(len(CLASS_NAMES))]
 
 
-def weight_vector(weights: DataFrame, key: str, names: Sequence[str]) -> list[Column]:
-    """Scalars: the weights of a weight table in domain order."""
-    return [weights.filter(F.col(key) == name).select("weight").scalar() for name in names]
+def target_weight_vector(df: DataFrame) -> list[Column]:
+    vector = _target_row(df).select("weights").scalar()
+    return [vector[i] for i in range(len(TARGET_NAMES))]
 
 
 def _literals(values: Sequence[float | Column] | None, width: int) -> list[Column]:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modloom.domains import CLASS_NAMES, IGNORE_ID
+from modloom.functions.counting import count_where
 from modloom.functions.keys import seeded_key
 from modloom.functions.scores import pad, round_up
 
@@ -75,7 +76,7 @@ def eval_sample(
 
 def neither_quota(df: DataFrame, ratio: float = MAX_NEITHER_RATIO) -> Column:
     """Scalar: ``ratio`` times the size of the largest harmful class, rounded down."""
-    sizes = [F.count_if(F.col("label") == i) for i in range(1, len(CLASS_NAMES))]
+    sizes = [count_where(F.col("label") == i) for i in range(1, len(CLASS_NAMES))]
     largest = df.agg(F.greatest(*sizes).alias("n")).select(
         F.floor(F.col("n") * F.lit(float(ratio))).alias("n")
     )

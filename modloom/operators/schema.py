@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modloom.domains import REQUIRED_COLUMNS, UNIFIED_SCHEMA
+from modloom.functions.counting import count_where
 
 
 def enforce_schema(df: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def validate_schema(df: DataFrame) -> DataFrame:
     if df.columns != UNIFIED_SCHEMA.names:
         raise ValueError("the columns differ from the unified schema")
     # First per uid, then over all: the uid shuffle carries counters only.
-    nulls = [F.count_if(F.col(name).isNull()).alias(f"null_{name}") for name in REQUIRED_COLUMNS]
+    nulls = [count_where(F.col(name).isNull()).alias(f"null_{name}") for name in REQUIRED_COLUMNS]
     per_uid = df.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), *nulls)
     return per_uid.agg(
         *[F.coalesce(F.sum(f"null_{name}"), F.lit(0)).alias(f"null_{name}") for name in REQUIRED_COLUMNS],

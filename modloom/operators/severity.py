@@ -18,6 +18,7 @@ from modloom.domains import (
     SEVERITY_IDS,
     SEVERITY_NAMES,
 )
+from modloom.functions.counting import count_where
 from modloom.operators.labels import any_of, crosstab, domain_counts, holds, meets, without_nan
 from modloom.operators.quantiles import exact_quantiles
 from modloom.rules import SEVERITY_RULES, LevelRule, SeverityRules
@@ -130,11 +131,11 @@ def severity_check(df: DataFrame, rules: SeverityRules = SEVERITY_RULES) -> Data
     """One row of violation counts: graded fallback rows, and levels below the minimum share."""
     harmful = is_harmful()
     counts = df.agg(
-        F.count_if(~harmful & (F.col("severity") != IGNORE_ID)).alias("neither_with_id"),
-        F.count_if(~harmful & (F.col("severity_name") != NO_SEVERITY)).alias("neither_with_name"),
-        F.count_if(harmful).alias("harmful"),
+        count_where(~harmful & (F.col("severity") != IGNORE_ID)).alias("neither_with_id"),
+        count_where(~harmful & (F.col("severity_name") != NO_SEVERITY)).alias("neither_with_name"),
+        count_where(harmful).alias("harmful"),
         *[
-            F.count_if(harmful & (F.col("severity_name") == name)).alias(name)
+            count_where(harmful & (F.col("severity_name") == name)).alias(name)
             for name in SEVERITY_NAMES
         ],
     )

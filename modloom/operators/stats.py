@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modloom.domains import CLASS_NAMES, SPLITS, TARGET_COLUMNS
+from modloom.functions.counting import count_where
 from modloom.operators.dedup import duplicate_stats
 from modloom.operators.labels import class_distribution, holds
 from modloom.operators.quantiles import exact_quantiles
@@ -31,7 +32,7 @@ def length_percentiles(df: DataFrame) -> DataFrame:
 
 def target_counts(df: DataFrame) -> DataFrame:
     """(target, n), most frequent first; null counts as false."""
-    counts = df.agg(*[F.count_if(holds(F.col(name))).alias(name) for name in TARGET_COLUMNS])
+    counts = df.agg(*[count_where(holds(F.col(name))).alias(name) for name in TARGET_COLUMNS])
     cells = [
         F.struct(F.lit(name).alias("target"), F.col(name).alias("n")) for name in TARGET_COLUMNS
     ]

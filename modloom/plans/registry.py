@@ -303,8 +303,8 @@ def severity_expected(spark: SparkSession, folder: str) -> DataFrame:
 
 def _loss_rows(spark: SparkSession, folder: str, by: tuple[str, ...] = ()) -> DataFrame:
     rows = views.predictions(spark, folder)
-    class_weight = losses.weight_vector(losses.class_weights(rows), "label_name", CLASS_NAMES)
-    target_weight = losses.weight_vector(losses.target_weights(rows), "target", TARGET_NAMES)
+    class_weight = losses.class_weight_vector(rows)
+    target_weight = losses.target_weight_vector(rows)
     batched = rows.withColumn("batch_id", F.floor(F.col("row_id") / sampling.BATCH_SIZE))
     return losses.loss_terms(batched, by, class_weight, target_weight)
 
