@@ -65,7 +65,9 @@ QUIET_RANGES = (
 
 
 def _regex_class(ranges: tuple[tuple[int, int], ...]) -> str:
-    return "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in ranges)
+    # As characters, not escapes: a look-behind sees code points above U+FFFF as one character
+    # only if the pattern itself contains such a character.
+    return "".join(f"{chr(low)}-{chr(high)}" for low, high in ranges)
 
 
 RESTLESS_ASCII = r"[^\t\n\r -~]"
