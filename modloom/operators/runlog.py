@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modloom.operators.evaluate import ratio
-
 LOSS_TERMS = ("total", "class", "severity", "target")
 # Fixed values of the training setup.
 LOG_EVERY = 10
@@ -116,11 +114,3 @@ def early_stop(
         F.max("epochs").alias("epochs_logged"),
         F.max("top").alias("best_metric"),
     )
-
-
-def targets_share(log: DataFrame) -> DataFrame:
-    """Rows with targets over rows, per run and epoch."""
-    sums = log.groupBy("run_id", "epoch").agg(
-        F.sum("target_rows").alias("t"), F.sum("rows").alias("r")
-    )
-    return sums.select("run_id", "epoch", ratio(F.col("t"), F.col("r")).alias("share"))
