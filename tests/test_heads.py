@@ -14,21 +14,20 @@ def test_mean_pool(spark):
     assert got == {"a": (2, [2.0, 4.0]), "b": (1, [5.0, 5.0])}
 
 
-def load_model():
-    def model(batch: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(batch["x"].to_list())
-        return pd.DataFrame(
-            {
-                "class_logits": list(np.repeat(x[:, :1], 4, axis=1).astype("float32")),
-                "severity_logits": list(np.repeat(x[:, 1:2], 4, axis=1).astype("float32")),
-                "target_logits": list(np.repeat(x.sum(axis=1)[:, None], 8, axis=1).astype("float32")),
-            }
-        )
-
-    return model
+def test_batched_scores(spark):
+    def load_model():
+        def model(batch: pd.DataFrame) -> pd.DataFrame:
+            x = np.stack(batch["x"].to_list())
+            return pd.DataFrame(
+                {
+                    "class_logits": list(np.repeat(x[:, :1], 4, axis=1).astype("float32")),
+                    "severity_logits": list(np.repeat(x[:, 1:2], 4, axis=1).astype("float32")),
+                    "target_logits": list(np.repeat(x.sum(axis=1)[:, None], 8, axis=1).astype("float32")),
+                }
+            )
 
+        return model
 
-def test_batched_scores(spark):
     df = spark.range(50).select("id", F.array(F.col("id") * 1.0, F.col("id") * 2.0).alias("x"))
     rows = M.score_batches(df.repartition(3), load_model).collect()
     assert sorted(r.id for r in rows) == list(range(50))
