@@ -69,9 +69,7 @@ def eval_sample(
     df: DataFrame, n: int = EVAL_ROWS, seed: int = SEED, row_id: str = "uid"
 ) -> DataFrame:
     """The first ``n`` rows with a severity in shuffled order."""
-    graded = df.filter(F.col("severity") != IGNORE_ID)
-    key = seeded_key(seed, F.col(row_id))
-    return graded.withColumn("key", key).orderBy("key").limit(n).drop("key")
+    return sample_rows(df.filter(F.col("severity") != IGNORE_ID), n, seed, row_id)
 
 
 def neither_quota(df: DataFrame, ratio: float = MAX_NEITHER_RATIO) -> Column:

@@ -52,18 +52,30 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+# Steps per doubling in the histogram of token counts; it has some thousand rows at most.
+COUNT_STEPS = 16
+
+
 def build_vocab(df: DataFrame, size: int = VOCAB_SIZE) -> DataFrame:
     """(token, n, token_id) of the ``size`` most frequent tokens, ties by name.
 
-    The cut is the feature: a vocabulary has a fixed size, so ranking it is bounded work.
+    The cut is the feature: a vocabulary has a fixed size, so ranking it is bounded work. A
+    histogram of the counts first tells which tokens are too rare to matter, so that only a
+    little more than ``size`` of them are sorted in one place, however many there are.
     """
     counts = (
         df.select(F.explode(word_tokens(F.lower("text"))).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("step", F.floor(F.log2("n") * COUNT_STEPS))
     )
+    steps = counts.groupBy("step").agg(F.count(F.lit(1)).alias("tokens"))
+    down = F.sum("tokens").over(Window.orderBy(F.desc("step")))
+    enough = steps.withColumn("upto", down).filter(F.col("upto") >= size)
+    lowest = enough.agg(F.max("step").alias("step")).scalar()
     order = [F.desc("n"), F.asc("token")]
-    top = counts.orderBy(*order).limit(size)
+    frequent = counts.filter(F.col("step") >= F.coalesce(lowest, F.lit(0)))
+    top = frequent.drop("step").orderBy(*order).limit(size)
     rank = F.row_number().over(Window.orderBy(*order))
     return top.withColumn("token_id", rank + FIRST_WORD_ID - 1)
 
