@@ -12,9 +12,10 @@ from modloom.domains import CLASS_IDS, CLASS_NAMES, SOURCES
 from modloom.functions.counting import count_where
 
 # A group of this many rows may be worth spreading, and this many groups are spread at most.
-# The broadcast below therefore holds at most MAX_HOT_GROUPS rows of a few numbers each.
+# The broadcast below therefore holds at most MAX_HOT_GROUPS keys with a few numbers each, some
+# 10 MB, and a group that is not spread has less than 1 / MAX_HOT_GROUPS of all rows.
 HOT_GROUP_ROWS = 10_000
-MAX_HOT_GROUPS = 1_000
+MAX_HOT_GROUPS = 50_000
 
 
 def strata(sources: Sequence[str] = SOURCES) -> list[tuple[str, str]]:

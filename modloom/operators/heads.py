@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,49 +82,62 @@ def features(df: DataFrame, size: int = 1 << 16) -> tuple[PipelineModel, DataFra
     return model, model.transform(words).drop("words", "tf")
 
 
-def head_rows(df: DataFrame) -> dict[str, tuple[DataFrame, Column]]:
-    """Per head its rows and its answer: each head learns from its own mask."""
-    with_targets = df.filter("has_targets")
+def head_masks() -> dict[str, tuple[Column, Column]]:
+    """Per head which rows it learns from, and its answer on them."""
     heads = {
-        "class": (df, F.col("label")),
-        "severity": (df.filter(F.col("severity") != IGNORE_ID), F.col("severity")),
+        "class": (F.lit(True), F.col("label")),
+        "severity": (F.col("severity") != IGNORE_ID, F.col("severity")),
     }
     for i, name in enumerate(TARGET_NAMES):
-        heads[f"target_{name}"] = (with_targets, F.col("targets")[i])
+        heads[f"target_{name}"] = (F.col("has_targets"), F.col("targets")[i])
     return heads
 
 
-def train_heads(df: DataFrame, max_iter: int = 10) -> dict[str, LogisticRegression]:
-    """One linear classifier per head on the column ``features``.
+def heads_with_choice(df: DataFrame) -> set[str]:
+    """Heads with two or more different answers, from one pass."""
+    ranges = []
+    for name, (mask, answer) in head_masks().items():
+        seen = F.when(mask, answer)
+        ranges.append((F.max(seen) > F.min(seen)).alias(name))
+    found = df.agg(*ranges).first()
+    return {name for name in head_masks() if found[name]}
+
+
+def train_heads(
+    df: DataFrame, max_iter: int = 10, parallelism: int = 4
+) -> dict[str, LogisticRegressionModel]:
+    """One linear classifier per head on the column ``features``; heads are fitted side by side.
 
     The class head weighs rows by inverse root class size. A head without rows, or with a single
     answer, gets no model.
     """
+    # Four rows, one per class.
     weights = F.broadcast(class_weights(df).select("label_name", "weight"))
-    models = {}
-    for name, (rows, answer) in head_rows(df).items():
-        data = rows.withColumn("answer", answer.cast("double"))
+
+    def fit(name: str) -> LogisticRegressionModel:
+        mask, answer = head_masks()[name]
+        data = df.filter(mask).withColumn("answer", answer.cast("double"))
         if name == "class":
-            # Four rows, one per class.
             data = data.join(weights, "label_name")
         else:
             data = data.withColumn("weight", F.lit(1.0))
-        if data.select("answer").distinct().limit(2).count() < 2:
-            continue
-        family = "multinomial" if name in ("class", "severity") else "binomial"
         learner = LogisticRegression(
             featuresCol="features",
             labelCol="answer",
             weightCol="weight",
-            family=family,
+            family="multinomial" if name in ("class", "severity") else "binomial",
             maxIter=max_iter,
             regParam=0.01,
             rawPredictionCol=f"{name}_raw",
             probabilityCol=f"{name}_probability",
             predictionCol=f"{name}_prediction",
         )
-        models[name] = learner.fit(data.select("features", "answer", "weight"))
-    return models
+        return learner.fit(data.select("features", "answer", "weight"))
+
+    usable = heads_with_choice(df)
+    names = [name for name in head_masks() if name in usable]
+    with ThreadPoolExecutor(parallelism) as pool:
+        return dict(zip(names, pool.map(inheritable_thread_target(fit), names), strict=True))
 
 
 def head_accuracy(df: DataFrame, models: dict) -> DataFrame:
@@ -130,18 +145,14 @@ def head_accuracy(df: DataFrame, models: dict) -> DataFrame:
     scored = df
     for model in models.values():
         scored = model.transform(scored)
-    graded = F.col("severity") != IGNORE_ID
-    masks = {"class": F.lit(True), "severity": graded}
-    answers = {"class": F.col("label"), "severity": F.col("severity")}
-    for i, name in enumerate(TARGET_NAMES):
-        masks[f"target_{name}"] = F.col("has_targets")
-        answers[f"target_{name}"] = F.col("targets")[i]
+    heads = head_masks()
     counters = []
     for name in models:
-        right = F.col(f"{name}_prediction") == answers[name].cast("double")
+        mask, answer = heads[name]
+        right = F.col(f"{name}_prediction") == answer.cast("double")
         counters += [
-            count_where(masks[name]).alias(f"{name}_n"),
-            count_where(masks[name] & right).alias(f"{name}_right"),
+            count_where(mask).alias(f"{name}_n"),
+            count_where(mask & right).alias(f"{name}_right"),
         ]
     lines = [
         F.struct(

@@ -47,11 +47,13 @@ def load_flags(
     """Checked and cleaned flag tables, written once. Inputs are functions that open a table."""
 
     def build() -> tuple[DataFrame, DataFrame]:
-        require(H.check_test_labels(texts(), labels()), "bad test labels")
-        test = H.join_test_labels(texts(), labels())
-        for part in (train(), test):
+        # Written once, so that the checks read single columns and not the CSV files again.
+        train_rows = cut_lineage(train(), "train")
+        text_rows, label_rows = cut_lineage(texts(), "texts"), cut_lineage(labels(), "labels")
+        require(H.check_test_labels(text_rows, label_rows), "bad test labels")
+        for part in (train_rows, label_rows):
             require(H.check_binary(H.split_labeled(part)[0]), "flags outside 0 and 1")
-        return flag_tables(train(), test, rules)
+        return flag_tables(train_rows, H.join_test_labels(text_rows, label_rows), rules)
 
     return materialize(spark, (labeled_path, unlabeled_path), build, force)
 

@@ -100,6 +100,18 @@ def source_profile(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return result
 
 
+def profile_flag_files(spark: SparkSession, train: str, test: str, labels: str) -> DataFrame:
+    """Rows and ids per file; an error if a file lacks a column it must have."""
+    files = {
+        "train": (train, TRAIN_COLUMNS),
+        "test": (test, TEST_COLUMNS),
+        "test_labels": (labels, TEST_LABEL_COLUMNS),
+    }
+    return source_profile(
+        {name: (read_flag_csv(spark, path, cols), "id") for name, (path, cols) in files.items()}
+    )
+
+
 RUN_LOG_SCHEMA = T.StructType(
     [
         T.StructField("run_id", T.LongType()),

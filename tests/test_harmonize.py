@@ -84,6 +84,11 @@ def test_missing_csv_column(spark, tmp_path):
     write_files(spark, tmp_path)
     with pytest.raises(KeyError):
         raw.read_flag_csv(spark, f"{tmp_path}/test", raw.TRAIN_COLUMNS)
+    paths = [f"{tmp_path}/{name}" for name in ("train", "test", "labels")]
+    profile = {r.source: (r.n_rows, r.n_keys) for r in raw.profile_flag_files(spark, *paths).collect()}
+    assert profile == {"train": (3, 3), "test": (4, 4), "test_labels": (4, 4)}
+    with pytest.raises(KeyError):
+        raw.profile_flag_files(spark, paths[1], paths[0], paths[2])
 
 
 def test_binary_check(spark):
@@ -98,8 +103,6 @@ def annotators(spark):
         + ", "
         + ", ".join(f"{n} boolean" for n in RAW_TARGETS)
     )
-    none = [None] * 6
-
     def row(key, order, text, score, insult, violence, race):
         ratings = [insult, 0, 0, violence, 0, 0, 0]
         return (key, order, text, score, *ratings, race, *([False] * 7))
@@ -111,7 +114,6 @@ def annotators(spark):
         row(2, 1, "ok", -2.0, 0, 4, False),
         row(None, 1, "lost", 0.0, 0, 0, False),
     ]
-    assert len(none) == 6
     return spark.createDataFrame(rows, schema)
 
 
