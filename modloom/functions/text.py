@@ -20,15 +20,22 @@ from modloom.rules import TEXT_RULES, TextRules
 # The masks and the removed code points.
 URL_TOKEN = "<url>"
 MENTION_TOKEN = "@user"
-INVISIBLE = r"[​‌‍⁠﻿\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
+INVISIBLE_CLASS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f​‌‍⁠﻿]"
 
 WORD = r"\p{L}\p{N}_"
 SPACE = r"[\s\p{Z}]"
 URL = rf"(?i)(?<![{WORD}])(?:https?://|www\.)[^\s\p{{Z}}]+"
 MENTION = rf"(?<![{WORD}])@[{WORD}]+"
 ALNUM = r"[\p{L}\p{N}]"
-# The ASCII ranges come first only because they are quicker to test.
-NON_ALNUM = r"[^a-z0-9\p{L}\p{N}]+"
+
+# The patterns below visit every character, so the first test is a short range that most ASCII
+# text fails; a look-behind then tests the character just found against the real class.
+RESTLESS_ASCII = r"[^\t\n\r -~]"
+INVISIBLE = rf"{RESTLESS_ASCII}(?<={INVISIBLE_CLASS})"
+# A single plain space stays as it is: putting a space in its place would only cost time.
+SPACES = rf" *[^ -~](?<={SPACE}){SPACE}*|  +"
+SYMBOL = r"[^a-z0-9\p{L}\p{N}]"
+NON_ALNUM = rf"[^a-z0-9 ](?<!{ALNUM}){SYMBOL}*| {SYMBOL}+"
 
 # Ranges of code points that cleaning keeps: visible or plain white space, and NFKC leaves them
 # alone whatever stands before them. tests/test_text.py proves it against the Unicode tables.
@@ -70,8 +77,6 @@ def _regex_class(ranges: tuple[tuple[int, int], ...]) -> str:
     return "".join(f"{chr(low)}-{chr(high)}" for low, high in ranges)
 
 
-RESTLESS_ASCII = r"[^\t\n\r -~]"
-# The look-behind tests the character just found, so ASCII runs never meet the long class.
 RESTLESS = rf"{RESTLESS_ASCII}(?<![{_regex_class(QUIET_RANGES[3:])}])"
 ENTITY = "&[#A-Za-z]"
 
@@ -119,7 +124,7 @@ def collapse_repeats(text: Column, max_repeat: int = TEXT_RULES.max_repeat) -> C
 
 
 def squeeze_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, rf"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
 def normalize_text(text: Column, max_repeat: int = TEXT_RULES.max_repeat) -> Column:
