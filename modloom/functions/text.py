@@ -20,7 +20,7 @@ from modloom.rules import TEXT_RULES, TextRules
 # The masks and the removed code points.
 URL_TOKEN = "<url>"
 MENTION_TOKEN = "@user"
-INVISIBLE_CLASS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f​‌‍⁠﻿]"
+INVISIBLE_CLASS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\u200b\u200c\u200d\u2060\ufeff]"
 
 WORD = r"\p{L}\p{N}_"
 SPACE = r"[\s\p{Z}]"

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 FULL_WIDTH = "ＦＵＬＬ"
-ZERO_WIDTH = "​"
+ZERO_WIDTH = "\u200b"
 
 RAW_FLAGS = f"""
 SELECT concat('d', CAST(b.doc_id AS STRING)) AS id,
