@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modloom.llm import licenses, mixing
+from modloom.llm import credentials, extraction, licenses, mixing, packing, simhash, toxicity
 from modloom.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,26 @@ def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(read(spark, folder, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_report(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read(spark, folder, "documents"))
+
+
+def op8_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicate_report(read(spark, folder, "documents"))
+
+
+def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extraction_report(read(spark, folder, "pages"))
+
+
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return credentials.secret_report(read(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         name: value
@@ -29,4 +49,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op2_source_mix": mixing.ORACLE}
+    return {
+        "op1_license_scan": licenses.oracle(),
+        "op2_source_mix": mixing.ORACLE,
+        "op10_secret_scan": credentials.oracle(),
+    }
