@@ -25,8 +25,8 @@ from modloom.llm.tables import cut_lineage, held_out, text_of
 BITS = 20
 #: Most labelled documents that training reads.
 MAX_ROWS = 20_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 0.5, 0.1
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
 #: Bytes of text that are hashed in one go; a longer text goes alone.
 CHUNK = 1 << 20
 
