@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modloom.llm import credentials, extraction, licenses, mixing, packing, simhash, toxicity
+from modloom.llm import (
+    covertree,
+    credentials,
+    extraction,
+    licenses,
+    mixing,
+    packing,
+    postings,
+    simhash,
+    toxicity,
+)
 from modloom.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,10 +34,18 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_report(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op5_cover_tree_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return covertree.near_duplicates(read(spark, folder, "embeddings"))
+
+
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"))
 
 
+def op7_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return postings.search(read(spark, folder, "embeddings"))
+
+
 def op8_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicate_report(read(spark, folder, "documents"))
 
@@ -52,5 +70,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": licenses.oracle(),
         "op2_source_mix": mixing.ORACLE,
+        "op5_cover_tree_dedup": covertree.ORACLE,
         "op10_secret_scan": credentials.oracle(),
     }
