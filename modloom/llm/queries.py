@@ -10,6 +10,7 @@ from modloom.llm import (
     covertree,
     credentials,
     extraction,
+    language,
     licenses,
     mixing,
     packing,
@@ -34,6 +35,10 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_report(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_report(read(spark, folder, "pages"), read(spark, folder, "documents"))
+
+
 def op5_cover_tree_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return covertree.near_duplicates(read(spark, folder, "embeddings"))
 
