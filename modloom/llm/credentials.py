@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modloom.llm.arrays import largest_before, let, spans
-from modloom.llm.tables import text_of
+from modloom.llm.tables import free_name, text_of
 
 # The base patterns, with either case spelled out.
 NAMES = (
@@ -184,17 +184,17 @@ def all_spans(text: Column) -> Column:
             _kind(text, "login", LOGIN, lambda s: F.lit(True), F.lit(True)),
             _kind(text, "weak", WEAK, _mixed(text), F.lit(True)),
         )
-        parts = let(base_spans(text), lambda base: F.when(
-            identifier, link(F.sort_array(F.concat(base, weak)))
-        ).otherwise(base))
-        return parts
+        return let(
+            base_spans(text),
+            lambda base: F.when(identifier, link(F.sort_array(F.concat(base, weak)))).otherwise(base),
+        )
 
     return let(text, of)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``secrets``: array<struct<start,kind,end>>, kind as a place in ``KINDS``."""
-    return docs.withColumn("secrets", all_spans(text_of()))
+def scan(docs: DataFrame, name: str = "secrets") -> DataFrame:
+    """``docs`` with ``name``: array<struct<start,kind,end>>, kind as a place in ``KINDS``."""
+    return docs.withColumn(name, all_spans(text_of()))
 
 
 def masked(text: Column, found: Column) -> Column:
@@ -222,14 +222,14 @@ def masked(text: Column, found: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets masked in ``text``; ``n_chars`` follows where it exists."""
-    found = scan(docs)
-    clean = found.withColumn(
-        "text", F.when(F.size("secrets") == 0, F.col("text")).otherwise(masked(F.col("text"), F.col("secrets")))
-    )
+    name = free_name(docs, "secrets")
+    clean = F.size(name) == 0
+    text = F.when(clean, F.col("text")).otherwise(masked(F.col("text"), F.col(name)))
+    found = scan(docs, name).withColumn("text", text)
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        clean = clean.withColumn("n_chars", F.when(F.size("secrets") == 0, F.col("n_chars")).otherwise(length))
-    return clean.select(*(f"`{c}`" for c in docs.columns))
+        found = found.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(length))
+    return found.drop(name)
 
 
 def secret_report(docs: DataFrame) -> DataFrame:

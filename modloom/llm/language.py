@@ -177,14 +177,17 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
         )
         return F.col("odds")[i] + F.log(prior) + F.log(said)
 
-    scored = joined.withColumn("logs", F.array(*(evidence(i) for i in range(n))))
-    top = F.array_max("logs")
-    mass = F.aggregate(F.transform("logs", lambda x: F.exp(x - top)), F.lit(0.0), lambda s, x: s + x)
+    # Value and place in one, so that neither is worked out twice; ties go to the first language.
+    ranked = F.array(*(F.struct(evidence(i).alias("log"), F.lit(-i).alias("nr")) for i in range(n)))
+    scored = joined.withColumn("ranked", ranked).withColumn("best", F.array_max("ranked"))
+    mass = F.aggregate(
+        F.transform("ranked", lambda x: F.exp(x["log"] - F.col("best.log"))), F.lit(0.0), lambda s, x: s + x
+    )
     return scored.withColumns(
         {
-            "language": names[F.array_position("logs", top).cast("int") - 1],
+            "language": F.get(names, -F.col("best.nr")),
             "confidence": 1.0 / mass,
-            "text_language": names[F.col("vote")],
+            "text_language": F.get(names, F.col("vote")),
         }
     )
 

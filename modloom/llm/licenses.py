@@ -49,8 +49,7 @@ FAMILIES = (
     ("bsd-2-clause", "bsd", r"(?:2|two)[- ]clause bsd(?: licen[sc]e)?|simplified bsd licen[sc]e", r"opensource\.org/licenses/bsd-2-clause", None),
     ("bsd-3-clause", "bsd", r"(?:3|three)[- ]clause bsd(?: licen[sc]e)?|(?:new|modified) bsd licen[sc]e", r"opensource\.org/licenses/bsd-3-clause", None),
     ("bsd-4-clause", "bsd", r"(?:4|four)[- ]clause bsd(?: licen[sc]e)?|original bsd licen[sc]e", None, None),
-    ("bsd", "bsd", r"(?:the )?bsd(?:-style)? licen[sc]e", None, None),
-    ("bsd-notice", "redistribut", r"bsd source terms", None, r"redistribution and use in source and binary forms, with or without modification"),
+    ("bsd", "bsd", r"(?:the )?bsd(?:-style)? licen[sc]e", None, r"redistribution and use in source and binary forms, with or without modification"),
     ("isc", "isc", r"isc licen[sc]e", r"opensource\.org/licenses/isc", r"permission to use, copy, modify, and/or distribute this software for any purpose"),
     ("mpl-1.1", "mozilla", r"mozilla public licen[sc]e" + V + r"1\.1", r"mozilla\.org/mpl/1\.1", None),
     ("mpl-2.0", "mozilla", r"mozilla public licen[sc]e(?:" + V + r"2(?:\.0)?)?", r"mozilla\.org/mpl/2\.0", r"subject to the terms of the mozilla public licen[sc]e"),
@@ -71,7 +70,7 @@ FAMILIES = (
     ("psf-2.0", "python", r"python (?:software foundation )?licen[sc]e(?:" + V + r"2(?:\.0)?)?", r"docs\.python\.org/[0-9/]*license", None),
     ("postgresql", "postgresql", r"postgresql licen[sc]e", r"opensource\.org/licenses/postgresql", None),
     ("ofl-1.1", "open font", r"sil open font licen[sc]e(?:" + V + r"1\.1)?", r"scripts\.sil\.org/ofl", None),
-    ("odbl-1.0", "open database", r"open (?:data commons open )?database licen[sc]e(?:" + V + r"1(?:\.0)?)?", r"opendatacommons\.org/licenses/odbl", None),
+    ("odbl-1.0", "database", r"open (?:data commons open )?database licen[sc]e(?:" + V + r"1(?:\.0)?)?", r"opendatacommons\.org/licenses/odbl", None),
     ("odc-by-1.0", "open data commons", r"open data commons attribution licen[sc]e(?:" + V + r"1(?:\.0)?)?", r"opendatacommons\.org/licenses/by", None),
     ("pddl-1.0", "public domain", r"public domain dedication and licen[sc]e(?:" + V + r"1(?:\.0)?)?", r"opendatacommons\.org/licenses/pddl", None),
     ("cc0-1.0", "cc0", r"cc0(?:[ -]1\.0)?(?: universal)?", r"creativecommons\.org/publicdomain/zero", r"waived all copyright and related or neighboring rights"),
@@ -88,7 +87,7 @@ FAMILIES = (
     ("cc-by", "attribution", r"creative commons attribution(?: (?:licen[sc]e|[1-4]\.0))?", None, None),
     ("cc-by-sa", "attribution", r"creative commons attribution[- ]share[- ]?alike(?: [1-4]\.0)?", None, None),
     ("cc-by-nc", "attribution", r"creative commons attribution[- ]non-?commercial(?: [1-4]\.0)?", None, None),
-    ("openrail", "openrail", r"(?:creativeml |bigscience )?open ?rail(?:-?[ms]{1,2})?(?: licen[sc]e)?", None, None),
+    ("openrail", "rail", r"(?:creativeml |bigscience )?open ?rail(?:-?[ms]{1,2})?(?: licen[sc]e)?", None, None),
     ("llama-community", "llama", r"llama [23](?:\.[0-9])? community licen[sc]e", r"ai\.meta\.com/llama/license", None),
     ("all-rights-reserved", "copyright", r"copyright (?:\(c\) )?[0-9]{4}[^\n]{0,60}all rights reserved", None, r"unauthorized (?:copying|reproduction) of this (?:file|work) is strictly prohibited"),
     ("proprietary", "licen", r"commercial licen[sc]e agreement|end[- ]user licen[sc]e agreement", None, r"this software is proprietary and confidential"),

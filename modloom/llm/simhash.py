@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modloom.llm.components import connected_components
-from modloom.llm.tables import cut_lineage, text_of
+from modloom.llm.tables import cut_lineage, free_name, text_of
 
 SHINGLE = 4
 SEED = 42
@@ -322,17 +322,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     id keep one row, too. Texts are shuffled once, to meet the kept ids.
     """
     names = docs.columns
+    key = free_name(docs, "kept_id")
     found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = cut_lineage(
-        found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("doc_id", "kept_id"),
-        "simhash-kept",
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    repeated = kept.filter("n > 1")
+    kept = cut_lineage(found.groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("n")), "simhash-kept")
+    once, repeated = (kept.filter(x).select(key) for x in ("n = 1", "n > 1"))
+    same = F.col("doc_id").eqNullSafe(F.col(key))
     if repeated.isEmpty():
-        return docs.join(kept, same, "left_semi")
+        return docs.join(once, same, "left_semi")
     rest = F.min(F.struct(*(F.col(f"`{c}`") for c in names if c != "doc_id"))).alias("rest")
     one = docs.join(repeated, same, "left_semi").groupBy("doc_id").agg(rest)
-    return docs.join(kept.filter("n = 1"), same, "left_semi").unionByName(
+    return docs.join(once, same, "left_semi").unionByName(
         one.select(*(F.col("doc_id") if c == "doc_id" else F.col("rest")[c].alias(c) for c in names))
     )

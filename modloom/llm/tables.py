@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from modloom.sources.storage import cut_lineage
 
-__all__ = ["cut_lineage", "held_out", "read", "text_of"]
+__all__ = ["cut_lineage", "free_name", "held_out", "read", "text_of"]
 
 FOLDS = 5
 
@@ -16,6 +16,14 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str = "text") -> Column:
     """The text, with null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

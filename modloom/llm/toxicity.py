@@ -7,7 +7,7 @@ reads each whole text once and shuffles nothing.
 
 Defined results: null and empty texts have no features and get the score of the bias; labels
 other than 0 and 1, null ids and repeated label rows for one id (the largest label counts) are
-handled; without any label every score is 0.5.
+handled; without any label every score is next to 0.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modloom.llm.tables import cut_lineage, held_out, text_of
+from modloom.llm.tables import cut_lineage, free_name, held_out, text_of
 
 BITS = 20
 #: Most labelled documents that training reads.
 MAX_ROWS = 20_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
+#: Log odds of every text where there is nothing to learn from.
+NO_LABELS = -30.0
 #: Bytes of text that are hashed in one go; a longer text goes alone.
 CHUNK = 1 << 20
 
@@ -219,9 +221,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS) -> dict[int,
     return {row.feature: row.weight for row in learned}
 
 
-def with_score(docs: DataFrame, model: dict[int, float]) -> DataFrame:
-    """``docs`` with ``toxic_score``. The model has at most 2**BITS + 1 entries."""
-    bias = model.get(-1, 0.0)
+def with_score(docs: DataFrame, model: dict[int, float], name: str = "toxic_score") -> DataFrame:
+    """``docs`` with the score as ``name``. The model has at most 2**BITS + 1 entries."""
+    bias = model.get(-1, NO_LABELS)
     kept = sorted(k for k in model if k >= 0)
     values = np.array([model[k] for k in kept])
     shared = docs.sparkSession.sparkContext.broadcast((np.array(kept, np.int64), values))
@@ -234,7 +236,7 @@ def with_score(docs: DataFrame, model: dict[int, float]) -> DataFrame:
             yield pd.Series(scores(texts, weights, bias))
 
     made = F.pandas_udf(score, "double")
-    return docs.withColumn("toxic_score", made(text_of()))
+    return docs.withColumn(name, made(text_of()))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -250,4 +252,5 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, model: dict[int, float]) -> DataFrame:
     """``docs`` without those that the model calls toxic; columns stay."""
-    return with_score(docs, model).filter("toxic_score < 0.5").select(*(f"`{c}`" for c in docs.columns))
+    name = free_name(docs, "toxic_score")
+    return with_score(docs, model, name).filter(F.col(name) < 0.5).drop(name)
