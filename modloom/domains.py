@@ -61,6 +61,7 @@ def _field(name: str, kind: T.DataType) -> T.StructField:
     return T.StructField(name, kind, True)
 
 
+# Both counters are LONG: one comment or text may hold a third of all rows.
 UNIFIED_SCHEMA = T.StructType(
     [
         *(_field(name, T.StringType()) for name in SOURCE_COLUMNS if name != "is_short"),
@@ -69,11 +70,11 @@ UNIFIED_SCHEMA = T.StructType(
         _field("label_name", T.StringType()),
         _field("split", T.StringType()),
         _field("is_duplicate", T.BooleanType()),
-        _field("dup_group_size", T.IntegerType()),
+        _field("dup_group_size", T.LongType()),
         _field("label_conflict", T.BooleanType()),
         *(_field(name, T.ByteType()) for name in FLAG_SIGNALS),
         *(_field(name, T.FloatType()) for name in MEAN_SIGNALS),
-        _field(COUNT_SIGNAL, T.ShortType()),
+        _field(COUNT_SIGNAL, T.LongType()),
         *(_field(name, T.BooleanType()) for name in TARGET_COLUMNS),
     ]
 )

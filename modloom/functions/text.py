@@ -139,7 +139,9 @@ def text_hash(text: Column) -> Column:
 
 
 def squeeze_ends(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    """White space off both ends, by two anchored patterns, which look at no inner white space."""
+    ahead = F.regexp_replace(text, rf"^{SPACE}+", "")
+    return F.reverse(F.regexp_replace(F.reverse(ahead), rf"^{SPACE}+", ""))
 
 
 def make_uid(source: Column | str, source_id: Column) -> Column:

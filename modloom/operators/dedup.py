@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from modloom.domains import CLASS_NAMES, SOURCES
 from modloom.functions.counting import count_where
 from modloom.operators.groups import HOT_GROUP_ROWS, attach_groups, group_table, has_conflict, present
+from modloom.sources.storage import cut_lineage
 
 
 def with_flags(groups: DataFrame) -> DataFrame:
@@ -15,7 +16,7 @@ def with_flags(groups: DataFrame) -> DataFrame:
     return groups.withColumns(
         {
             "is_duplicate": size > 1,
-            "dup_group_size": size.cast("int"),
+            "dup_group_size": size,
             "label_conflict": has_conflict(),
         }
     )
@@ -25,13 +26,16 @@ def add_duplicate_flags(df: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFr
     """Adds is_duplicate, dup_group_size and label_conflict per text_hash."""
     # Only groups of two or more take part in the join; the rest get the defaults.
     repeated = with_flags(group_table(df)).filter(F.col("group_size") > 1)
+    repeated = cut_lineage(
+        repeated.select("text_hash", "group_size", "dup_group_size", "label_conflict"), "repeated"
+    )
     joined = attach_groups(
         df, repeated, ["dup_group_size", "label_conflict"], "group_size", hot_rows=hot_rows
     )
     return joined.withColumns(
         {
             "is_duplicate": F.col("dup_group_size").isNotNull(),
-            "dup_group_size": F.coalesce(F.col("dup_group_size"), F.lit(1)),
+            "dup_group_size": F.coalesce(F.col("dup_group_size"), F.lit(1).cast("long")),
             "label_conflict": F.coalesce(F.col("label_conflict"), F.lit(False)),
         }
     )

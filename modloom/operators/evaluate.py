@@ -213,30 +213,38 @@ def severity_distance(df: DataFrame) -> DataFrame:
 
 # --- thresholds --------------------------------------------------------------------------
 
-# Score slices per target; a slice table has at most 8 x 1025 rows.
-SLICES = 1024
-# Scores are compared at this many decimals, about the resolution of a 32-bit probability.
-DECIMALS = 6
+# Slices per doubling of a logit's distance from zero. A slice table has at most 8 x 9,000 rows,
+# for logits from one thousandth to the largest float.
+SLICES = 32
 
 
-def _target_scores(df: DataFrame, decimals: int) -> DataFrame:
-    """Distinct scores per target with their rows, positives, and hits at the flat threshold."""
+def logit_slice(logit: Column) -> Column:
+    """A whole number that never falls as the logit grows, with fine steps at every scale."""
+    return F.floor(F.signum(logit) * F.log2(1 + F.abs(logit) * 1024) * SLICES).cast("int")
+
+
+def _target_scores(df: DataFrame) -> DataFrame:
+    """Distinct logits per target with their rows, positives, and hits at the flat threshold.
+
+    The sigmoid is monotonic, so the curve over the raw logits is the curve over the scores,
+    without any rounding.
+    """
     width = len(TARGET_NAMES)
     cells = F.array(
         *[
             F.struct(
                 F.lit(i).alias("target_id"),
-                sigmoid(F.col("target_logits")[i].cast("double")).alias("raw"),
+                F.col("target_logits")[i].alias("logit"),
                 (F.col("targets")[i] > 0).cast("int").alias("positive"),
             )
             for i in range(width)
         ]
     )
-    flat = F.col("raw") >= TARGET_THRESHOLD
+    flat = sigmoid(F.col("logit").cast("double")) >= TARGET_THRESHOLD
     return (
         df.filter("has_targets")
         .select(F.inline(cells))
-        .groupBy("target_id", F.round("raw", decimals).alias("score"))
+        .groupBy("target_id", "logit")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum("positive").alias("positives"),
@@ -246,15 +254,14 @@ def _target_scores(df: DataFrame, decimals: int) -> DataFrame:
     )
 
 
-def threshold_table(df: DataFrame, decimals: int = DECIMALS) -> DataFrame:
+def threshold_table(df: DataFrame) -> DataFrame:
     """Per target: positives, F1 at 0.5, best threshold and its F1; the lowest one on a tie.
 
-    The running counts from the highest score down are slice totals plus a running count inside
-    the slice, so no window spans a whole target.
+    A threshold is the sigmoid of an observed logit, in double precision. The running counts from
+    the highest logit down are slice totals plus a running count inside the slice, so no window
+    spans a whole target.
     """
-    scores = _target_scores(df, decimals).withColumn(
-        "slice", F.floor(F.col("score") * SLICES).cast("int")
-    )
+    scores = _target_scores(df).withColumn("slice", logit_slice(F.col("logit").cast("double")))
     slices = scores.groupBy("target_id", "slice").agg(
         *[
             F.sum(name).alias(name)
@@ -276,10 +283,10 @@ def threshold_table(df: DataFrame, decimals: int = DECIMALS) -> DataFrame:
         F.sum("flat_predicted").over(whole).alias("all_flat_predicted"),
         F.sum("flat_hits").over(whole).alias("all_flat_hits"),
     )
-    down = Window.partitionBy("target_id", "slice").orderBy(F.desc("score"))
+    down = Window.partitionBy("target_id", "slice").orderBy(F.desc("logit"))
     curve = scores.join(F.broadcast(offsets), ["target_id", "slice"]).select(
         "target_id",
-        "score",
+        "logit",
         "all_positives",
         "all_flat_predicted",
         "all_flat_hits",
@@ -288,7 +295,7 @@ def threshold_table(df: DataFrame, decimals: int = DECIMALS) -> DataFrame:
     )
     f1 = ratio(2 * F.col("hits"), F.col("predicted") + F.col("all_positives"))
     best = curve.groupBy("target_id").agg(
-        F.max(F.struct(f1.alias("f1"), (-F.col("score")).alias("below"))).alias("best"),
+        F.max(F.struct(f1.alias("f1"), (-F.col("logit")).alias("below"))).alias("best"),
         F.max("all_positives").alias("positives"),
         F.max("all_flat_predicted").alias("flat_predicted"),
         F.max("all_flat_hits").alias("flat_hits"),
@@ -309,10 +316,10 @@ def threshold_table(df: DataFrame, decimals: int = DECIMALS) -> DataFrame:
         )
         .otherwise(0.0)
         .alias("flat_f1"),
-        F.when(usable, -F.col("best.below")).otherwise(0.5).alias("best_threshold"),
+        F.when(usable, sigmoid((-F.col("best.below")).cast("double"))).otherwise(0.5).alias("best_threshold"),
         F.when(usable, F.col("best.f1")).otherwise(0.0).alias("best_f1"),
     )
 
 
-def best_threshold(df: DataFrame, decimals: int = DECIMALS) -> DataFrame:
-    return threshold_table(df, decimals).select("target", "best_threshold", "best_f1")
+def best_threshold(df: DataFrame) -> DataFrame:
+    return threshold_table(df).select("target", "best_threshold", "best_f1")

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from modloom.domains import CLASS_IDS, CLASS_NAMES, SOURCES
 from modloom.functions.counting import count_where
 
-# A group of this many rows may be worth spreading, and this many groups are spread at most.
-# The broadcast below therefore holds at most MAX_HOT_GROUPS keys with a few numbers each, some
-# 10 MB, and a group that is not spread has less than 1 / MAX_HOT_GROUPS of all rows.
+# A group is spread if it has this many rows and at least 1 / HOT_SHARES of all. So at most
+# HOT_SHARES groups are spread, and the broadcast below holds at most that many keys with a few
+# numbers each, some 10 MB.
 HOT_GROUP_ROWS = 10_000
-MAX_HOT_GROUPS = 50_000
+HOT_SHARES = 50_000
 
 
 def strata(sources: Sequence[str] = SOURCES) -> list[tuple[str, str]]:
@@ -83,17 +83,14 @@ def attach_groups(
 ) -> DataFrame:
     """LEFT JOIN ``columns`` of ``groups`` (unique ``key``) to ``rows`` without hot partitions.
 
-    Rows of a hot group take their values from a broadcast of the largest groups, and are then
+    Rows of a hot group take their values from a broadcast of the hot groups, and are then
     spread over the shuffle by ``spread`` instead of meeting in one partition. Everything else
     is an ordinary shuffled join. Which groups count as hot decides the speed, not the result.
+    ``groups`` is read three times: pass a written table.
     """
-    hot = (
-        groups.filter(F.col(size) >= hot_rows)
-        .orderBy(F.col(size).desc(), F.col(key))
-        .limit(MAX_HOT_GROUPS)
-        .select(
-            F.col(key).alias("hot_key"), *[F.col(name).alias(f"hot_{name}") for name in columns]
-        )
+    share = groups.agg(F.ceil(F.sum(size) / HOT_SHARES)).scalar()
+    hot = groups.filter(F.col(size) >= F.greatest(F.lit(hot_rows).cast("long"), share)).select(
+        F.col(key).alias("hot_key"), *[F.col(name).alias(f"hot_{name}") for name in columns]
     )
     cold = groups.select(
         F.col(key).alias("cold_key"), *[F.col(name).alias(f"cold_{name}") for name in columns]

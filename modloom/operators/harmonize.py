@@ -121,7 +121,7 @@ def aggregate_annotators(rows: DataFrame, order: str | Column) -> DataFrame:
                 F.avg(_rating(rows, name)).cast("float").alias(f"m_{name}")
                 for name in numeric
             ],
-            F.count(F.lit(1)).cast("short").alias(COUNT_SIGNAL),
+            F.count(F.lit(1)).alias(COUNT_SIGNAL),
             *[
                 F.max(raw).alias(signal)
                 for raw, signal in zip(RAW_TARGETS, TARGET_COLUMNS, strict=True)

@@ -17,6 +17,7 @@ from modloom.domains import IGNORE_ID, TARGET_NAMES
 from modloom.functions.counting import count_where
 from modloom.functions.scores import linear_scores
 from modloom.operators.losses import class_weights
+from modloom.operators.sampling import epoch_resample, sample_rows
 from modloom.operators.tokens import word_tokens
 
 SCORE_SCHEMA = (
@@ -69,8 +70,14 @@ def score_batches(
     return df.mapInPandas(score, schema)
 
 
-def features(df: DataFrame, size: int = 1 << 16) -> tuple[PipelineModel, DataFrame]:
-    """Hashed word frequencies with inverse document frequency."""
+# Rows that the heads are fitted on at most, an exact sample of the training split.
+MAX_FIT_ROWS = 20_000
+
+
+def features(
+    df: DataFrame, size: int = 1 << 16, fit_on: str = "split = 'train'"
+) -> tuple[PipelineModel, DataFrame]:
+    """Hashed word frequencies, weighed by inverse document frequency in the rows ``fit_on``."""
     words = df.withColumn("words", word_tokens(F.lower("text")))
     pipeline = Pipeline(
         stages=[
@@ -78,7 +85,7 @@ def features(df: DataFrame, size: int = 1 << 16) -> tuple[PipelineModel, DataFra
             IDF(inputCol="tf", outputCol="features"),
         ]
     )
-    model = pipeline.fit(words)
+    model = pipeline.fit(words.filter(fit_on))
     return model, model.transform(words).drop("words", "tf")
 
 
@@ -104,15 +111,17 @@ def heads_with_choice(df: DataFrame) -> set[str]:
 
 
 def train_heads(
-    df: DataFrame, max_iter: int = 10, parallelism: int = 4
+    df: DataFrame, max_iter: int = 10, parallelism: int = 4, max_fit_rows: int = MAX_FIT_ROWS
 ) -> dict[str, LogisticRegressionModel]:
     """One linear classifier per head on the column ``features``; heads are fitted side by side.
 
-    The class head weighs rows by inverse root class size. A head without rows, or with a single
-    answer, gets no model.
+    ``df`` is the training split, of which at most ``max_fit_rows`` rows are read, an exact
+    sample. The class head weighs rows by the inverse root class size of the resampled first
+    epoch. A head without rows, or with a single answer, gets no model.
     """
     # Four rows, one per class.
-    weights = F.broadcast(class_weights(df).select("label_name", "weight"))
+    weights = F.broadcast(class_weights(epoch_resample(df, 0)).select("label_name", "weight"))
+    df = sample_rows(df, max_fit_rows)
 
     def fit(name: str) -> LogisticRegressionModel:
         mask, answer = head_masks()[name]
@@ -163,3 +172,15 @@ def head_accuracy(df: DataFrame, models: dict) -> DataFrame:
         for name in models
     ]
     return scored.agg(*counters).select(F.inline(F.array(*lines)))
+
+
+def head_rows(train: DataFrame, val: DataFrame) -> DataFrame:
+    """(head, n_train, n_val): the rows each head learns from and is tested on."""
+    sides = []
+    for name, df in (("n_train", train), ("n_val", val)):
+        counts = [count_where(mask).alias(head) for head, (mask, _) in head_masks().items()]
+        lines = [
+            F.struct(F.lit(head).alias("head"), F.col(head).alias(name)) for head in head_masks()
+        ]
+        sides.append(df.agg(*counts).select(F.inline(F.array(*lines))))
+    return sides[0].join(sides[1], "head")

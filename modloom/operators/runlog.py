@@ -5,7 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from modloom.domains import TARGET_NAMES
+
 LOSS_TERMS = ("total", "class", "severity", "target")
+# The names of the metrics that an evaluation logs.
+EVAL_METRICS = (
+    "val_accuracy_class",
+    "val_macro_f1_class",
+    "val_weighted_f1_class",
+    "val_accuracy_severity",
+    "val_macro_f1_severity",
+    "val_num_severity_rows",
+    "val_num_target_rows",
+    "val_macro_f1_target",
+    "val_macro_precision_target",
+    "val_macro_recall_target",
+    "val_subset_accuracy_target",
+    *(f"val_{kind}_target_{name}" for name in TARGET_NAMES for kind in ("precision", "recall", "f1")),
+)
 # Fixed values of the training setup.
 LOG_EVERY = 10
 PATIENCE = 2
@@ -37,7 +54,13 @@ def epoch_means(log: DataFrame) -> DataFrame:
 def evaluations(log: DataFrame, metric: str = SELECTION_METRIC) -> DataFrame:
     """Evaluations inside an epoch and the one that closes it."""
     return log.filter(F.col("event").isin("eval", "epoch")).select(
-        "run_id", "epoch", "step", F.col(metric).alias("value")
+        "run_id",
+        "epoch",
+        "step",
+        "event",
+        # the evaluation that closes an epoch comes after one at the same step
+        (F.col("event") == "epoch").cast("int").alias("event_rank"),
+        F.col(metric).alias("value"),
     )
 
 
@@ -59,7 +82,7 @@ def best_so_far(
     before_slice = slices.withColumn("before_slice", F.max("top").over(earlier)).drop("top")
     inside = (
         Window.partitionBy("run_id", "epoch", "slice")
-        .orderBy("step")
+        .orderBy("step", "event_rank")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     # The window runs first: the join on its own keys then reuses its shuffle.
@@ -70,6 +93,7 @@ def best_so_far(
         "run_id",
         "epoch",
         "step",
+        "event",
         "value",
         previous.alias("previous_best"),
         (previous.isNull() | (F.col("value") > previous)).alias("improved"),

@@ -6,38 +6,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modloom.domains import SPLITS
-from modloom.functions.keys import hash_number, seeded_key
+from modloom.functions.keys import seeded_key
 from modloom.operators.dedup import with_flags
 from modloom.operators.groups import HOT_GROUP_ROWS, attach_groups, dominant_stratum, group_table
 from modloom.operators.labels import crosstab, domain_counts
 from modloom.rules import SPLIT_RULES, SplitRules
+from modloom.sources.storage import cut_lineage
 
-# Groups that are dealt out together; bounds the sort of one window partition.
-GROUPS_PER_BUCKET = 100_000
+# Hex digits of the deal key that name a slice of a stratum's size class.
+SLICE_DIGITS = 3
 
 
-def fold_groups(
-    groups: DataFrame, rules: SplitRules = SPLIT_RULES, per_bucket: int = GROUPS_PER_BUCKET
-) -> DataFrame:
+def fold_groups(groups: DataFrame, rules: SplitRules = SPLIT_RULES) -> DataFrame:
     """Adds ``fold`` to a group table.
 
-    Within a stratum the groups are dealt to the folds in turn, largest first, so every fold
-    gets the same share of each source and class. Buckets of a seeded hash keep the deal
-    parallel however many groups there are.
+    Within a stratum the groups are dealt to the folds in turn, larger size classes (powers of
+    two) first and by a seeded hash inside a class, so every fold gets the same share of each
+    source and class. A group's turn is the number of groups in earlier slices of the stratum
+    plus its rank in its own slice. So no window spans a stratum, and no fold depends on how the
+    table was cut or on its size.
     """
-    buckets = groups.agg(
-        F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / per_bucket)).cast("long")
-    ).scalar()
     keyed = groups.withColumns(
         {
             "stratum": dominant_stratum(),
+            "size_class": F.length(F.bin("group_size")),
             "deal_key": seeded_key(rules.seed, F.col("text_hash")),
         }
-    ).withColumn("bucket", F.pmod(hash_number(F.col("deal_key")), buckets))
-    turn = Window.partitionBy("stratum", "bucket").orderBy(F.desc("group_size"), "deal_key")
-    position = F.row_number().over(turn) - 1 + F.col("bucket") + F.col("stratum")
-    return keyed.withColumn("fold", F.pmod(position, F.lit(rules.folds)).cast("int")).drop(
-        "stratum", "deal_key", "bucket"
+    ).withColumn("slice", F.substring("deal_key", 1, SLICE_DIGITS))
+    slice_key = ["stratum", "size_class", "slice"]
+    earlier = (
+        Window.partitionBy("stratum")
+        .orderBy(F.desc("size_class"), "slice")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = keyed.groupBy(*slice_key).agg(F.count(F.lit(1)).alias("n"))
+    offsets = offsets.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    turn = F.row_number().over(Window.partitionBy(*slice_key).orderBy("deal_key")) - 1
+    position = F.col("before") + F.col("turn") + F.col("stratum")
+    dealt = keyed.withColumn("turn", turn).join(offsets, slice_key)
+    return dealt.withColumn("fold", F.pmod(position, F.lit(rules.folds)).cast("int")).drop(
+        *slice_key, "deal_key", "before", "turn"
     )
 
 
@@ -53,25 +61,25 @@ def fold_to_split(fold: Column, rules: SplitRules = SPLIT_RULES) -> Column:
 def assign_split(
     df: DataFrame, rules: SplitRules = SPLIT_RULES, hot_rows: int = HOT_GROUP_ROWS
 ) -> DataFrame:
-    """Adds ``split`` by text_hash."""
-    folded = fold_groups(group_table(df), rules)
-    joined = attach_groups(df, folded, ["fold"], "group_size", hot_rows=hot_rows)
+    """Adds ``split`` by text_hash. The folds of the groups are written before the join."""
+    folded = fold_groups(group_table(df), rules).select("text_hash", "group_size", "fold")
+    joined = attach_groups(
+        df, cut_lineage(folded, "folds"), ["fold"], "group_size", hot_rows=hot_rows
+    )
     return joined.withColumn("split", fold_to_split(F.col("fold"), rules)).drop("fold")
 
 
 def add_groups_and_split(
-    df: DataFrame,
-    groups: DataFrame,
-    rules: SplitRules = SPLIT_RULES,
-    hot_rows: int = HOT_GROUP_ROWS,
+    df: DataFrame, rules: SplitRules = SPLIT_RULES, hot_rows: int = HOT_GROUP_ROWS
 ) -> DataFrame:
-    """Duplicate flags and split from one group table and one join.
-
-    ``groups`` is read by both sides of that join: pass a written ``group_table`` for big data.
-    """
-    prepared = fold_groups(with_flags(groups), rules)
+    """Duplicate flags and split from one group table, written once, and one join."""
     columns = ["is_duplicate", "dup_group_size", "label_conflict", "fold"]
-    joined = attach_groups(df, prepared, columns, "group_size", hot_rows=hot_rows)
+    prepared = fold_groups(with_flags(group_table(df)), rules).select(
+        "text_hash", "group_size", *columns
+    )
+    joined = attach_groups(
+        df, cut_lineage(prepared, "groups"), columns, "group_size", hot_rows=hot_rows
+    )
     return joined.withColumn("split", fold_to_split(F.col("fold"), rules)).drop("fold")
 
 

@@ -9,18 +9,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modloom.domains import TARGET_COLUMNS
-from modloom.functions.text import SPACE, WORD
+from modloom.functions.text import WORD
+from modloom.sources.storage import cut_lineage
 
 # Special ids and the sequence limit.
 START_ID, PAD_ID, END_ID, UNKNOWN_ID = 0, 1, 2, 3
 FIRST_WORD_ID = 4
 MAX_LENGTH = 128
-VOCAB_SIZE = 30_000
-# A vocabulary up to this size is broadcast; a larger one is joined by a shuffle.
+# A vocabulary up to this size is broadcast; of a larger one, this many entries.
 MAX_BROADCAST_VOCAB = 250_000
 
 TOKEN = rf"[{WORD}]+|[^{WORD}\s\p{{Z}}]"
 
+# The columns of a training row.
 KEEP_COLUMNS = (
     "input_ids",
     "attention_mask",
@@ -52,32 +53,30 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-# Steps per doubling in the histogram of token counts; it has some thousand rows at most.
-COUNT_STEPS = 16
+def build_vocab(df: DataFrame, size: int | None = None) -> DataFrame:
+    """(token, n, token_id) of all tokens, or of the ``size`` most frequent ones, ties by name.
 
-
-def build_vocab(df: DataFrame, size: int = VOCAB_SIZE) -> DataFrame:
-    """(token, n, token_id) of the ``size`` most frequent tokens, ties by name.
-
-    The cut is the feature: a vocabulary has a fixed size, so ranking it is bounded work. A
-    histogram of the counts first tells which tokens are too rare to matter, so that only a
-    little more than ``size`` of them are sorted in one place, however many there are.
+    The counts are sorted over the cluster and written; a token's id is the number of tokens in
+    the files before its own plus its row there. Nothing is ranked in one task.
     """
     counts = (
         df.select(F.explode(word_tokens(F.lower("text"))).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("step", F.floor(F.log2("n") * COUNT_STEPS))
+        .orderBy(F.desc("n"), F.asc("token"))
     )
-    steps = counts.groupBy("step").agg(F.count(F.lit(1)).alias("tokens"))
-    down = F.sum("tokens").over(Window.orderBy(F.desc("step")))
-    enough = steps.withColumn("upto", down).filter(F.col("upto") >= size)
-    lowest = enough.agg(F.max("step").alias("step")).scalar()
-    order = [F.desc("n"), F.asc("token")]
-    frequent = counts.filter(F.col("step") >= F.coalesce(lowest, F.lit(0)))
-    top = frequent.drop("step").orderBy(*order).limit(size)
-    rank = F.row_number().over(Window.orderBy(*order))
-    return top.withColumn("token_id", rank + FIRST_WORD_ID - 1)
+    # The writer numbers its files in the order of the sorted partitions.
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
+    ranked = cut_lineage(counts, "token-counts").select(
+        "token", "n", number.alias("file"), F.col("_metadata.row_index").alias("row")
+    )
+    # One row per written file.
+    files = ranked.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = files.select("file", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    token_id = (F.col("before") + F.col("row") + FIRST_WORD_ID).cast("int").alias("token_id")
+    numbered = ranked.join(F.broadcast(before), "file").select("token", "n", token_id)
+    return numbered if size is None else numbered.filter(F.col("token_id") < size + FIRST_WORD_ID)
 
 
 def _finish(df: DataFrame) -> DataFrame:
@@ -90,31 +89,47 @@ def _finish(df: DataFrame) -> DataFrame:
 
 
 def tokenize(
-    df: DataFrame, vocab: DataFrame, vocab_size: int = VOCAB_SIZE, max_length: int = MAX_LENGTH
+    df: DataFrame,
+    vocab: DataFrame,
+    max_length: int | None = MAX_LENGTH,
+    max_broadcast: int = MAX_BROADCAST_VOCAB,
 ) -> DataFrame:
-    """Token ids of ``text`` by vocabulary look-up, cut to ``max_length``, without padding.
+    """Token ids of ``text`` by vocabulary look-up, without padding.
 
-    ``df`` needs the columns of ``target_prepare`` plus uid, source, split, label, severity.
-    Tokens are cut before they are exploded. Rows are placed by uid once; look-up and regrouping
-    keep that placement, so this is the only shuffle.
+    ``max_length`` counts the two end marks; None keeps every token. ``df`` needs the columns of
+    ``target_prepare`` plus uid (unique), source, split, label, severity.
+
+    Only uid, place and token are exploded, and the other columns are joined back once. A
+    vocabulary of up to ``max_broadcast`` rows, counted first, is broadcast. Of a larger one the
+    entries with the lowest ids are, as ids rank tokens by frequency; what is left is joined by a
+    shuffle, in which the tokens found already are spread by uid.
     """
-    carried = [name for name in KEEP_COLUMNS if name in df.columns and name != "uid"]
-    words = F.slice(word_tokens(F.lower("text")), 1, max_length - 2)
-    placed = df.select("uid", F.struct(*carried).alias("row"), words.alias("words")).repartition(
-        "uid"
-    )
-    exploded = placed.select("uid", "row", F.posexplode_outer("words").alias("at", "token"))
+    words = word_tokens(F.lower("text"))
+    if max_length is not None:
+        words = F.slice(words, 1, max_length - 2)
+    placed = df.select("uid", words.alias("words")).repartition("uid")
+    exploded = placed.select("uid", F.posexplode_outer("words").alias("at", "token"))
     lookup = vocab.select("token", "token_id")
-    if vocab_size <= MAX_BROADCAST_VOCAB:
-        lookup = F.broadcast(lookup)
-    coded = exploded.join(lookup, "token", "left")
+    if vocab.limit(max_broadcast + 1).count() <= max_broadcast:
+        coded = exploded.join(F.broadcast(lookup), "token", "left")
+    else:
+        last = FIRST_WORD_ID + max_broadcast
+        common = lookup.filter(F.col("token_id") < last).withColumnRenamed("token_id", "common_id")
+        rare = lookup.filter(F.col("token_id") >= last).withColumnRenamed("token", "rare_token")
+        # A token holds no tilde beside other characters, so a spread key equals none.
+        key = F.when(F.col("common_id").isNotNull(), F.concat(F.lit("~"), "uid")).otherwise(F.col("token"))
+        found = exploded.join(F.broadcast(common), "token", "left").withColumn("key", key)
+        coded = found.join(rare, F.col("key") == F.col("rare_token"), "left").withColumn(
+            "token_id", F.coalesce("common_id", "token_id")
+        )
     code = F.struct("at", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id"))
     grouped = coded.groupBy("uid").agg(
-        F.any_value("row").alias("row"),
-        F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), code))).alias("codes"),
+        F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), code))).alias("codes")
     )
     ids = F.concat(F.array(F.lit(START_ID)), F.col("codes.id"), F.array(F.lit(END_ID)))
-    return _finish(grouped.select("uid", "row.*", ids.cast("array<int>").alias("input_ids")))
+    carried = [name for name in KEEP_COLUMNS if name in df.columns and name != "uid"]
+    rows = df.select("uid", *carried)
+    return _finish(rows.join(grouped.select("uid", ids.cast("array<int>").alias("input_ids")), "uid"))
 
 
 def tokenize_with(

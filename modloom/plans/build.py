@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from modloom.checks import require
-from modloom.domains import ORIGIN_TEST, ORIGIN_TRAIN, SOURCE_COLUMNS
+from modloom.domains import FLAG_LABELS, ORIGIN_TEST, ORIGIN_TRAIN, SOURCE_COLUMNS
+from modloom.operators import evaluate
 from modloom.operators import harmonize as H
-from modloom.operators.groups import group_table
 from modloom.operators.labels import label_flags, label_scores
-from modloom.operators.sampling import epoch_resample, length_grouped, pad_sequences, padded_lengths
+from modloom.operators.heads import score_batches
+from modloom.operators.sampling import (
+    EVAL_ROWS,
+    epoch_resample,
+    eval_sample,
+    length_grouped,
+    pad_sequences,
+    padded_lengths,
+    sample_rows,
+)
 from modloom.operators.schema import enforce_schema, validate_schema
 from modloom.operators.severity import derive_severity, severity_check
 from modloom.operators.split import add_groups_and_split, split_leakage
@@ -24,7 +34,7 @@ from modloom.rules import (
     SplitRules,
     TextRules,
 )
-from modloom.sources.storage import cut_lineage, materialize, write_table
+from modloom.sources.storage import cut_lineage, materialize, own_scratch, write_table
 
 
 def flag_tables(
@@ -47,13 +57,12 @@ def load_flags(
     """Checked and cleaned flag tables, written once. Inputs are functions that open a table."""
 
     def build() -> tuple[DataFrame, DataFrame]:
-        # Written once, so that the checks read single columns and not the CSV files again.
-        train_rows = cut_lineage(train(), "train")
-        text_rows, label_rows = cut_lineage(texts(), "texts"), cut_lineage(labels(), "labels")
-        require(H.check_test_labels(text_rows, label_rows), "bad test labels")
-        for part in (train_rows, label_rows):
+        # The checks read keys and flags only; no text is written twice.
+        label_rows = cut_lineage(labels(), "labels")
+        require(H.check_test_labels(texts().select("id"), label_rows), "bad test labels")
+        for part in (train().select("id", *FLAG_LABELS), label_rows):
             require(H.check_binary(H.split_labeled(part)[0]), "flags outside 0 and 1")
-        return flag_tables(train_rows, H.join_test_labels(text_rows, label_rows), rules)
+        return flag_tables(train(), H.join_test_labels(texts(), label_rows), rules)
 
     return materialize(spark, (labeled_path, unlabeled_path), build, force)
 
@@ -72,14 +81,10 @@ def unify(
     scores: DataFrame,
     label_rules: LabelRules = LABEL_RULES,
     split_rules: SplitRules = SPLIT_RULES,
-    cut: bool = False,
 ) -> DataFrame:
-    """The unified table. ``cut`` writes the group table, which the plan reads three times."""
+    """The unified table."""
     combined = H.combine_sources(label_flags(flags, label_rules), label_scores(scores, label_rules))
-    groups = group_table(combined)
-    if cut:
-        groups = cut_lineage(groups, "groups")
-    return enforce_schema(add_groups_and_split(combined, groups, split_rules))
+    return enforce_schema(add_groups_and_split(combined, split_rules))
 
 
 def check_unified(unified: DataFrame) -> None:
@@ -89,9 +94,17 @@ def check_unified(unified: DataFrame) -> None:
         raise ValueError("some texts span more than one split")
 
 
-def build_unified(flags: DataFrame, scores: DataFrame, path: str, **rules) -> DataFrame:
-    """Builds, writes and checks the unified table."""
-    write_table(unify(flags, scores, cut=True, **rules), path)
+def build_unified(
+    flags: DataFrame, scores: DataFrame, path: str, sample: int | None = None, **rules
+) -> DataFrame:
+    """Builds, writes and checks the unified table, or an exact sample of its rows.
+
+    A sample is drawn after duplicates and splits are known, so its rows have the values they
+    have in the whole table.
+    """
+    with own_scratch(flags.sparkSession):
+        rows = unify(flags, scores, **rules)
+        write_table(rows if sample is None else sample_rows(rows, sample), path)
     unified = flags.sparkSession.read.parquet(path)
     check_unified(unified)
     return unified
@@ -110,9 +123,14 @@ def build_graded(
 
 
 def build_tokens(graded: DataFrame, path: str, vocab: DataFrame | None = None) -> DataFrame:
-    """Token table, one folder per split, so a split is read without the others."""
-    words = vocab if vocab is not None else cut_lineage(build_vocab(graded), "vocab")
-    write_table(tokenize(target_prepare(graded), words), path, ("split",))
+    """Token table, one folder per split, so a split is read without the others.
+
+    Without a vocabulary, one is made of the training split alone.
+    """
+    with own_scratch(graded.sparkSession):
+        train = graded.filter("split = 'train'")
+        words = vocab if vocab is not None else cut_lineage(build_vocab(train), "vocab")
+        write_table(tokenize(target_prepare(graded), words), path, ("split",))
     return graded.sparkSession.read.parquet(path)
 
 
@@ -121,3 +139,26 @@ def training_batches(tokens: DataFrame, epoch: int = 0, pad_id: int = PAD_ID) ->
     return pad_sequences(padded_lengths(length_grouped(epoch_resample(tokens, epoch), epoch)), pad_id)
 
 
+def score_split(
+    rows: DataFrame, load_model, split: str = "val", n: int | None = EVAL_ROWS
+) -> DataFrame:
+    """A model's scores on one split, or on an exact sample of its rows with a severity."""
+    chosen = rows.filter(F.col("split") == split)
+    return score_batches(chosen if n is None else eval_sample(chosen, n), load_model)
+
+
+def analyze_scores(
+    rows: DataFrame, load_model, split: str = "val", n: int | None = EVAL_ROWS
+) -> dict[str, DataFrame]:
+    """Severity report, confusion and distance of errors of a model on one split."""
+    scored = cut_lineage(score_split(rows, load_model, split, n), "scored")
+    return {
+        "report": evaluate.severity_report(scored),
+        "confusion": evaluate.severity_confusion(scored),
+        "distance": evaluate.severity_distance(scored),
+    }
+
+
+def tune_thresholds(rows: DataFrame, load_model, split: str = "val") -> DataFrame:
+    """The best threshold per target of a model on one whole split."""
+    return evaluate.threshold_table(cut_lineage(score_split(rows, load_model, split, None), "scored"))

@@ -33,7 +33,9 @@ def _r(expression: str) -> str:
 
 def _masked(text: str) -> str:
     """Entity, width, invisible, URL and mention steps."""
-    step = f"replace(replace({text}, '&amp;', '&'), '{views.FULL_WIDTH}', 'FULL')"
+    step = text
+    for raw, clean in views.CHARACTERS:
+        step = f"replace({step}, '{raw}', '{clean}')"
     step = rf"regexp_replace({step}, '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{2060}}\x{{FEFF}}]', '', 'g')"
     step = rf"regexp_replace({step}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9F}}]', '', 'g')"
     return _mentions(_urls(step))
@@ -159,16 +161,15 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "keyed": (
         ("groups", "dominant"),
-        f"""SELECT g.text_hash, g.size, list_position({_list(_STRATA)}, d.stratum) - 1 AS stratum,
-          sha1('42|' || g.text_hash) AS deal_key,
-          {HEX_NUMBER.format("sha1('42|' || g.text_hash)")} %
-            (SELECT greatest(1, count(*) // 100000) FROM groups) AS bucket
+        f"""SELECT g.text_hash, length(to_base(g.size, 2)) AS size_class,
+          list_position({_list(_STRATA)}, d.stratum) - 1 AS stratum,
+          sha1('42|' || g.text_hash) AS deal_key
         FROM groups g JOIN dominant d ON g.text_hash = d.text_hash""",
     ),
     "folds": (
         ("keyed",),
-        """SELECT text_hash, (row_number() OVER (PARTITION BY stratum, bucket
-            ORDER BY size DESC, deal_key) - 1 + bucket + stratum) % 10 AS fold FROM keyed""",
+        """SELECT text_hash, (row_number() OVER (PARTITION BY stratum
+            ORDER BY size_class DESC, deal_key) - 1 + stratum) % 10 AS fold FROM keyed""",
     ),
     "unified": (
         ("labeled", "groups", "folds"),
@@ -188,11 +189,28 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
             ELSE {_SCORE_SUM} END AS severity_score
         FROM unified) g""",
     ),
+    "fitted": (
+        ("graded",),
+        """SELECT *, split AS part FROM (SELECT *,
+            row_number() OVER (PARTITION BY split ORDER BY sha1('42|' || uid)) AS rn FROM graded) r
+          WHERE split = 'val' OR split = 'train' AND rn <= 20000""",
+    ),
     "harmful": (("graded",), "SELECT * FROM graded WHERE label <> 0"),
     "train_rows": (
         ("unified",),
         """SELECT uid, label, length(text) AS length, t_race IS NOT NULL AS has_targets
-        FROM unified""",
+        FROM unified WHERE split = 'train'""",
+    ),
+    "quota_0": (
+        ("train_rows",),
+        """SELECT floor(max(n) * 3.0) AS n FROM (
+          SELECT label, count(*) AS n FROM train_rows WHERE label <> 0 GROUP BY label) c""",
+    ),
+    "resampled_0": (
+        ("train_rows", "quota_0"),
+        """SELECT uid, label FROM (
+          SELECT *, row_number() OVER (PARTITION BY label = 0 ORDER BY sha1('42|' || uid)) AS rn
+          FROM train_rows) r WHERE label <> 0 OR rn <= (SELECT n FROM quota_0)""",
     ),
     "quota": (
         ("train_rows",),
@@ -207,13 +225,20 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "words": (
         ("graded",),
-        f"SELECT uid, regexp_extract_all(lower(text), '{_TOKEN}') AS words FROM graded",
+        f"SELECT uid, split, regexp_extract_all(lower(text), '{_TOKEN}') AS words FROM graded",
     ),
     "vocab": (
         ("words",),
         """SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id
-        FROM (SELECT token, count(*) AS n FROM (SELECT unnest(words) AS token FROM words) u
-              GROUP BY token ORDER BY n DESC, token LIMIT 30000) t""",
+        FROM (SELECT token, count(*) AS n FROM (
+                SELECT unnest(words) AS token FROM words WHERE split = 'train') u
+              GROUP BY token) t""",
+    ),
+    "whole": (
+        ("words", "vocab"),
+        """SELECT u.uid, list(coalesce(v.token_id, 3) ORDER BY u.at) AS codes
+        FROM (SELECT uid, unnest(words) AS token, generate_subscripts(words, 1) AS at
+              FROM words) u LEFT JOIN vocab v ON u.token = v.token GROUP BY u.uid""",
     ),
     "coded": (
         ("words", "vocab"),
@@ -308,16 +333,16 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "curve": (
         ("target_scores",),
-        """SELECT target_id, score, sum(n) OVER down AS pred, sum(pos) OVER down AS tp,
+        """SELECT target_id, logit, sum(n) OVER down AS pred, sum(pos) OVER down AS tp,
           sum(pos) OVER (PARTITION BY target_id) AS truth
-        FROM (SELECT target_id, round(1 / (1 + exp(-logit)), 6) AS score, count(*) AS n,
-                sum(truth) AS pos FROM target_scores GROUP BY ALL) h
-        WINDOW down AS (PARTITION BY target_id ORDER BY score DESC)""",
+        FROM (SELECT target_id, logit, count(*) AS n, sum(truth) AS pos
+              FROM target_scores GROUP BY ALL) h
+        WINDOW down AS (PARTITION BY target_id ORDER BY logit DESC)""",
     ),
     "best": (
         ("curve",),
-        """SELECT target_id, score, f1, truth FROM (
-          SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY f1 DESC, score) AS rn
+        """SELECT target_id, 1 / (1 + exp(-logit)) AS score, f1, truth FROM (
+          SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY f1 DESC, logit) AS rn
           FROM (SELECT *, 2.0 * tp / (pred + truth) AS f1 FROM curve) c) b WHERE rn = 1""",
     ),
     "class_weight": (
@@ -367,12 +392,12 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "evals": (
         ("run_log",),
-        """SELECT run_id, epoch, step, val_macro_f1_class AS value FROM run_log
+        """SELECT run_id, epoch, step, event, val_macro_f1_class AS value FROM run_log
         WHERE event IN ('eval', 'epoch')""",
     ),
     "eval_best": (
         ("evals",),
-        """SELECT *, max(value) OVER (PARTITION BY run_id ORDER BY epoch, step
+        """SELECT *, max(value) OVER (PARTITION BY run_id ORDER BY epoch, step, event = 'epoch'
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_best FROM evals""",
     ),
     "epochs": (
@@ -436,6 +461,7 @@ def _counts(values, column: str) -> str:
     return ", ".join(f"count(*) FILTER ({column} = '{v}') AS {v}" for v in values)
 
 
+_TARGET_ARRAY_HEADS = _list(f"target_{name}" for name in TARGET_NAMES)
 _FLAG_BIGINT = ", ".join(f"CAST({name} AS BIGINT) AS {name}" for name in FLAG_LABELS)
 _MEANS = ", ".join(f"{_r(name)} AS {name}" for name in MEAN_SIGNALS)
 _SOURCE = "uid, source, origin, source_id, text_raw, text, text_hash, is_short"
@@ -732,6 +758,13 @@ def oracle_sql() -> dict[str, str]:
             FROM tokens""",
             "tokens",
         ),
+        "tokenize_whole": sql(
+            """SELECT g.uid, list_concat(list_concat([0], coalesce(c.codes, [])), [2]) AS input_ids,
+              len(coalesce(c.codes, [])) + 2 AS length
+            FROM graded g LEFT JOIN whole c ON g.uid = c.uid""",
+            "graded",
+            "whole",
+        ),
         "sample_rows": sql(
             """SELECT uid, CAST(label AS BIGINT) AS label FROM labeled
             ORDER BY sha1('42|' || uid) LIMIT 500""",
@@ -771,8 +804,8 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT {_CLASS_ARRAY}[id + 1] AS label_name, n, round(w * 4 / sum(w) OVER (), 6) AS weight
             FROM (SELECT id, count(*) FILTER (label = id) AS n,
                     1 / sqrt(greatest(count(*) FILTER (label = id), 1)) AS w
-                  FROM train_rows CROSS JOIN class_ids GROUP BY id) c""",
-            "train_rows",
+                  FROM resampled_0 CROSS JOIN class_ids GROUP BY id) c""",
+            "resampled_0",
             "class_ids",
         ),
         "target_weights": sql(
@@ -861,7 +894,7 @@ def oracle_sql() -> dict[str, str]:
             "run_log",
         ),
         "runlog_best": sql(
-            """SELECT run_id, epoch, step, round(value, 6) AS value,
+            """SELECT run_id, epoch, step, event, round(value, 6) AS value,
               round(previous_best, 6) AS previous_best,
               previous_best IS NULL OR value > previous_best AS improved FROM eval_best""",
             "eval_best",
@@ -885,9 +918,42 @@ def oracle_sql() -> dict[str, str]:
             "head",
         ),
         "score_batches": sql(
-            """SELECT vec_id, arg_max(k, y) FILTER (k < 4) AS class_best,
-              arg_max(k - 4, y) FILTER (k BETWEEN 4 AND 7) AS severity_best,
-              arg_max(k - 8, y) FILTER (k > 7) AS target_best FROM head GROUP BY vec_id""",
+            """SELECT vec_id,
+              list(round(CAST(CAST(y AS FLOAT) AS DOUBLE), 6) ORDER BY k) FILTER (k < 4) AS class_logits,
+              list(round(CAST(CAST(y AS FLOAT) AS DOUBLE), 6) ORDER BY k) FILTER (k BETWEEN 4 AND 7) AS severity_logits,
+              list(round(CAST(CAST(y AS FLOAT) AS DOUBLE), 6) ORDER BY k) FILTER (k > 7) AS target_logits
+            FROM head GROUP BY vec_id""",
             "head",
         ),
+        "train_heads": sql(
+            f"""SELECT head, n_train, n_val FROM (
+              SELECT 'class' AS head, count(*) FILTER (part = 'train') AS n_train,
+                count(*) FILTER (part = 'val') AS n_val,
+                count(DISTINCT label) FILTER (part = 'train') AS answers FROM fitted
+              UNION ALL
+              SELECT 'severity', count(*) FILTER (part = 'train'), count(*) FILTER (part = 'val'),
+                count(DISTINCT severity) FILTER (part = 'train') FROM fitted WHERE severity <> -100
+              UNION ALL
+              SELECT head, count(*) FILTER (part = 'train'), count(*) FILTER (part = 'val'),
+                count(DISTINCT answer) FILTER (part = 'train') FROM (
+                SELECT part, unnest({_TARGET_ARRAY_HEADS}) AS head,
+                  unnest([{", ".join(f"coalesce({t}, false)" for t in TARGET_COLUMNS)}]) AS answer
+                FROM fitted WHERE t_race IS NOT NULL) t GROUP BY head) h
+            WHERE answers > 1""",
+            "fitted",
+        ),
+        "source_fingerprint": f"""SELECT count(*) AS n_rows,
+            sum({HEX_NUMBER.format("h")})::BIGINT AS first_sum,
+            sum({HEX_NUMBER.format("substr(h, 9)")})::BIGINT AS second_sum
+          FROM (SELECT md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(lang, ''),
+            coalesce(source, ''), coalesce(text, ''))) AS h FROM documents) d""",
+        "check_test_labels": sql(
+            """SELECT count(*) FILTER (t > 1) AS repeated_texts, count(*) FILTER (l > 1) AS repeated_labels,
+              count(*) FILTER (t > 0 AND l = 0) AS texts_without_labels
+            FROM (SELECT id, sum(t) AS t, sum(l) AS l FROM (
+              SELECT id, 1 AS t, 0 AS l FROM raw_flags
+              UNION ALL SELECT id, 0, 1 FROM flag_labels) s GROUP BY id) k""",
+            "raw_flags",
+            "flag_labels",
+        ),
     }

@@ -113,7 +113,7 @@ stored_graded = stage("graded", graded)
 
 
 def train_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return unified(spark, folder).select(
+    return unified(spark, folder).filter(F.col("split") == "train").select(
         "uid",
         "label",
         F.length("text").alias("length"),
@@ -176,7 +176,10 @@ def materialize_cached(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def source_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    return storage.source_fingerprint(spark, f"{folder}/documents.parquet")
+    """The part of a cache key that depends on the contents; file times are not data."""
+    return storage.content_fingerprint(
+        views.table(spark, folder, "documents"), ["doc_id", "lang", "source", "text"]
+    )
 
 
 def report_json(spark: SparkSession, folder: str) -> DataFrame:
@@ -188,7 +191,7 @@ def report_json(spark: SparkSession, folder: str) -> DataFrame:
 def runlog_scan(spark: SparkSession, folder: str) -> DataFrame:
     path = storage.scratch_path(spark, "runlog")
     raw.append_run_log(views.run_log(spark, folder), path)
-    return raw.read_run_log(spark, path)
+    return raw.read_run_log(spark, path).select(*views.run_log(spark, folder).columns)
 
 
 def split_labeled(spark: SparkSession, folder: str) -> DataFrame:
@@ -219,6 +222,11 @@ def join_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return harmonize.unmatched_texts(texts, views.flag_labels(spark, folder)).select("id")
 
 
+def check_test_labels(spark: SparkSession, folder: str) -> DataFrame:
+    ids = views.raw_flags(spark, folder).select("id")
+    return harmonize.check_test_labels(ids, views.flag_labels(spark, folder))
+
+
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
     return views.raw_flags(spark, folder).select("id", "comment_text")
 
@@ -281,7 +289,7 @@ def target_prepare(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vocab(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.build_vocab(unified(spark, folder))
+    return tokens.build_vocab(unified(spark, folder).filter(F.col("split") == "train"))
 
 
 stored_vocab = stage("vocab", vocab)
@@ -295,6 +303,12 @@ def tokenize(spark: SparkSession, folder: str) -> DataFrame:
 stored_tokens = stage("tokens", tokenize)
 
 
+def tokenize_whole(spark: SparkSession, folder: str) -> DataFrame:
+    rows = tokens.target_prepare(stored_graded(spark, folder))
+    whole = tokens.tokenize(rows, stored_vocab(spark, folder), max_length=None)
+    return whole.select("uid", "input_ids", "length")
+
+
 def severity_expected(spark: SparkSession, folder: str) -> DataFrame:
     return views.predictions(spark, folder).select(
         "row_id", expected_level(F.col("severity_logits")).alias("expected")
@@ -330,6 +344,10 @@ def epoch_resample(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.epoch_resample(train_rows(spark, folder), 1, RATIO).select("uid", "label")
 
 
+def class_weights(spark: SparkSession, folder: str) -> DataFrame:
+    return losses.class_weights(sampling.epoch_resample(train_rows(spark, folder), 0))
+
+
 def sample_profile(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.sample_profile(sampling.epoch_resample(train_rows(spark, folder), 1, RATIO))
 
@@ -394,22 +412,18 @@ def load_linear_model():
 
 def score_batches(spark: SparkSession, folder: str) -> DataFrame:
     scored = heads.score_batches(embeddings(spark, folder), load_linear_model)
-    return scored.select(
-        "vec_id",
-        *[
-            evaluate.argmax(F.col(f"{name}_logits")).alias(f"{name}_best")
-            for name in ("class", "severity", "target")
-        ],
-    )
+    return scored.select("vec_id", "class_logits", "severity_logits", "target_logits")
 
 
 def train_heads(spark: SparkSession, folder: str) -> DataFrame:
     rows = tokens.target_prepare(stored_graded(spark, folder))
-    _, featured = heads.features(rows, 1 << 12)
-    columns = ["split", "features", "label", "label_name", "severity", "has_targets", "targets"]
+    _, featured = heads.features(rows)
+    columns = ["uid", "split", "features", "label", "label_name", "severity", "has_targets", "targets"]
     data = storage.cut_lineage(featured.select(*columns), "features")
-    models = heads.train_heads(data.filter(F.col("split") == "train"), max_iter=3)
-    return heads.head_accuracy(data.filter(F.col("split") == "val"), models)
+    train, val = (data.filter(F.col("split") == name) for name in ("train", "val"))
+    models = heads.train_heads(train)
+    counts = heads.head_rows(sampling.sample_rows(train, heads.MAX_FIT_ROWS), val)
+    return counts.filter(F.col("head").isin(list(models)))
 
 
 def on(source: Query, operator: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
@@ -470,6 +484,7 @@ QUERIES: dict[str, Query] = {
     "check_binary": on(labeled_flags, harmonize.check_binary),
     "join_test_labels": join_test_labels,
     "join_unmatched": join_unmatched,
+    "check_test_labels": check_test_labels,
     "aggregate_annotators": aggregated,
     "text_conflicts": on(views.annotator_rows, harmonize.text_conflicts),
     "check_conservation": check_conservation,
@@ -514,13 +529,14 @@ QUERIES: dict[str, Query] = {
     "target_prepare": target_prepare,
     "build_vocab": vocab,
     "tokenize": tokenize,
+    "tokenize_whole": tokenize_whole,
     "sample_rows": sample_rows,
     "epoch_resample": epoch_resample,
     "sample_profile": sample_profile,
     "eval_sample": eval_sample,
     "length_grouped": length_grouped,
     "padded_batches": padded_batches,
-    "class_weights": on(train_rows, losses.class_weights),
+    "class_weights": class_weights,
     "target_weights": on(views.predictions, losses.target_weights),
     # metrics and losses
     "eval_class": on(views.predictions, evaluate.class_metrics),

@@ -1,26 +1,43 @@
 """Inputs of the registered queries: the two raw sources, scores and a log, as SQL views.
 
 The original data sets are not at hand, so these views give the driver's tables the shape of
-the raw sources. Each view covers its tables whole. The same text runs in Spark and in the
-oracle, where the braces name tables.
+the raw sources. Each view has every row of its tables. Scores of predictions are the first 16
+values of an embedding, as logits need no more. The same text runs in Spark and in the oracle,
+where the braces name tables.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-FULL_WIDTH = "ＦＵＬＬ"
-ZERO_WIDTH = "\u200b"
+#: What stands before some texts, and what cleaning makes of it.
+CHARACTERS = (
+    ("1 &lt; 2", "1 < 2"),
+    ("&laquo;cela&raquo;", "«cela»"),
+    ("caf&eacute;", "café"),
+    ("&#x20AC;5", "€5"),
+    ("&#960;r", "πr"),
+    ("wait&hellip;", "wait..."),
+    ("Q&amp;A", "Q&A"),
+    ("ﬂoor", "floor"),
+    ("①②", "12"),
+    ("ｶﾅ", "カナ"),
+    ("5㎏", "5kg"),
+    ("\u212bngstrom", "\u00c5ngstrom"),
+    ("ｗｉｄｅ", "wide"),
+    ("se\u200blf", "self"),
+)
+_MARKED = "\n".join(
+    f"    WHEN {n} THEN concat('{raw} ', b.text)" for n, (raw, _) in enumerate(CHARACTERS, 3)
+)
 
 RAW_FLAGS = f"""
 SELECT concat('d', CAST(b.doc_id AS STRING)) AS id,
-  CASE length(b.text) % 8
-    WHEN 0 THEN concat(b.text, ' see https://example.com/a?b=1 now')
-    WHEN 1 THEN concat('@user_1 ', b.text, ' a@b.org')
-    WHEN 2 THEN concat(b.text, ' sooooo!!!!!!')
-    WHEN 3 THEN concat('Tom &amp; Jerry ', b.text)
-    WHEN 4 THEN concat('{FULL_WIDTH} ', b.text)
-    WHEN 5 THEN concat('he{ZERO_WIDTH}llo ', b.text)
+  CASE length(b.text) % {len(CHARACTERS) + 5}
+    WHEN 0 THEN concat(b.text, ' cf. http://news.example.net/p?id=7 today')
+    WHEN 1 THEN concat('@rater_9 ', b.text, ' ask q@w.net')
+    WHEN 2 THEN concat(b.text, ' noooooo???????')
+{_MARKED}
     ELSE b.text END AS comment_text,
   CASE WHEN b.lang = 'en' THEN 'train' ELSE 'test' END AS part,
   CAST(tox AS TINYINT) AS toxic,

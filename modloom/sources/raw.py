@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from modloom.checks import need_columns
 from modloom.domains import FLAG_LABELS, HATE_SCORE, RATINGS, RAW_TARGETS
-from modloom.operators.runlog import LOSS_TERMS
+from modloom.operators.runlog import EVAL_METRICS, LOSS_TERMS
 
 ANNOTATOR_COLUMNS = ("comment_id", "text", HATE_SCORE, *RATINGS, *RAW_TARGETS)
 TRAIN_COLUMNS = ("id", "comment_text", *FLAG_LABELS)
@@ -118,8 +118,12 @@ RUN_LOG_SCHEMA = T.StructType(
         T.StructField("event", T.StringType()),
         T.StructField("epoch", T.LongType()),
         T.StructField("step", T.LongType()),
-        T.StructField("val_macro_f1_class", T.DoubleType()),
         *[T.StructField(f"train_loss_{name}", T.DoubleType()) for name in LOSS_TERMS],
+        T.StructField("lr", T.DoubleType()),
+        *[T.StructField(name, T.DoubleType()) for name in EVAL_METRICS],
+        T.StructField("improved", T.BooleanType()),
+        T.StructField("best_metric", T.DoubleType()),
+        T.StructField("epochs_without_improvement", T.LongType()),
     ]
 )
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,8 +23,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Scratch tables of this process that have not been removed.
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/modloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/modloom/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def scratch_tables(name: str) -> list[str]:
+    return [path for path in _SCRATCH if path.rsplit("/", 1)[-1].startswith(f"{name}-")]
+
+
+@contextmanager
+def own_scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch tables made inside; what reads them must be written by the end."""
+    before = len(_SCRATCH)
+    yield
+    while len(_SCRATCH) > before:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
@@ -59,8 +80,9 @@ def materialize(
     """The tables at ``paths``; built and written only if one is missing or ``force`` is set."""
     targets = (paths,) if isinstance(paths, str) else tuple(paths)
     if force or not all(is_complete(spark, path) for path in targets):
-        for df, path in zip(build(), targets, strict=True):
-            write_table(df, path)
+        with own_scratch(spark):
+            for df, path in zip(build(), targets, strict=True):
+                write_table(df, path)
     return tuple(spark.read.parquet(path) for path in targets)
 
 
@@ -77,21 +99,33 @@ def source_files(spark: SparkSession, path: str) -> DataFrame:
 def source_fingerprint(
     spark: SparkSession, path: str, tokenizer: str = "words", max_length: int = 128
 ) -> DataFrame:
-    """One row: files, bytes, newest change, and the cache key of a token table made from them."""
+    """One row: files, bytes, newest change, and the cache key of a token table made from them.
+
+    The key follows from path, length and time of every file, whatever their order.
+    """
     changed = F.unix_micros("modificationTime")
+    one = F.xxhash64("path", "length", changed).cast("decimal(20,0)")
     totals = source_files(spark, path).agg(
         F.count(F.lit(1)).alias("files"),
         F.sum("length").alias("bytes"),
         F.max(changed).alias("changed_us"),
+        F.sum(one).cast("string").alias("mixed"),
     )
-    payload = F.concat_ws(
-        "|",
-        F.lit(tokenizer),
-        F.lit(str(max_length)),
-        F.col("bytes").cast("string"),
-        (F.col("changed_us") * 1000).cast("string"),
+    payload = F.concat_ws("|", F.lit(tokenizer), F.lit(str(max_length)), "mixed")
+    return totals.withColumn("cache_key", F.substring(F.sha2(payload, 256), 1, 16)).drop("mixed")
+
+
+def content_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: number of rows and two sums over the digests of all rows, in any order."""
+    parts = [F.coalesce(F.col(name).cast("string"), F.lit("")) for name in columns]
+    digest = F.md5(F.concat_ws("|", *parts))
+
+    def part(start: int) -> Column:
+        return F.sum(F.conv(F.substring("digest", start, 8), 16, 10).cast("long"))
+
+    return df.select(digest.alias("digest")).agg(
+        F.count(F.lit(1)).alias("n_rows"), part(1).alias("first_sum"), part(9).alias("second_sum")
     )
-    return totals.withColumn("cache_key", F.substring(F.sha2(payload, 256), 1, 16))
 
 
 def first_valid_source(

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from modloom.domains import CLASS_NAMES
+from modloom.functions.keys import seeded_key
 from modloom.operators import dedup, split
-from modloom.operators.groups import group_table
+from modloom.operators.groups import dominant_stratum, group_table
 from modloom.rules import SplitRules
 from modloom.sources.storage import cut_lineage
 
@@ -61,7 +62,7 @@ def test_hot_rows_are_spread_over_the_shuffle(spark, df):
     try:
         flagged = dedup.add_duplicate_flags(df, hot_rows=500)
         plan = flagged._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and "ReusedExchange" in plan
+        assert "SortMergeJoin" in plan and "FileScan parquet" in plan
         sizes = flagged.groupBy(F.spark_partition_id()).count().collect()
         assert max(r["count"] for r in sizes) < 0.4 * df.count()
     finally:
@@ -118,13 +119,32 @@ def test_split_shares_are_balanced(spark):
         assert abs(r.test / total - 0.1) < 0.01 and abs(r.val / total - 0.1) < 0.01
 
 
-def test_folds_in_buckets(spark, df):
-    """Many buckets give the same guarantees as one."""
+def test_folds_are_dealt_in_turn(spark, df, monkeypatch):
+    """Slices change nothing: the deal is one global order in each stratum."""
     groups = cut_lineage(group_table(df))
-    folded = split.fold_groups(groups, per_bucket=100)
-    sizes = [r["count"] for r in folded.groupBy("fold").count().collect()]
-    assert len(sizes) == 10 and max(sizes) - min(sizes) < 0.2 * max(sizes)
-    assert folded.count() == groups.count()
+    folded = {r.text_hash: r.fold for r in split.fold_groups(groups).collect()}
+    keyed = groups.withColumns({"s": dominant_stratum(), "k": seeded_key(42, F.col("text_hash"))})
+    turns = {}
+    for r in sorted(keyed.collect(), key=lambda r: (-len(bin(r.group_size)), r.k)):
+        turn = turns.setdefault(r.s, r.s)
+        assert folded[r.text_hash] == turn % 10
+        turns[r.s] += 1
+    monkeypatch.setattr(split, "SLICE_DIGITS", 1)
+    again = {r.text_hash: r.fold for r in split.fold_groups(groups.repartition(5)).collect()}
+    assert again == folded
+
+
+def test_hot_text(spark, df):
+    """A text with a third of all rows takes the broadcast, and the plan sorts no groups."""
+    copies = df.limit(1).select(*(c for c in df.columns if c != "uid"))
+    hot = spark.range(40_000).select(F.concat(F.lit("hot"), "id").alias("uid")).join(copies)
+    both = df.unionByName(hot.select(*df.columns))
+    flagged = dedup.add_duplicate_flags(both)
+    assert flagged.agg(F.max("dup_group_size")).first()[0] >= 40_000
+    assert dict(flagged.dtypes)["dup_group_size"] == "bigint"
+    result = split.add_groups_and_split(both)
+    assert result.filter("uid LIKE 'hot%'").select("split").distinct().count() == 1
+    assert "TakeOrdered" not in result._jdf.queryExecution().executedPlan().toString()
 
 
 def test_equal_folds_are_refused():

@@ -14,19 +14,19 @@ FLAGS = ", ".join(f"{n} byte" for n in FLAG_LABELS)
 def write_files(spark, folder, with_all_labels=True):
     train = spark.createDataFrame(
         [
-            ("a1", "Hello world", 0, 0, 0, 0, 0, 0),
-            ("a2", "NA", 1, 0, 1, 0, 1, 0),
-            ("a3", 'line one\nline "two"', 1, 0, 0, 0, 0, 1),
+            ("k7", "a calm remark", 0, 0, 0, 0, 0, 0),
+            ("k8", "NA", 0, 0, 1, 0, 0, 0),
+            ("k9", 'upper\n"lower" half', 0, 0, 0, 0, 1, 1),
         ],
         f"id string, comment_text string, {FLAGS}",
     )
     test = spark.createDataFrame(
-        [("t1", "fine text"), ("t2", "i will find you"), ("t3", "unscored"), ("t4", "")],
+        [("p1", "good point"), ("p2", "wait and see what comes"), ("p3", "nobody rated it"), ("p4", "")],
         "id string, comment_text string",
     )
-    labels = [("t1", *[0] * 6), ("t2", 1, 0, 0, 1, 0, 0), ("t4", *[0] * 6)]
+    labels = [("p1", *[0] * 6), ("p2", 0, 1, 0, 1, 0, 0), ("p4", *[0] * 6)]
     if with_all_labels:
-        labels.append(("t3", *[-1] * 6))
+        labels.append(("p3", *[-1] * 6))
     raw.write_flag_csv(train, f"{folder}/train")
     raw.write_flag_csv(test, f"{folder}/test")
     raw.write_flag_csv(spark.createDataFrame(labels, f"id string, {FLAGS}"), f"{folder}/labels")
@@ -45,16 +45,16 @@ def test_flag_files_end_to_end_and_cache(spark, tmp_path):
     outputs = (f"{tmp_path}/out/labeled", f"{tmp_path}/out/unlabeled")
     known, unknown = load_flags(spark, *openers(spark, tmp_path), *outputs)
     rows = {r.source_id: r for r in label_flags(known).collect()}
-    assert sorted(rows) == ["a1", "a2", "a3", "t1", "t2", "t4"]
-    assert [rows[i].label_name for i in ("a1", "a2", "a3", "t1", "t2", "t4")] == [
+    assert sorted(rows) == ["k7", "k8", "k9", "p1", "p2", "p4"]
+    assert [rows[i].label_name for i in ("k7", "k8", "k9", "p1", "p2", "p4")] == [
         "neither", "offensive", "hate", "neither", "threat", "neither"
     ]
-    assert rows["a2"].text_raw == "NA" and rows["a3"].text_raw == 'line one\nline "two"'
-    assert rows["a3"].text == 'line one line "two"' and rows["t4"].text_raw == ""
-    assert rows["a1"].origin == "jigsaw_train" and rows["t1"].origin == "jigsaw_test"
+    assert rows["k8"].text_raw == "NA" and rows["k9"].text_raw == 'upper\n"lower" half'
+    assert rows["k9"].text == 'upper "lower" half' and rows["p4"].text_raw == ""
+    assert rows["k7"].origin == "jigsaw_train" and rows["p1"].origin == "jigsaw_test"
     assert dict(known.dtypes)["j_threat"] == "tinyint"
     assert unknown.columns == list(SOURCE_COLUMNS)
-    assert [r.text_raw for r in unknown.collect()] == ["unscored"]
+    assert [r.text_raw for r in unknown.collect()] == ["nobody rated it"]
 
     def closed():
         raise FileNotFoundError("sources are gone")
@@ -128,7 +128,7 @@ def test_annotators_become_comments(spark, tmp_path):
     assert got["1"].m_n_annotators == 3 and got["1"].t_race is True and got["2"].t_race is False
     kinds = dict(result.dtypes)
     assert (kinds["m_insult"], kinds["m_n_annotators"], kinds["t_race"]) == (
-        "float", "smallint", "boolean"
+        "float", "bigint", "boolean"
     )
     assert [r.comment_id for r in H.text_conflicts(rows).collect()] == [1]
     check = H.check_conservation(rows, result).first()
@@ -156,3 +156,19 @@ def test_union_fills_missing_columns(spark):
     right = spark.createDataFrame([("b", 2.0)], "uid string, m_insult float")
     rows = {r.uid: r for r in H.combine_sources(left, right).collect()}
     assert rows["a"].m_insult is None and rows["b"].j_toxic is None
+
+
+def test_hot_comment(spark):
+    """A comment with more annotators than a SMALLINT holds."""
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") < 39_990, 1).otherwise(F.col("id")).alias("comment_id"),
+        F.col("id").alias("ord"),
+        F.concat(F.lit("text "), F.col("id")).alias("text"),
+        F.lit(0.5).alias("hate_speech_score"),
+        *[F.lit(1).alias(name) for name in RATINGS],
+        *[F.lit(False).alias(name) for name in RAW_TARGETS],
+    )
+    signals = H.annotator_signals(H.aggregate_annotators(rows, "ord"))
+    found = {r.source_id: r for r in signals.collect()}
+    assert found["1"].m_n_annotators == 39_990 and found["1"].text_raw == "text 0"
+    assert len(found) == 11

@@ -42,6 +42,8 @@ def corpus(spark):
         label = i % 4
         rows.append(
             (
+                f"u{i}",
+                "train" if i % 7 else "val",
                 f"{words[label]} {['red', 'blue'][i % 2]} n{i % 7}",
                 label,
                 ["neither", "offensive", "hate", "threat"][label],
@@ -52,17 +54,31 @@ def corpus(spark):
         )
     return spark.createDataFrame(
         rows,
-        "text string, label int, label_name string, severity int, has_targets boolean, targets array<float>",
+        "uid string, split string, text string, label int, label_name string, severity int, has_targets boolean, targets array<float>",
     )
 
 
 def test_heads_learn_their_own_rows(corpus):
     _, data = M.features(corpus, 1 << 8)
     data = data.cache()
-    models = M.train_heads(data, max_iter=15)
+    train, val = data.filter("split = 'train'"), data.filter("split = 'val'")
+    models = M.train_heads(train, max_iter=15)
     # targets without a positive have nothing to learn
     assert set(models) == {"class", "severity", "target_race"}
     got = {r.head: (r.n, r.accuracy) for r in M.head_accuracy(data, models).collect()}
     assert got["class"][0] == 240 and got["severity"][0] == 180 and got["target_race"][0] == 80
     assert all(accuracy > 0.95 for _, accuracy in got.values())
+    rows = {r.head: (r.n_train, r.n_val) for r in M.head_rows(train, val).collect()}
+    assert rows["class"] == (205, 35) and rows["target_race"] == (68, 12)
     data.unpersist()
+
+
+def test_only_training_rows_weigh_words(corpus):
+    model, _ = M.features(corpus, 1 << 8)
+    assert model.stages[1].numDocs == 205
+
+
+def test_fit_reads_a_bounded_sample(corpus):
+    _, data = M.features(corpus, 1 << 8)
+    models = M.train_heads(data.filter("split = 'train'"), max_iter=2, max_fit_rows=60)
+    assert set(models) <= {"class", "severity", "target_race"} and "class" in models

@@ -1,7 +1,10 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from modloom.domains import UNIFIED_SCHEMA
+from modloom.domains import TARGET_NAMES, UNIFIED_SCHEMA
+from modloom.operators.tokens import target_prepare
 from modloom.plans import build, registry
 from modloom.rules import LevelRule, SeverityRules
 
@@ -28,9 +31,35 @@ def test_unified_keeps_every_row(spark, unified):
     }
 
 
-def test_cut_and_lazy_plan_agree(spark, unified):
-    lazy = registry.unified_rows(spark, FOLDER)
-    assert lazy.exceptAll(unified).isEmpty() and unified.exceptAll(lazy).isEmpty()
+def test_sample_is_drawn_after_the_split(spark, unified, tmp_path):
+    flags = registry.stored_flags(spark, FOLDER)
+    scores = registry.stored_scores(spark, FOLDER)
+    part = build.build_unified(flags, scores, f"{tmp_path}/part", sample=50)
+    assert part.count() == 50 and part.exceptAll(unified).isEmpty()
+
+
+def test_score_analysis(spark, unified):
+    def load_model():
+        def model(batch):
+            n = len(batch)
+            widths = {"class_logits": 4, "severity_logits": 4, "target_logits": 8}
+            size = batch["text"].str.len().to_numpy()
+            return pd.DataFrame(
+                {name: list(np.tile(size[:, None] % 7 / 7, (1, k)).astype("float32")) for name, k in widths.items()},
+                index=range(n),
+            )
+
+        return model
+
+    rows = target_prepare(build.build_graded(unified))
+    val = rows.filter("split = 'val' AND severity <> -100").count()
+    reports = build.analyze_scores(rows, load_model, n=40)
+    counted = reports["report"].filter("level = 'accuracy'").first().support
+    assert counted == min(40, val)
+    assert reports["confusion"].count() == 4
+    assert set(reports["distance"].columns) == {"kind", "n", "share"}
+    table = build.tune_thresholds(rows, load_model)
+    assert table.count() == 8 and {r.target for r in table.collect()} == set(TARGET_NAMES)
 
 
 def test_graded(unified, tmp_path):

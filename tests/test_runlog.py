@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from modloom.operators import runlog as R
 from modloom.sources import raw
@@ -31,7 +33,13 @@ def rows():
 
 @pytest.fixture(scope="module")
 def log(spark, rows):
-    return spark.createDataFrame(rows, raw.RUN_LOG_SCHEMA).repartition(3)
+    names = ["run_id", "event", "epoch", "step", "val_macro_f1_class"]
+    names += [f"train_loss_{n}" for n in R.LOSS_TERMS]
+    kinds = {f.name: f.dataType for f in raw.RUN_LOG_SCHEMA.fields}
+    schema = T.StructType([T.StructField(n, kinds[n]) for n in names])
+    df = spark.createDataFrame(rows, schema)
+    missing = {n: F.lit(None).cast(k) for n, k in kinds.items() if n not in names}
+    return df.withColumns(missing).select(*kinds).repartition(3)
 
 
 def evaluations(rows, run):
@@ -91,3 +99,22 @@ def test_json_lines_of_mixed_shape(spark, log, tmp_path):
     raw.append_run_log(log.filter("run_id >= 2"), path)
     again = raw.read_run_log(spark, path)
     assert again.exceptAll(log).isEmpty() and again.count() == log.count()
+
+
+def test_closing_evaluation_comes_last(spark):
+    """An epoch's closing evaluation may share its step with one inside the epoch."""
+    lines = [
+        '{"run_id": 1, "event": "epoch", "epoch": 1, "step": 200, "val_macro_f1_severity": 0.4, "improved": true}',
+        '{"run_id": 1, "event": "eval", "epoch": 1, "step": 200, "val_macro_f1_severity": 0.4, "lr": 0.1}',
+    ]
+    log = spark.createDataFrame([(x,) for x in lines], "v string").select(
+        F.from_json("v", raw.RUN_LOG_SCHEMA).alias("r")
+    )
+    found = R.best_so_far(log.select("r.*"), metric="val_macro_f1_severity").collect()
+    assert {r.event: r.improved for r in found} == {"eval": True, "epoch": False}
+
+
+def test_log_keeps_every_metric():
+    names = set(raw.RUN_LOG_SCHEMA.names)
+    assert len(R.EVAL_METRICS) == 35 and set(R.EVAL_METRICS) <= names
+    assert {"improved", "best_metric", "epochs_without_improvement", "lr"} <= names

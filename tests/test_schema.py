@@ -19,7 +19,7 @@ def test_columns_types_and_nulls(spark):
     assert len(UNIFIED_SCHEMA.names) == 37 and df.columns == UNIFIED_SCHEMA.names
     kinds = dict(df.dtypes)
     assert (kinds["label"], kinds["dup_group_size"], kinds["m_n_annotators"]) == (
-        "tinyint", "int", "smallint"
+        "tinyint", "bigint", "bigint"
     )
     assert (kinds["m_insult"], kinds["t_age"], kinds["j_toxic"]) == ("float", "boolean", "tinyint")
     assert df.first().j_toxic is None

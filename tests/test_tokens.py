@@ -38,29 +38,56 @@ def test_targets(graded):
 def test_vocab(graded):
     counts = Counter(w for t in TEXTS for w in words(t))
     ranked = sorted(counts, key=lambda w: (-counts[w], w))
-    got = {r.token: (r.token_id, r.n) for r in K.build_vocab(graded, 4).collect()}
-    assert got == {w: (i + 4, counts[w]) for i, w in enumerate(ranked[:4])}
+    for size in (None, 4):
+        got = {r.token: (r.token_id, r.n) for r in K.build_vocab(graded, size).collect()}
+        assert got == {w: (i + 4, counts[w]) for i, w in enumerate(ranked[:size])}
 
 
-@pytest.mark.parametrize("vocab_size", [4, K.MAX_BROADCAST_VOCAB + 1])
-def test_tokens(graded, vocab_size):
+def test_vocab_over_many_files(spark):
+    """Ids are ranks over all written files."""
+    texts = spark.range(3000).select(F.concat_ws(" ", F.col("id"), F.col("id") % 40, F.col("id") % 7).alias("text"))
+    got = K.build_vocab(texts.repartition(6)).collect()
+    ranked = sorted(got, key=lambda r: (-r.n, r.token))
+    assert [r.token_id for r in ranked] == list(range(4, 3004))
+
+
+@pytest.mark.parametrize("max_length", [128, None])
+@pytest.mark.parametrize("max_broadcast", [2, K.MAX_BROADCAST_VOCAB])
+def test_tokens(graded, max_length, max_broadcast):
     vocab = K.build_vocab(graded, 4)
     ids = {r.token: r.token_id for r in vocab.collect()}
-    got = {r.uid: r for r in K.tokenize(K.target_prepare(graded), vocab, vocab_size).collect()}
+    coded = K.tokenize(K.target_prepare(graded), vocab, max_length, max_broadcast)
+    got = {r.uid: r for r in coded.collect()}
     assert len(got) == len(TEXTS)
+    cut = None if max_length is None else max_length - 2
     for i, text in enumerate(TEXTS):
         row = got[f"u{i}"]
-        assert row.input_ids == [0] + [ids.get(w, 3) for w in words(text)][:126] + [2]
-        assert row.length == len(row.input_ids) <= 128 and row.attention_mask == [1] * row.length
+        assert row.input_ids == [0] + [ids.get(w, 3) for w in words(text)][:cut] + [2]
+        assert row.length == len(row.input_ids) and row.attention_mask == [1] * row.length
         assert row.source == ["jigsaw", "mhs"][i % 2]
 
 
-def test_columns_and_one_shuffle(graded, spark):
+def test_own_corpus_has_no_unknown_token(graded):
+    coded = K.tokenize(K.target_prepare(graded), K.build_vocab(graded))
+    assert coded.filter(F.array_contains("input_ids", K.UNKNOWN_ID)).isEmpty()
+
+
+def test_large_vocabulary_is_not_broadcast_whole(graded, spark):
+    vocab = spark.range(1_000_000).select(
+        F.col("id").cast("string").alias("token"), (F.col("id") + 4).cast("int").alias("token_id")
+    )
+    plan = K.tokenize(K.target_prepare(graded), vocab)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 1 and "token_id" in plan
+    assert str(K.FIRST_WORD_ID + K.MAX_BROADCAST_VOCAB) in plan
+
+
+def test_columns_and_shuffles(graded, spark):
     vocab = spark.createDataFrame([("the", 4)], "token string, token_id int")
     df = K.tokenize(K.target_prepare(graded), vocab)
     assert df.columns == list(K.KEEP_COLUMNS)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    # the texts' tokens by uid, and the other columns
+    assert plan.count("Exchange hashpartitioning") <= 3
 
 
 def test_users_own_encoder(graded):
