@@ -108,7 +108,9 @@ def aggregate_annotators(rows: DataFrame, order: str | Column) -> DataFrame:
     """One row per comment: first text, mean ratings, OR of targets, number of annotators.
 
     ``order`` says which text is the first one. The partial aggregate runs before the shuffle,
-    so a comment with very many annotators costs one row per task.
+    so a comment with very many annotators costs one row per task. A text as an aggregate's value
+    makes it a sort aggregate; fetching the text by its key afterwards would cost a second
+    shuffle of all texts instead of the sort.
     """
     ordering = F.col(order) if isinstance(order, str) else order
     numeric = [HATE_SCORE, *RATINGS]

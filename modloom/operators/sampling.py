@@ -166,3 +166,16 @@ def pad_sequences(df: DataFrame, pad_id: int) -> DataFrame:
             "attention_mask": pad(F.col("attention_mask"), size, 0),
         }
     )
+
+
+def padded_batches(
+    df: DataFrame, pad_id: int, epoch: int = 0, row_id: str = "uid", **grouping: int
+) -> DataFrame:
+    """``df`` with mega_batch, position, batch_id and padded_length, its sequences padded.
+
+    Order and lengths of the batches follow from id and length alone; the rows with their
+    sequences are shuffled once, to meet them.
+    """
+    narrow = df.select(row_id, "length")
+    places = padded_lengths(length_grouped(narrow, epoch, row_id=row_id, **grouping)).drop("length")
+    return pad_sequences(df.join(places, row_id), pad_id)

@@ -15,9 +15,7 @@ from modloom.operators.sampling import (
     EVAL_ROWS,
     epoch_resample,
     eval_sample,
-    length_grouped,
-    pad_sequences,
-    padded_lengths,
+    padded_batches,
     sample_rows,
 )
 from modloom.operators.schema import enforce_schema, validate_schema
@@ -136,7 +134,7 @@ def build_tokens(graded: DataFrame, path: str, vocab: DataFrame | None = None) -
 
 def training_batches(tokens: DataFrame, epoch: int = 0, pad_id: int = PAD_ID) -> DataFrame:
     """Resampled, length-grouped and padded rows of one epoch, with their batch_id."""
-    return pad_sequences(padded_lengths(length_grouped(epoch_resample(tokens, epoch), epoch)), pad_id)
+    return padded_batches(epoch_resample(tokens, epoch), pad_id, epoch)
 
 
 def score_split(

@@ -912,6 +912,12 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT label, j, count(*) AS n, avg(x) AS m FROM (
               SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS j FROM embeddings) e
               GROUP BY label, j) d GROUP BY label""",
+        "masked_mean": """SELECT vec_id, list(round(m, 6) ORDER BY k) AS mean FROM (
+            SELECT vec_id, j % 8 AS k,
+              sum(CASE WHEN (vec_id + j // 8) % 3 <> 0 THEN x ELSE 0 END)
+                / sum(CASE WHEN (vec_id + j // 8) % 3 <> 0 THEN 1 ELSE 0 END) AS m
+            FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS j FROM embeddings) e
+            GROUP BY vec_id, j % 8) d GROUP BY vec_id""",
         "linear_head": sql(
             """SELECT vec_id, list(round(y + k / 10.0, 6) ORDER BY k) AS scores FROM head
             WHERE k < 4 GROUP BY vec_id""",

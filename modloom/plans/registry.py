@@ -20,7 +20,7 @@ from modloom.domains import (
     TARGET_NAMES,
 )
 from modloom.functions import text as X
-from modloom.functions.scores import expected_level
+from modloom.functions.scores import expected_level, masked_mean
 from modloom.operators import dedup, evaluate, harmonize, heads, labels, losses, runlog, sampling
 from modloom.operators import schema as unified_schema
 from modloom.operators import severity, split, stats, tokens
@@ -364,8 +364,7 @@ def length_grouped(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def padded_batches(spark: SparkSession, folder: str) -> DataFrame:
-    grouped = sampling.length_grouped(stored_tokens(spark, folder))
-    padded = sampling.pad_sequences(sampling.padded_lengths(grouped), tokens.PAD_ID)
+    padded = sampling.padded_batches(stored_tokens(spark, folder), tokens.PAD_ID)
     return padded.select("uid", "batch_id", "padded_length", "input_ids", "attention_mask")
 
 
@@ -391,6 +390,15 @@ def linear_head(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("vec_id", "scores")
 
 
+def masked_mean_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The embedding as eight vectors of eight, every third of them masked."""
+    parts = [F.slice("embedding", 8 * i + 1, 8) for i in range(8)]
+    mask = [((F.col("vec_id") + i) % 3 != 0).cast("int") for i in range(8)]
+    return embeddings(spark, folder).select(
+        "vec_id", masked_mean(F.array(*parts), F.array(*mask), 8).alias("mean")
+    )
+
+
 def mean_pool(spark: SparkSession, folder: str) -> DataFrame:
     return heads.mean_pool(embeddings(spark, folder), ["label"], "embedding", WIDTH)
 
@@ -559,6 +567,7 @@ QUERIES: dict[str, Query] = {
     "runlog_early_stop": on(views.run_log, runlog.early_stop),
     # heads
     "mean_pool": mean_pool,
+    "masked_mean": masked_mean_rows,
     "linear_head": linear_head,
     "score_batches": score_batches,
     "train_heads": train_heads,

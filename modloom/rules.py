@@ -79,6 +79,16 @@ class LabelRules:
         )
 
 
+# The thresholds a level may have, the signal of each, and whether its edge counts.
+LEVEL_FIELDS = (
+    ("genocide_min", "m_genocide", True),
+    ("violence_min", "m_violence", True),
+    ("hate_speech_score_exclusive_min", "m_hate_speech_score", False),
+    ("dehumanize_min", "m_dehumanize", True),
+    ("insult_min", "m_insult", True),
+)
+
+
 @dataclass(frozen=True)
 class LevelRule:
     """Any of up to five optional thresholds; unset ones never match."""
@@ -90,18 +100,12 @@ class LevelRule:
     insult_min: float | None = None
 
     def conditions(self) -> list[ScoreRule]:
-        wanted = [
-            ScoreRule("m_genocide", self.genocide_min) if self.genocide_min is not None else None,
-            ScoreRule("m_violence", self.violence_min) if self.violence_min is not None else None,
-            ScoreRule("m_hate_speech_score", self.hate_speech_score_exclusive_min, False)
-            if self.hate_speech_score_exclusive_min is not None
-            else None,
-            ScoreRule("m_dehumanize", self.dehumanize_min)
-            if self.dehumanize_min is not None
-            else None,
-            ScoreRule("m_insult", self.insult_min) if self.insult_min is not None else None,
-        ]
-        return [rule for rule in wanted if rule is not None]
+        found = []
+        for name, column, inclusive in LEVEL_FIELDS:
+            limit = getattr(self, name)
+            if limit is not None:
+                found.append(ScoreRule(column, limit, inclusive))
+        return found
 
 
 @dataclass(frozen=True)
@@ -132,7 +136,8 @@ class SeverityRules:
 
     def __post_init__(self) -> None:
         if set(self.bins) != set(SEVERITY_NAMES):
-            raise ValueError(f"bins must define each of {SEVERITY_NAMES}, got {list(self.bins)}")
+            odd = sorted(set(self.bins) ^ set(SEVERITY_NAMES))
+            raise ValueError(f"every severity level needs one score range; check {odd}")
 
     @classmethod
     def from_mapping(cls, raw: Mapping) -> SeverityRules:

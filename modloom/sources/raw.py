@@ -30,24 +30,38 @@ def _csv_type(name: str) -> T.DataType:
     return T.ByteType() if name in FLAG_LABELS else T.StringType()
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.options(**CSV_OPTIONS).csv(path).columns
+def csv_header(spark: SparkSession, path: str, multi_line: bool = True) -> list[str]:
+    return spark.read.options(**CSV_OPTIONS | {"multiLine": multi_line}).csv(path).columns
 
 
-def read_flag_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """True if some line ends inside quotes, that is, holds an odd number of them.
+
+    Reads the files as lines, in splits, and stops at the first such line.
+    """
+    odd = F.regexp_count("value", F.lit('"')) % 2 == 1
+    return not spark.read.text(path).filter(odd).isEmpty()
+
+
+def read_flag_csv(
+    spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = True
+) -> DataFrame:
     """Typed scan of the wanted columns. "NA" and line breaks are text; empty text stays empty.
 
-    Quoted line breaks keep a file from being split, so write many files, or convert to Parquet
-    once with ``materialize``.
+    Quoted line breaks keep a file from being split: it is one task, so write many files, or
+    convert to Parquet once with ``materialize``. Where ``has_quoted_breaks`` says no, pass
+    ``multi_line=False`` and large files are read in splits.
     """
-    header = csv_header(spark, path)
+    header = csv_header(spark, path, multi_line)
     missing = [name for name in columns if name not in header]
     if missing:
         raise KeyError(f"{path} is missing columns {missing}")
     schema = T.StructType([T.StructField(name, _csv_type(name)) for name in header])
     df = (
         spark.read.schema(schema)
-        .options(**CSV_OPTIONS, mode="FAILFAST", enforceSchema="false")
+        .options(
+            **CSV_OPTIONS | {"multiLine": multi_line}, mode="FAILFAST", enforceSchema="false"
+        )
         .csv(path)
     )
     return df.select(

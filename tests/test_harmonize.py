@@ -172,3 +172,20 @@ def test_hot_comment(spark):
     found = {r.source_id: r for r in signals.collect()}
     assert found["1"].m_n_annotators == 39_990 and found["1"].text_raw == "text 0"
     assert len(found) == 11
+
+
+def test_line_based_csv(spark, tmp_path):
+    """Files without quoted line breaks may be split; the rows are the same."""
+    df = spark.createDataFrame(
+        [(f"i{i}", f'say "no {i}", twice' if i % 3 else "", *[i % 2] * 6) for i in range(60)],
+        f"id string, comment_text string, {FLAGS}",
+    )
+    raw.write_flag_csv(df, f"{tmp_path}/lines")
+    assert not raw.has_quoted_breaks(spark, f"{tmp_path}/lines")
+    whole, lines = (
+        raw.read_flag_csv(spark, f"{tmp_path}/lines", raw.TRAIN_COLUMNS, multi_line=flag)
+        for flag in (True, False)
+    )
+    assert sorted(whole.collect()) == sorted(lines.collect()) == sorted(df.collect())
+    write_files(spark, tmp_path)
+    assert raw.has_quoted_breaks(spark, f"{tmp_path}/train")

@@ -86,7 +86,7 @@ def test_mega_batches_fall_in_length(spark):
 def test_padding(spark):
     df = rows(spark, (70,)).withColumn("input_ids", F.sequence(F.lit(5), F.col("length") + 4))
     df = df.withColumn("attention_mask", F.array_repeat(F.lit(1), F.col("length")))
-    padded = S.pad_sequences(S.padded_lengths(S.length_grouped(df, batch_size=4)), 1).collect()
+    padded = S.padded_batches(df, 1, batch_size=4).collect()
     longest = defaultdict(int)
     for r in padded:
         longest[r.batch_id] = max(longest[r.batch_id], r.length)
