@@ -6,8 +6,8 @@ host, site and suffix are smoothed one by the next, down to the share over every
 counts of text-only decisions by host, summed by grouped aggregation, without the row's own one.
 
 Trigram counts come from all labelled documents outside the held-out fifth. Their table has one
-row of 65,536 counts per language, whatever the corpus; languages are those with at least
-``LEAST_DOCS`` documents, the ``MOST_LANGUAGES`` largest at most.
+row of 65,536 counts per language, whatever the corpus, and room for ``MOST_LANGUAGES`` languages,
+the largest ones if there should be more.
 
 Documents carry no markup: their host is their source. Defined results: null and empty texts have
 no likelihood and rest on the other evidence; a null or odd address gives no host, site or suffix;
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from modloom.llm.tables import cut_lineage, held_out, text_of
 
 BUCKETS = 1 << 16
-LEAST_DOCS, MOST_LANGUAGES = 5, 64
+#: Languages of the model; bounds its table to some 70 MB.
+MOST_LANGUAGES = 256
 #: Added to every trigram count; most log odds that one text may bring; trust in a declaration.
 SMOOTH, MOST_ODDS, DECLARED = 0.5, 30.0, 0.7
 #: Pseudo-rows of the level below in each prior: site in host, suffix in site, all in suffix.
@@ -81,7 +82,7 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     rows = docs.filter(F.col("lang").isNotNull() & ~held_out("doc_id"))
     counts = cut_lineage(count_trigrams(rows), "language-counts")
     sizes = counts.filter(F.col("bucket") == BUCKETS).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
-    languages = sorted(row.lang for row in sizes.collect() if row.n >= LEAST_DOCS)
+    languages = sorted(row.lang for row in sizes.collect())
     table = np.full((BUCKETS, len(languages)), SMOOTH)
     place = {lang: i for i, lang in enumerate(languages)}
     # at most MOST_LANGUAGES rows of BUCKETS numbers
@@ -159,26 +160,37 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "odds"), F.lit(SALTS)).cast("int"))
     joined = salted.join(levels, (F.col("host") == F.col("l_host")) & (F.col("salt") == F.col("l_salt")), "left")
 
-    def smoothed(votes: Column, i: int, below: Column) -> Column:
-        own = F.when(F.col("vote") == i, 1.0).otherwise(0.0)
-        any_own = F.when(F.col("vote").isNotNull(), 1.0).otherwise(0.0)
-        votes = F.coalesce(votes, F.array(*(F.lit(0.0) for _ in range(n))))
+    # Arrays over the languages throughout: the plan is as large for 200 of them as for four.
+    def own(i: Column) -> Column:
+        return F.when(F.col("vote") == i, 1.0).otherwise(0.0)
+
+    any_own = F.when(F.col("vote").isNotNull(), 1.0).otherwise(0.0)
+    none = F.array_repeat(F.lit(0.0), n)
+
+    def smoothed(name: str, below: Column) -> Column:
+        votes = F.coalesce(F.col(name), none)
         seen = F.greatest(F.aggregate(votes, F.lit(0.0), lambda s, x: s + x) - any_own, F.lit(0.0))
-        return (F.greatest(votes[i] - own, F.lit(0.0)) + PRIOR_ROWS * below) / (seen + PRIOR_ROWS)
-
-    def evidence(i: int) -> Column:
-        prior = F.lit(1.0 / n)
-        for votes in (total, F.col("suffix_votes"), F.col("site_votes"), F.col("host_votes")):
-            prior = smoothed(votes, i, prior)
-        said = (
-            F.when(F.col("declared").isNull() | ~F.array_contains(names, F.col("declared")), 1.0 / n)
-            .when(F.col("declared") == languages[i], DECLARED)
-            .otherwise((1 - DECLARED) / max(n - 1, 1))
+        return F.transform(
+            below,
+            lambda p, i: (F.greatest(votes[i] - own(i), F.lit(0.0)) + PRIOR_ROWS * p) / (seen + PRIOR_ROWS),
         )
-        return F.col("odds")[i] + F.log(prior) + F.log(said)
+
+    joined = joined.withColumn("every_votes", total).withColumn("prior", F.array_repeat(F.lit(1.0 / n), n))
+    for name in ("every_votes", "suffix_votes", "site_votes", "host_votes"):
+        joined = joined.withColumn("prior", smoothed(name, F.col("prior")))
+    known = F.coalesce(F.array_contains(names, F.col("declared")), F.lit(False))
+
+    def said(i: Column) -> Column:
+        other = (1 - DECLARED) / max(n - 1, 1)
+        return F.when(~known, 1.0 / n).when(F.get(names, i) == F.col("declared"), DECLARED).otherwise(other)
 
     # Value and place in one, so that neither is worked out twice; ties go to the first language.
-    ranked = F.array(*(F.struct(evidence(i).alias("log"), F.lit(-i).alias("nr")) for i in range(n)))
+    ranked = F.transform(
+        "prior",
+        lambda p, i: F.struct(
+            (F.get(F.col("odds"), i) + F.log(p) + F.log(said(i))).alias("log"), (-i).alias("nr")
+        ),
+    )
     scored = joined.withColumn("ranked", ranked).withColumn("best", F.array_max("ranked"))
     mass = F.aggregate(
         F.transform("ranked", lambda x: F.exp(x["log"] - F.col("best.log"))), F.lit(0.0), lambda s, x: s + x

@@ -17,6 +17,7 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
-    """The ids of the byte-level BPE file, read once per task.
+    """The ids of the byte-level BPE file; what a task needs of it is read once.
 
     The rank file holds the same vocabulary and merges for a quicker library. Its pattern looks
     ahead only at runs of white space, so texts without such runs take the pattern without that.
@@ -50,16 +51,31 @@ class Encoder:
     LOOK_AHEAD = r"|\s+(?!\S)"
 
     def __init__(self, json_file: str, rank_file: str, pattern: str):
+        self.json_file, self.rank_file, self.pattern = json_file, rank_file, pattern
+
+    @cached_property
+    def ranks(self) -> dict[bytes, int]:
+        with open(self.rank_file, "rb") as lines:
+            return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+    def _quick(self, pattern: str):
         import tiktoken
+
+        return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+
+    @cached_property
+    def runs(self):
+        return self._quick(self.pattern)
+
+    @cached_property
+    def plain(self):
+        return self._quick(self.pattern.replace(self.LOOK_AHEAD, ""))
+
+    @cached_property
+    def original(self):
         from tokenizers import Tokenizer
 
-        with open(rank_file, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        names = [("runs", pattern), ("plain", pattern.replace(self.LOOK_AHEAD, ""))]
-        self.runs, self.plain = (
-            tiktoken.Encoding(name, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for name, p in names
-        )
-        self.original = Tokenizer.from_file(json_file)
+        return Tokenizer.from_file(self.json_file)
 
     def __call__(self, text: str) -> np.ndarray:
         if "<|" in text:
