@@ -65,12 +65,19 @@ NOISE_NAMES = frozenset(
     " comment comments disqus reply replies share sharing social related recommended widget"
     " toolbar pagination pager skip hidden".split()
 )
+LAYOUT = frozenset("has with without no not is".split())
 NOISE_ROLES = frozenset(
     "navigation banner contentinfo complementary search alert dialog menu menubar toolbar".split()
 )
 KEEPERS = frozenset(["article", "main"])
 
 
+def noisy_name(name: str) -> bool:
+    """True if a class or id begins or ends with a noise name; "has-sidebar" names a layout."""
+    parts = [part for part in NAME_PARTS.split(name) if part]
+    return bool(parts) and parts[0] not in LAYOUT and not NOISE_NAMES.isdisjoint((parts[0], parts[-1]))
+
+
 class Page:
     """The elements of a page in page order, as parallel lists."""
 
@@ -132,7 +139,8 @@ class Page:
         parent = stack[-1]
         self.tag.append(name)
         self.parent.append(parent)
-        self.noise.append(self.noise[parent] or self._is_noise(stack, name, attrs))
+        # main content counts whatever its wrappers are called
+        self.noise.append(name != "main" and self.noise[parent] or self._is_noise(stack, name, attrs))
         for values, first in (
             (self.chars, 0), (self.tags, 0), (self.link_chars, 0), (self.link_tags, int(name == "a"))
         ):
@@ -156,7 +164,7 @@ class Page:
             return False
         for key, value in ATTRIBUTE.findall(attrs):
             key, value = key.lower(), value.strip("\"'").lower()
-            if key in ("class", "id") and not NOISE_NAMES.isdisjoint(NAME_PARTS.split(value)):
+            if key in ("class", "id") and any(map(noisy_name, value.split())):
                 return True
             if key == "role" and value in NOISE_ROLES:
                 return True

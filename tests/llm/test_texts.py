@@ -350,6 +350,22 @@ def test_pages_without_an_article():
     assert extraction.main_text(page) == " ".join([text] * 3)
 
 
+@pytest.mark.parametrize(
+    ("name", "noise"),
+    [("ad", True), ("sidebar-left", True), ("cookie_notice", True), ("ad2", True), ("has-sidebar", False)]
+    + [("admin", False), ("no-ads", False), ("post-content", False), ("comment-list", True), ("", False)],
+)
+def test_noisy_names(name, noise):
+    assert extraction.noisy_name(name) is noise
+
+
+def test_layout_names_keep_the_text():
+    text = "A sentence of the story that is long enough. " * 5
+    for wrapper in ("<div class='has-sidebar'>", "<div id='widget-page'><main>"):
+        page = f"<body>{wrapper}<div class='main-content'><h1>Head</h1><p>{text}</p></div></body>"
+        assert extraction.main_text(page) == f"Head {text}".strip()
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
