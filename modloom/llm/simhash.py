@@ -315,15 +315,17 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """One row of every component: the one with the smallest id; columns stay.
 
+    ``found`` has the ``doc_id`` and ``component_id`` of all rows, by default from the fingerprints.
     Of several rows with that id the smallest by its other columns stays. Components without any
     id keep one row, too. Texts are shuffled once, to meet the kept ids.
     """
     names = docs.columns
     key = free_name(docs, "kept_id")
-    found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = near_duplicates(docs) if found is None else found
+    found = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = cut_lineage(found.groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("n")), "simhash-kept")
     once, repeated = (kept.filter(x).select(key) for x in ("n = 1", "n > 1"))
     same = F.col("doc_id").eqNullSafe(F.col(key))
