@@ -4,7 +4,8 @@ Every page becomes a flat tree of elements. Each element has its characters, tag
 characters and link tags; from these its link-adjusted characters per tag. The sum over an
 element's children finds the element whose children carry most text; the least density on the way
 from it up to the body is the threshold above which other parts count as text, too. The article
-that holds the found element, if there is one, is taken whole. Menus, page headers, footers,
+that holds the found element, if there is one, is taken whole, with the articles beside it that
+have as many link-free characters per tag as the way up; else all articles inside it, if they hold most of its text. Menus, page headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments never count.
 
 One Arrow pass without a shuffle. Defined results: null, empty and text-free pages give an empty
@@ -72,10 +73,14 @@ NOISE_ROLES = frozenset(
 KEEPERS = frozenset(["article", "main"])
 
 
-def noisy_name(name: str) -> bool:
-    """True if a class or id begins or ends with a noise name; "has-sidebar" names a layout."""
+def noisy_name(name: str, topics: bool = False) -> bool:
+    """True if a class or id begins or ends with a noise name; "has-sidebar" names a layout.
+
+    With ``topics`` the end does not count: an article's "tag-social" names what it is about.
+    """
     parts = [part for part in NAME_PARTS.split(name) if part]
-    return bool(parts) and parts[0] not in LAYOUT and not NOISE_NAMES.isdisjoint((parts[0], parts[-1]))
+    ends = parts[:1] if topics else (parts[:1] + parts[-1:])
+    return bool(parts) and parts[0] not in LAYOUT and not NOISE_NAMES.isdisjoint(ends)
 
 
 class Page:
@@ -156,7 +161,7 @@ class Page:
     def _is_noise(self, stack: list[int], name: str, attrs: str) -> bool:
         if name in NOISE_TAGS:
             return True
-        if name in KEEPERS or name in ("html", "body"):
+        if name in ("main", "html", "body"):
             return False
         if name == "header":
             return not any(self.tag[n] in KEEPERS for n in stack)
@@ -164,7 +169,7 @@ class Page:
             return False
         for key, value in ATTRIBUTE.findall(attrs):
             key, value = key.lower(), value.strip("\"'").lower()
-            if key in ("class", "id") and any(map(noisy_name, value.split())):
+            if key in ("class", "id") and any(noisy_name(v, name == "article") for v in value.split()):
                 return True
             if key == "role" and value in NOISE_ROLES:
                 return True
@@ -235,13 +240,18 @@ class Page:
         if not inside:
             return []
         best = max(inside, key=lambda node: (total[node], self.chars[node], -node))
-        keeper = self._keeper(best)
-        if keeper is not None:
-            return [keeper]
-        threshold, node = density[best], best
+        threshold, plain, node = density[best], self._plain(best), best
         while node > self.body:
             node = self.parent[node]
-            threshold = min(threshold, density[node])
+            threshold, plain = min(threshold, density[node]), min(plain, self._plain(node))
+        keeper = self._keeper(best)
+        if keeper is not None:
+            up = self.parent[keeper] if self.tag[keeper] == "article" else None
+            beside = [n for n in inside if self.tag[n] == "article" and self.parent[n] == up]
+            return [keeper, *(n for n in beside if self._plain(n) >= plain)]
+        within = self._articles(best)
+        if sum(self.chars[n] for n in within) * 2 > self.chars[best]:
+            return within
         # the element with the largest sum in each subtree
         top = list(range(len(total)))
         for node in range(len(total) - 1, 0, -1):
@@ -250,17 +260,30 @@ class Page:
                 top[up] = top[node]
         return [best, *{top[node] for node in inside if density[node] >= threshold and node != self.body}]
 
+    def _plain(self, node: int) -> float:
+        """Characters outside links per tag: unlike the density free of the element's size."""
+        return (self.chars[node] - self.link_chars[node]) / max(self.tags[node], 1)
+
     def _keeper(self, node: int) -> int | None:
-        """The innermost article (else main) around a node; else the only one inside it."""
-        up = node
+        """The innermost article (else main) around a node."""
         for name in ("article", "main"):
             up = node
             while up > 0:
                 if self.tag[up] == name:
                     return up
                 up = self.parent[up]
-        within = [n for n, tag in enumerate(self.tag) if tag == "article" and not self.noise[n] and self.chars[n]]
-        return max(within, key=lambda n: (self.chars[n], -n)) if within else None
+        return None
+
+    def _articles(self, node: int) -> list[int]:
+        """The outermost articles inside a node."""
+        inner, found = {node}, []
+        for n in range(node + 1, len(self.tag)):
+            if self.parent[n] in inner and not self.noise[n]:
+                if self.tag[n] != "article":
+                    inner.add(n)
+                elif self.chars[n]:
+                    found.append(n)
+        return found
 
     def text(self) -> str:
         marked = [False] * len(self.tag)
