@@ -31,7 +31,9 @@ LOGIN_NAMES = (
     "[Uu][Ss][Ee][Rr](?:_?[Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn]"
     "|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt](?:_?[Ii][Dd])?"
 )
-LOGIN = rf"""(?:{LOGIN_NAMES})["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{{3,64}}"""
+LOGIN = rf"""(?:{LOGIN_NAMES})["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{{3,}}"""
+#: The same with the length limit that the oracle still has.
+LOGIN_OF_ORACLE = LOGIN.replace("{3,}", "{3,64}")
 WEAK = "[A-Za-z0-9+/]{32,}={0,2}"
 ENDPOINT = r"""(?:https?|postgres(?:ql)?|mysql|redis|amqp|mongodb)://[A-Za-z0-9.:@/?&=_%~+-]+"""
 KINDS = ("assign", "access", "hex", "endpoint", "login", "weak")
@@ -126,7 +128,10 @@ def _near(parts: Column, wanted: tuple[str, ...]) -> Column:
 
 
 def _free(parts: Column) -> Column:
-    """Drops weak runs and log-ins that overlap a base span, which says the same already."""
+    """Drops weak runs and log-ins that overlap a base span, which says the same already.
+
+    An endpoint stays: a base span inside it is only a part of it.
+    """
 
     def ends(parts: Column) -> Column:
         return F.transform(parts, lambda p: F.when(p["kind"] < BASE_KINDS, p["end"]).otherwise(-1))
@@ -146,6 +151,7 @@ def _free(parts: Column) -> Column:
         lambda b: F.filter(
             parts,
             lambda p, i: (p["kind"] < BASE_KINDS)
+            | (p["kind"] == KINDS.index("endpoint"))
             | ((b["before"][i] <= p["start"]) & ((1 << 30) - b["after"][i] >= p["end"])),
         ),
     )
@@ -259,6 +265,8 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
+    """The report in DuckDB SQL; it still drops endpoints over a base span and cuts log-ins at 64."""
+
     def quoted(value: str) -> str:
         return "'" + value.replace("'", "''") + "'"
 
@@ -296,7 +304,7 @@ base AS ({matched("assign", ASSIGN, 2, ASSIGN_LENGTH)}
 UNION ALL {matched("access", ACCESS, 0, ACCESS_LENGTH)}
 UNION ALL {matched("hex", HEX, 0, HEX_LENGTH)}),
 weak AS ({matched("endpoint", ENDPOINT, 0, 1)}
-UNION ALL {matched("login", LOGIN, 0, 1)}
+UNION ALL {matched("login", LOGIN_OF_ORACLE, 0, 1)}
 UNION ALL {matched("weak", WEAK, 0, 1, mixed)}),
 free AS (
   SELECT * FROM base UNION ALL
