@@ -27,7 +27,7 @@ def sample(parsed):
 
 
 def test_every_rule_fires_on_its_own_match(docs):
-    rules = licenses.keyed_rules()
+    rules = licenses.spaced_rules()
     texts = [sample(_parser.parse(pattern)) for *_, pattern, _ in rules]
     rows = docs(texts).select("doc_id", licenses.detections(licenses.lower_ascii(licenses.text_of())).alias("found"))
     fired = {r.doc_id: {d.rule for d in r.found} for r in rows.collect()}
