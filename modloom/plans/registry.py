@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 import numpy as np
@@ -55,15 +56,19 @@ def portable(df: DataFrame) -> DataFrame:
 # written once per application and input folder.
 
 _STAGES: dict[tuple[str, str, str], str] = {}
+_ONE_AT_A_TIME = threading.RLock()
 
 
 def stage(name: str, build: Query) -> Query:
     def load(spark: SparkSession, folder: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, folder, name)
-        if key not in _STAGES:
-            path = storage.scratch_path(spark, name)
-            storage.write_table(build(spark, folder), path)
-            _STAGES[key] = path
+        # Later queries read the table, so no scope that happens to be open may own it.
+        with _ONE_AT_A_TIME, storage.outside_scopes():
+            if key not in _STAGES or not storage.is_complete(spark, _STAGES[key]):
+                path = storage.scratch_path(spark, name)
+                with storage.own_scratch(spark):
+                    storage.write_table(build(spark, folder), path)
+                _STAGES[key] = path
         return spark.read.parquet(_STAGES[key])
 
     return load

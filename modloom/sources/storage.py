@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,36 +24,137 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-#: Scratch tables of this process that have not been removed.
-_SCRATCH: list[str] = []
+class Scratch:
+    """Scratch tables of one piece of work: it owns the paths made through it and no others."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    @contextmanager
+    def entered(self) -> Iterator[Scratch]:
+        """New scratch tables of this thread belong to this scope; what is there stays."""
+        token = _SCOPE.set(self)
+        try:
+            yield self
+        finally:
+            _SCOPE.reset(token)
+
+    def clear(self) -> None:
+        while self.paths:
+            drop_table(self.spark, self.paths.pop())
+
+
+#: The scope that new scratch tables belong to. A new thread has none, until it enters one.
+_SCOPE: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; the current scope, if there is one, removes it."""
     path = f"{shared_folder(spark)}/modloom/{name}-{uuid.uuid4().hex}"
-    _SCRATCH.append(path)
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.paths.append(path)
     return path
 
 
-def scratch_tables(name: str) -> list[str]:
-    return [path for path in _SCRATCH if path.rsplit("/", 1)[-1].startswith(f"{name}-")]
+@contextmanager
+def own_scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """A scope whose scratch tables go at its end, also after an error.
+
+    What reads them must be written by then. Scopes nest: an inner one removes its own tables
+    only. Another thread joins in with ``scope.entered()``; otherwise its tables are not touched.
+    """
+    scope = Scratch(spark)
+    try:
+        with scope.entered():
+            yield scope
+    finally:
+        scope.clear()
 
 
 @contextmanager
-def own_scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes the scratch tables made inside; what reads them must be written by the end."""
-    before = len(_SCRATCH)
-    yield
-    while len(_SCRATCH) > before:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Replaces the table at ``path``. Readers see it only after the job has committed."""
-    writer = df.write.mode("overwrite").option("compression", "zstd")
+def outside_scopes() -> Iterator[None]:
+    """Scratch tables made inside belong to no scope: they outlive the work that asked for them."""
+    token = _SCOPE.set(None)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    files, where = _hadoop(spark, path)
+    files.delete(where, True)
+
+
+def _beside(spark: SparkSession, path: str, what: str) -> str:
+    """A hidden sibling of ``path``, in the same file system."""
+    _, where = _hadoop(spark, path)
+    return f"{where.getParent().toString()}/_{where.getName()}.{what}"
+
+
+def _move(spark: SparkSession, old: str, new: str) -> None:
+    files, where = _hadoop(spark, old)
+    if not files.rename(where, _hadoop(spark, new)[1]):
+        raise OSError(f"cannot rename {old} to {new}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, where = _hadoop(spark, path)
+    return files.exists(where)
+
+
+def restore(spark: SparkSession, path: str) -> None:
+    """Puts the old table back where a writer died between the two renames of a swap."""
+    old = _beside(spark, path, "old")
+    if _exists(spark, old):
+        if _exists(spark, path):
+            drop_table(spark, old)
+        else:
+            _move(spark, old, path)
+
+
+def _save(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_table(
+    df: DataFrame,
+    path: str,
+    partition_by: tuple[str, ...] = (),
+    accept: Callable[[DataFrame], None] | None = None,
+) -> None:
+    """Replaces the table at ``path`` by ``df``, which may read the old one.
+
+    The rows are written beside it and take its place by two renames after the job has
+    committed and ``accept``, which gets the written rows, has not raised. After any error
+    before that the old table is as it was. One writer at a time.
+    """
+    spark = df.sparkSession
+    new, old = _beside(spark, path, f"new-{uuid.uuid4().hex}"), _beside(spark, path, "old")
+    restore(spark, path)
+    try:
+        _save(df, new, partition_by)
+        if accept is not None:
+            # a glob, as Spark takes no path with a hidden name
+            accept(spark.read.schema(df.schema).option("basePath", new).parquet(f"{new}/[!_]*"))
+        if _exists(spark, path):
+            _move(spark, path, old)
+        _move(spark, new, path)
+    except BaseException:
+        restore(spark, path)
+        drop_table(spark, new)
+        raise
+    drop_table(spark, old)
+
+
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
@@ -61,14 +163,14 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    write_table(df, path)
+    _save(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
     """True where a committed table lies at ``path``."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    restore(spark, path)
+    return _exists(spark, f"{path}/_SUCCESS")
 
 
 def materialize(

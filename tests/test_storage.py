@@ -1,9 +1,14 @@
 import json
 import os
+import shutil
+import threading
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
+from modloom.plans import registry
 from modloom.sources import storage
 
 
@@ -79,14 +84,112 @@ def test_content_fingerprint_ignores_order(spark):
     assert keys[0] == keys[1] != keys[2]
 
 
+def here(df):
+    """The folder that a scratch table lies in."""
+    return Path(urlparse(df.inputFiles()[0]).path).parent
+
+
 def test_scratch_of_a_plan_is_removed(spark, tmp_path):
+    made = []
+
     def build():
-        cut = storage.cut_lineage(spark.range(5), "short-lived")
-        assert storage.scratch_tables("short-lived")
-        return (cut,)
+        made.append(here(storage.cut_lineage(spark.range(5), "short-lived")))
+        return (spark.read.parquet(str(made[0])),)
 
     (df,) = storage.materialize(spark, f"{tmp_path}/t", build)
-    assert df.count() == 5 and not storage.scratch_tables("short-lived")
+    assert df.count() == 5 and not made[0].exists()
+
+
+def test_scopes_nest_and_clean_up_after_errors(spark):
+    with storage.own_scratch(spark):
+        outer = here(storage.cut_lineage(spark.range(3)))
+        with pytest.raises(ZeroDivisionError), storage.own_scratch(spark):
+            inner = here(storage.cut_lineage(spark.range(4)))
+            with storage.outside_scopes():
+                free = here(storage.cut_lineage(spark.range(5)))
+            1 / 0
+        assert outer.exists() and not inner.exists()
+    assert not outer.exists() and free.exists()
+    assert here(storage.cut_lineage(spark.range(2))).exists()
+
+
+def test_scopes_of_threads_are_apart(spark):
+    opened, made = threading.Event(), threading.Event()
+    found = {}
+
+    def other():
+        opened.wait(60)
+        found["own"] = storage.cut_lineage(spark.range(7))
+        with found["scope"].entered():
+            found["shared"] = here(storage.cut_lineage(spark.range(8)))
+        made.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with storage.own_scratch(spark) as found["scope"]:
+        opened.set()
+        assert made.wait(60)
+    thread.join()
+    assert found["own"].count() == 7 and not found["shared"].exists()
+
+
+def test_a_stage_asked_for_inside_materialize_stays(spark, tmp_path):
+    """Any query may be the first to ask for a stage, in any order and any share of the queries."""
+    build = registry.stage("numbers", lambda spark, folder: spark.range(6))
+    key = str(tmp_path)
+    storage.materialize(spark, f"{tmp_path}/t", lambda: (build(spark, key),))
+    path = Path(urlparse(build(spark, key).inputFiles()[0]).path).parent
+    assert build(spark, key).count() == 6
+    shutil.rmtree(path)
+    assert build(spark, key).count() == 6
+
+
+def broken(spark):
+    return spark.range(4).withColumn("x", F.raise_error(F.lit("no")).cast("long"))
+
+
+def left(path):
+    return sorted(p.name for p in path.iterdir())
+
+
+def test_a_failed_overwrite_leaves_the_old_table(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    storage.write_table(spark.range(10), path)
+
+    def refuse(rows):
+        assert rows.count() == 3
+        raise ValueError("not these")
+
+    with pytest.raises(ValueError, match="not these"):
+        storage.write_table(spark.range(3), path, accept=refuse)
+    with pytest.raises(Exception, match="no"):
+        storage.write_table(broken(spark), path)
+    assert spark.read.parquet(path).count() == 10 and left(tmp_path) == ["t"]
+    storage.write_table(spark.read.parquet(path).filter("id < 4"), path)
+    assert spark.read.parquet(path).count() == 4 and left(tmp_path) == ["t"]
+
+
+def test_a_failed_first_write_leaves_nothing(spark, tmp_path):
+    with pytest.raises(Exception, match="no"):
+        storage.materialize(spark, f"{tmp_path}/t", lambda: (broken(spark),))
+    assert left(tmp_path) == []
+
+
+def test_a_swap_cut_short_is_made_good(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    storage.write_table(spark.range(5), path)
+    (tmp_path / "t").rename(tmp_path / "_t.old")
+    assert storage.is_complete(spark, path) and spark.read.parquet(path).count() == 5
+    storage.write_table(spark.range(2), f"{tmp_path}/_t.old")
+    storage.write_table(spark.range(6), path)
+    assert spark.read.parquet(path).count() == 6 and left(tmp_path) == ["t"]
+
+
+def test_accept_sees_partitions(spark, tmp_path):
+    seen = []
+    rows = spark.range(6).withColumn("part", F.col("id") % 2)
+    storage.write_table(rows, f"{tmp_path}/t", ("part",), lambda df: seen.append(df.groupBy("part").count().count()))
+    assert seen == [2]
 
 
 def test_report(spark, tmp_path):
