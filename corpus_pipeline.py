@@ -3,13 +3,17 @@
 Toxic documents go, one document of every group of near copies stays, secrets are masked, sources
 are mixed to their target weights, and the mix is packed into sequences. Each stage works on all
 rows that the one before it kept; its result is a table in the shared folder.
+
+Defined results: null and empty texts are clean, are copies of each other, hold no secret and are
+packed as the end token; of rows without an id that form a group one stays; repeated rows are
+copies; other columns pass through to the last stage's input; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modloom.llm import credentials, mixing, packing, shingles, simhash, tables, toxicity
+from modloom.llm import credentials, mixing, packing, simhash, tables, toxicity
 from modloom.sources import storage
 
 
@@ -20,11 +24,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
-
-    The few bits of the fingerprint query would miss most of these.
-    """
-    return simhash.keep_one(docs, shingles.near_duplicates(docs))
+    """One document of each group whose fingerprints link: four-word shingles, 4 bits at most."""
+    return simhash.keep_one(docs)
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,12 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage. Tables that a stage makes on its way go once it is written."""
-    docs = tables.read(spark, sf_dir, "documents")
+    """The result of the last stage. Tables on the way go as soon as the next stage is written."""
+    docs, before = tables.read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = storage.scratch_path(spark, name.replace(" ", "-"))
         with storage.own_scratch(spark):
             result = stage(spark, docs, sf_dir)
             storage.write_table(result, path)
         docs = spark.read.schema(result.schema).parquet(path)
+        if before is not None:
+            storage.drop_table(spark, before)
+        before = path
     return docs
