@@ -10,6 +10,7 @@ from modloom.llm import (
     covertree,
     credentials,
     extraction,
+    fim,
     language,
     licenses,
     mixing,
@@ -63,6 +64,10 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return credentials.secret_report(read(spark, folder, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fim.middle_report(read(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         name: value
@@ -77,4 +82,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_source_mix": mixing.ORACLE,
         "op5_cover_tree_dedup": covertree.ORACLE,
         "op10_secret_scan": credentials.oracle(),
+        "op13_fill_in_middle": fim.ORACLE,
     }
