@@ -12,6 +12,7 @@ from modloom.llm import (
     extraction,
     fim,
     language,
+    lexicon,
     licenses,
     mixing,
     packing,
@@ -64,6 +65,10 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return credentials.secret_report(read(spark, folder, "documents"))
 
 
+def op12_bpe_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    return lexicon.encoding_report(read(spark, folder, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return fim.middle_report(read(spark, folder, "documents"))
 
