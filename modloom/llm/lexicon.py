@@ -19,6 +19,7 @@ import heapq
 import json
 import re
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -36,8 +37,10 @@ from modloom.sources.storage import scratch_path
 
 #: Words of the lexicon, and bytes of its longest word; all others are merged.
 SIZE, LONGEST = 1 << 15, 48
-#: Code points that are split at a time; words that a task remembers or counts at a time.
-BLOCK, KEPT = 1 << 20, 1 << 16
+#: Code points that are split at a time; fields that a task remembers or counts at a time.
+BLOCK, KEPT = 1 << 20, 1 << 17
+#: Bytes of a word up to which its pairs are searched one by one.
+SHORT = 64
 #: Bytes of ids or text in one Arrow batch.
 BATCH = 1 << 23
 
@@ -78,6 +81,26 @@ class Vocabulary:
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: always the pair of lowest rank, the leftmost of equal ones, is merged."""
         ids = [self.first[b] for b in word]
+        return self._merge_short(ids) if len(ids) <= SHORT else self._merge_long(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        merges, none = self.merges, (len(self.merges), -1)
+        ranks = [merges.get(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best is none:
+                break
+            i = ranks.index(best)
+            ids[i : i + 2] = [best[1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = merges.get((ids[i], ids[i + 1]), none)
+            if i:
+                ranks[i - 1] = merges.get((ids[i - 1], ids[i]), none)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same from a heap of pairs, in about n log n steps."""
         after = [*range(1, len(ids)), -1]
         before = [*range(-1, len(ids) - 1)]
         merges = self.merges
@@ -118,27 +141,33 @@ def vocabulary(path: str) -> Vocabulary:
 
 #: Code points that this library and the tokenizers library put in the same classes.
 AGREED = re.compile("[\0-՗ -⁯₠-₿　-ゖァ-ヾ一-龥가-힣]*")
-#: A place that no word spans: before a space between a word's end and a letter.
-SAFE = regex.compile(r"(?<=\S) (?=\p{L})")
+#: No word spans the place before such a space, so what lies between is split on its own.
+FIELD = re.compile(r" (?=\S)")
 
 
 class Splitter:
-    """The words of a text by the vocabulary's pattern."""
+    """Texts in fields, which follow one another in a space, and fields in the vocabulary's words."""
 
     def __init__(self, path: str, pattern: str):
         self.path, self.pattern = path, regex.compile(pattern)
         self.original = None
 
-    def blocks(self, text: str) -> Iterator[list[str]]:
-        """The words of ``text``, BLOCK code points or a little more at a time."""
-        quick = text.isascii() or AGREED.fullmatch(text)
+    @staticmethod
+    def blocks(text: str) -> Iterator[tuple[str, list[str]]]:
+        """(first field, the others without their space) of BLOCK code points or a little more."""
         start = 0
         while start < len(text):
-            cut = SAFE.search(text, start + BLOCK) if len(text) - start > BLOCK else None
+            cut = FIELD.search(text, start + BLOCK) if len(text) - start > BLOCK else None
             stop = cut.start() if cut else len(text)
-            yield self.pattern.findall(text, start, stop) if quick else self._by_library(text[start:stop])
+            first, *others = FIELD.split(text[start:stop])
+            yield first, others
             start = stop
 
+    def words(self, field: str) -> list[str]:
+        if field.isascii() or AGREED.fullmatch(field):
+            return self.pattern.findall(field)
+        return self._by_library(field)
+
     def _by_library(self, text: str) -> list[str]:
         if self.original is None:
             from tokenizers import Tokenizer
@@ -308,20 +337,25 @@ def word_counts(docs: DataFrame, encoding: Encoding) -> DataFrame:
     """(word, n) over all texts, for words of at most LONGEST bytes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, counts = encoding.splitter(), Counter()
+        splitter, fields, firsts = encoding.splitter(), Counter(), Counter()
 
         def emptied() -> pa.RecordBatch:
+            counts = Counter()
+            for space, found in (("", firsts), (" ", fields)):
+                for field, n in found.items():
+                    for word in splitter.words(space + field):
+                        counts[word] += n
+                found.clear()
             words = [w for w in counts if len(w.encode()) <= LONGEST]
-            found = pa.record_batch({"word": pa.array(words, pa.string()), "n": pa.array([counts[w] for w in words], pa.int64())})
-            counts.clear()
-            return found
+            return pa.record_batch({"word": pa.array(words, pa.string()), "n": pa.array([counts[w] for w in words], pa.int64())})
 
         for batch in batches:
             for text in batch.column(0):
                 for part in encoding.parts(text.as_py())[::2]:
-                    for words in splitter.blocks(part):
-                        counts.update(words)
-                if len(counts) > KEPT:
+                    for first, others in splitter.blocks(part):
+                        firsts[first] += 1
+                        fields.update(others)
+                if len(fields) + len(firsts) > KEPT:
                     yield emptied()
         yield emptied()
 
@@ -353,31 +387,45 @@ class Encoder:
     """What a task needs to turn texts into ids."""
 
     def __init__(self, encoding: Encoding, lexicon: Lexicon):
-        self.encoding, self.lexicon = encoding, lexicon
-        self.splitter, self.known = encoding.splitter(), {}
-
-    def learn(self, words: set[str]) -> None:
-        """Makes ``known`` hold the packed ids of all ``words``."""
-        fresh = [w for w in words if w not in self.known]
-        raw = [w.encode() for w in fresh]
-        for word, own, rank in zip(fresh, raw, self.lexicon.ranks(raw), strict=True):
-            ids = self.lexicon.ids_at(rank) if rank >= 0 else self.encoding.vocabulary.merge(own)
-            self.known[word] = np.asarray(ids, "<u4").tobytes()
-
-    def packed(self, texts: list[str]) -> list[bytes]:
+        self.encoding, self.lexicon, self.splitter = encoding, lexicon, encoding.splitter()
+        #: The packed ids of fields, with the space before them.
+        self.known: dict[str, bytes] = {}
+
+    def look_up(self, words: list[str]) -> dict[str, bytes]:
+        """The packed ids of distinct words: from the lexicon, or merged."""
+        raw = [w.encode() for w in words]
+        merge = self.encoding.vocabulary.merge
+        found = {}
+        for word, own, rank in zip(words, raw, self.lexicon.ranks(raw).tolist(), strict=True):
+            found[word] = packed(self.lexicon.ids_at(rank) if rank >= 0 else merge(own))
+        return found
+
+    def of_fields(self, fields: list[str]) -> list[bytes]:
+        words = [self.splitter.words(field) for field in fields]
+        found = self.look_up(list(set().union(*words)))
+        return [b"".join(map(found.__getitem__, own)) for own in words]
+
+    def learn(self, fields: set[str]) -> None:
+        """Makes ``known`` hold all ``fields``."""
+        fresh = list(fields.difference(self.known))
+        self.known.update(zip(fresh, self.of_fields([" " + field for field in fresh]), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         added = self.encoding.vocabulary.added
         found: list[list[bytes]] = [[] for _ in texts]
-        held: list[tuple[int, list[str]]] = []
+        held: list[tuple[int, str, list[str]]] = []
         size = 0
 
         def release() -> None:
             nonlocal size
             if len(self.known) > KEPT:
                 self.known.clear()
-            self.learn(set().union(*(words for _, words in held)))
-            for row, words in held:
-                found[row].append(b"".join(map(self.known.__getitem__, words)))
+            self.learn(set().union(*(others for _, _, others in held)))
+            firsts = self.of_fields([first for _, first, _ in held])
+            for (row, _, others), first in zip(held, firsts, strict=True):
+                found[row].append(first)
+                found[row].extend(map(self.known.__getitem__, others))
             held.clear()
             size = 0
 
@@ -385,17 +433,21 @@ class Encoder:
             for i, part in enumerate(self.encoding.parts(text)):
                 if i % 2:
                     release()
-                    found[row].append(added[part].to_bytes(4, "little"))
+                    found[row].append(packed([added[part]]))
                     continue
-                for words in self.splitter.blocks(part):
-                    held.append((row, words))
-                    size += len(words)
+                for first, others in self.splitter.blocks(part):
+                    held.append((row, first, others))
+                    size += len(others)
                     if size > BLOCK // 4:
                         release()
         release()
         return [b"".join(parts) for parts in found]
 
 
+def packed(ids) -> bytes:
+    return array("I", ids).tobytes()
+
+
 def _slices(column: pa.Array, limit: int = BATCH) -> Iterator[tuple[int, pa.Array]]:
     """Consecutive parts of a text or binary column, each of about ``limit`` bytes or one row."""
     first, size = 0, 0
@@ -434,7 +486,7 @@ def encode(
 
     def make() -> Callable[[pa.Array], pa.Array]:
         encoder = Encoder(encoding, Lexicon.mapped(SparkFiles.get(name)))
-        return lambda texts: pa.array(encoder.packed(texts.to_pylist()), pa.binary())
+        return lambda texts: pa.array(encoder.encode(texts.to_pylist()), pa.binary())
 
     rows = docs.select(F.col(f"`{id_column}`"), text_of().alias("bpe_text"))
     return _through(rows, "bpe_text", T.StructField("ids", T.BinaryType()), make)

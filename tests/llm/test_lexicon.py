@@ -45,6 +45,9 @@ def test_merges_match_the_library():
     for word in [*words, "a" * 5000, "ab" * 3000, "é", "日本語"]:
         assert ENCODING.vocabulary.merge(word.encode()) == expected(word)
     assert ENCODING.vocabulary.merge(b"") == []
+    for word in words:
+        ids = [ENCODING.vocabulary.first[b] for b in word.encode()]
+        assert ENCODING.vocabulary._merge_long(ids) == expected(word)
 
 
 def test_classes_agree_where_the_quick_split_is_used():
@@ -53,8 +56,26 @@ def test_classes_agree_where_the_quick_split_is_used():
     assert len(agreed) > 30_000
     for at in range(0, len(agreed), 2000):
         text = "".join(f"\na{chr(c)}1{chr(c)}.{chr(c)} {chr(c)}x" for c in agreed[at : at + 2000])
-        (words,) = splitter.blocks(text)
-        assert words == splitter._by_library(text)
+        assert splitter.words(text) == splitter._by_library(text)
+
+
+def words_of(text):
+    splitter = ENCODING.splitter()
+    for part in ENCODING.parts(text)[::2]:
+        for first, others in splitter.blocks(part):
+            yield from splitter.words(first)
+            for field in others:
+                yield from splitter.words(" " + field)
+
+
+def test_fields_do_not_cut_words():
+    """Also for code points that the two libraries class differently."""
+    splitter = ENCODING.splitter()
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF][::7]
+    points += [*range(0x3000), 0x180E, 0xFEFF, 0x1680]
+    for at in range(0, len(points), 4000):
+        text = "".join(f"a {chr(c)} \n {chr(c)}b  {chr(c)}\t 1 x" for c in points[at : at + 4000])
+        assert list(words_of(text)) == splitter._by_library(text)
 
 
 def test_automaton_is_exact_and_minimal():
@@ -86,11 +107,11 @@ def test_no_words_and_one_word(tmp_path):
 @pytest.mark.parametrize("size", [0, 3, 10_000])
 def test_the_lexicon_changes_no_id(size):
     texts = [*TEXTS, *random_texts(150)]
-    words = sorted({w for t in texts for part in ENCODING.parts(t)[::2] for b in ENCODING.splitter().blocks(part) for w in b})
+    words = sorted({w for t in texts for w in words_of(t)})
     entries = {w.encode(): ENCODING.vocabulary.merge(w.encode()) for w in words[:size]}
     encoder = lexicon.Encoder(ENCODING, lexicon.Lexicon.compile(entries))
-    for text, packed in zip(texts, encoder.packed(texts), strict=True):
-        ids = np.frombuffer(packed, "<u4").tolist()
+    for text, raw in zip(texts, encoder.encode(texts), strict=True):
+        ids = np.frombuffer(raw, "<u4").tolist()
         assert ids == expected(text)
         assert ENCODING.vocabulary.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False) == text
 
@@ -100,8 +121,8 @@ def test_blocks_change_no_id(monkeypatch):
     monkeypatch.setattr(lexicon, "KEPT", 5)
     texts = [*TEXTS, *random_texts(60), "word and  spaces\n\n end " * 100]
     encoder = lexicon.Encoder(ENCODING, lexicon.Lexicon.compile({b" and": ENCODING.vocabulary.merge(b" and")}))
-    for text, packed in zip(texts, encoder.packed(texts), strict=True):
-        assert np.frombuffer(packed, "<u4").tolist() == expected(text)
+    for text, raw in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == expected(text)
 
 
 def test_broken_ids_decode_like_the_library():
