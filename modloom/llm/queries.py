@@ -19,6 +19,7 @@ from modloom.llm import (
     postings,
     simhash,
     toxicity,
+    whitening,
 )
 from modloom.llm.tables import read
 
@@ -65,6 +66,10 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return credentials.secret_report(read(spark, folder, "documents"))
 
 
+def op11_qdwh_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitening_report(read(spark, folder, "embeddings"))
+
+
 def op12_bpe_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     return lexicon.encoding_report(read(spark, folder, "documents"))
 
