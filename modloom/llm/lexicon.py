@@ -18,11 +18,12 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import uuid
-from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modloom.llm.tables import text_of
-from modloom.sources.storage import scratch_path
+from modloom.llm.tables import cut_lineage, text_of
+from modloom.sources.storage import own_scratch, scratch_path
 
 #: Words of the lexicon, and bytes of its longest word; all others are merged.
-SIZE, LONGEST = 1 << 15, 48
-#: Code points that are split at a time; fields that a task remembers or counts at a time.
-BLOCK, KEPT = 1 << 20, 1 << 17
+SIZE, LONGEST = 1 << 17, 48
+#: Steps in which a number of occurrences doubles, to find the most frequent words.
+STEPS = 8
+#: Code points that are split at a time; fields that a task counts, or remembers twice as many of.
+BLOCK, KEPT = 1 << 20, 1 << 18
 #: Bytes of a word up to which its pairs are searched one by one.
 SHORT = 64
 #: Bytes of ids or text in one Arrow batch.
@@ -164,9 +167,10 @@ class Splitter:
             start = stop
 
     def words(self, field: str) -> list[str]:
-        if field.isascii() or AGREED.fullmatch(field):
-            return self.pattern.findall(field)
-        return self._by_library(field)
+        if not (field.isascii() or AGREED.fullmatch(field)):
+            return self._by_library(field)
+        one = field[1:].isalpha() and field[0] == " "
+        return [field] if one else self.pattern.findall(field)
 
     def _by_library(self, text: str) -> list[str]:
         if self.original is None:
@@ -326,8 +330,9 @@ class Lexicon:
         rank[(rank >= 0) & (self.final[state] == 0)] = -1
         return rank
 
-    def ids_at(self, rank: int) -> np.ndarray:
-        return self.ids[self.places[rank] : self.places[rank + 1]]
+    def packed_at(self, rank: int) -> bytes:
+        """The ids of the word with this rank, as they stand in the file."""
+        return self.ids[self.places[rank] : self.places[rank + 1]].tobytes()
 
 
 # --- Spark --------------------------------------------------------------------------------
@@ -363,11 +368,34 @@ def word_counts(docs: DataFrame, encoding: Encoding) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, size: int) -> DataFrame:
+    """The rows of ``counts`` (word, n) with the most frequent words, ``size`` at most.
+
+    The cut is a number of occurrences from a short histogram, so no task and not the driver
+    gets more than that; words as frequent as the cut come all or none.
+    """
+    step = F.floor(F.log2("n") * STEPS).cast("int")
+    steps = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()
+    least, total = 64 * STEPS, 0
+    for row in sorted(steps, reverse=True):
+        total += row.words
+        if total > size:
+            break
+        least = row.step
+    return counts.filter(step >= least)
+
+
 def fit_lexicon(docs: DataFrame, encoding: Encoding, size: int = SIZE) -> Lexicon:
-    """The lexicon of the ``size`` most frequent words; no more than these reach the driver."""
-    top = word_counts(docs, encoding).orderBy(F.desc("n"), "word").limit(size)
-    words = [row.word.encode() for row in top.collect()]
-    return Lexicon.compile({w: encoding.vocabulary.merge(w) for w in words})
+    """The lexicon of the most frequent words; no more than these, ``size`` at most, reach the driver."""
+
+    def make() -> Callable[[pa.Array], pa.Array]:
+        merge = encoding.vocabulary.merge
+        return lambda words: pa.array([packed(merge(w.encode())) for w in words.to_pylist()], pa.binary())
+
+    with own_scratch(docs.sparkSession):
+        top = frequent_words(cut_lineage(word_counts(docs, encoding), "words"), size)
+        made = _through(top.select(F.col("word").alias("key"), "word"), "word", T.StructField("ids", T.BinaryType()), make)
+        return Lexicon.compile({r.key.encode(): np.frombuffer(r.ids, "<i4").tolist() for r in made.collect()})
 
 
 def publish(spark: SparkSession, lexicon: Lexicon) -> str:
@@ -388,8 +416,9 @@ class Encoder:
 
     def __init__(self, encoding: Encoding, lexicon: Lexicon):
         self.encoding, self.lexicon, self.splitter = encoding, lexicon, encoding.splitter()
-        #: The packed ids of fields, with the space before them.
+        #: The packed ids of fields, with the space before them: of late, and from before that.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def look_up(self, words: list[str]) -> dict[str, bytes]:
         """The packed ids of distinct words: from the lexicon, or merged."""
@@ -397,17 +426,21 @@ class Encoder:
         merge = self.encoding.vocabulary.merge
         found = {}
         for word, own, rank in zip(words, raw, self.lexicon.ranks(raw).tolist(), strict=True):
-            found[word] = packed(self.lexicon.ids_at(rank) if rank >= 0 else merge(own))
+            found[word] = self.lexicon.packed_at(rank) if rank >= 0 else packed(merge(own))
         return found
 
     def of_fields(self, fields: list[str]) -> list[bytes]:
         words = [self.splitter.words(field) for field in fields]
-        found = self.look_up(list(set().union(*words)))
-        return [b"".join(map(found.__getitem__, own)) for own in words]
+        found = self.look_up(list(set(chain.from_iterable(words))))
+        return [found[own[0]] if len(own) == 1 else b"".join(map(found.__getitem__, own)) for own in words]
 
     def learn(self, fields: set[str]) -> None:
         """Makes ``known`` hold all ``fields``."""
-        fresh = list(fields.difference(self.known))
+        if len(self.known) > KEPT:
+            self.older, self.known = self.known, {}
+        fields.difference_update(self.known)
+        self.known.update((field, self.older[field]) for field in fields.intersection(self.older))
+        fresh = list(fields.difference(self.older))
         self.known.update(zip(fresh, self.of_fields([" " + field for field in fresh]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -419,8 +452,6 @@ class Encoder:
 
         def release() -> None:
             nonlocal size
-            if len(self.known) > KEPT:
-                self.known.clear()
             self.learn(set().union(*(others for _, _, others in held)))
             firsts = self.of_fields([first for _, first, _ in held])
             for (row, _, others), first in zip(held, firsts, strict=True):
@@ -444,8 +475,8 @@ class Encoder:
         return [b"".join(parts) for parts in found]
 
 
-def packed(ids) -> bytes:
-    return array("I", ids).tobytes()
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _slices(column: pa.Array, limit: int = BATCH) -> Iterator[tuple[int, pa.Array]]:

@@ -54,6 +54,8 @@ def test_classes_agree_where_the_quick_split_is_used():
     splitter = ENCODING.splitter()
     agreed = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and lexicon.AGREED.fullmatch(chr(c))]
     assert len(agreed) > 30_000
+    letter = lexicon.regex.compile(r"\p{L}")
+    assert all(chr(c).isalpha() == bool(letter.match(chr(c))) for c in agreed)
     for at in range(0, len(agreed), 2000):
         text = "".join(f"\na{chr(c)}1{chr(c)}.{chr(c)} {chr(c)}x" for c in agreed[at : at + 2000])
         assert splitter.words(text) == splitter._by_library(text)
@@ -87,7 +89,7 @@ def test_automaton_is_exact_and_minimal():
     ranks = found.ranks(asked)
     assert list(ranks[: len(words)]) == list(range(len(words)))
     for word, rank in zip(asked, ranks, strict=True):
-        assert (rank >= 0) == (word in words) and (rank < 0 or list(found.ids_at(rank)) == list(word))
+        assert (rank >= 0) == (word in words) and (rank < 0 or found.packed_at(rank) == lexicon.packed(list(word)))
     # states of the smallest automaton: distinct sets of continuations of the prefixes
     prefixes = {w[:i] for w in words for i in range(len(w) + 1)}
     tails = {frozenset(w[len(p) :] for w in words if w.startswith(p)) for p in prefixes}
@@ -101,7 +103,7 @@ def test_no_words_and_one_word(tmp_path):
     (tmp_path / "one").write_bytes(one.to_bytes())
     mapped = lexicon.Lexicon.mapped(str(tmp_path / "one"))
     assert isinstance(mapped.ids, np.memmap) and list(mapped.ranks([b"ab", b"a", b"abc"])) == [0, -1, -1]
-    assert list(mapped.ids_at(0)) == [5, 6]
+    assert mapped.packed_at(0) == lexicon.packed([5, 6])
 
 
 @pytest.mark.parametrize("size", [0, 3, 10_000])
@@ -158,5 +160,13 @@ def test_words_are_counted_over_all_rows(spark, docs):
     assert counts == {"one": 1, " two": 3, "two": 1}
 
 
+@pytest.mark.parametrize("size", [0, 1, 2, 5, 100])
+def test_frequent_words(spark, size):
+    rows = [("a", 100), ("b", 50), ("c", 3), ("d", 3), ("e", 1), ("f", 1), ("g", 1)]
+    counts = spark.createDataFrame(rows, "word string, n long")
+    found = {r.word for r in lexicon.frequent_words(counts, size).collect()}
+    assert found == set({0: "", 1: "a", 2: "ab", 5: "abcd", 100: "abcdefg"}[size])
+
+
 def test_empty_table(empty_docs):
     assert lexicon.encoding_report(empty_docs).count() == 0
