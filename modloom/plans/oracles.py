@@ -166,10 +166,75 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
           sha1('42|' || g.text_hash) AS deal_key
         FROM groups g JOIN dominant d ON g.text_hash = d.text_hash""",
     ),
+    "histogram": (
+        ("labeled",),
+        f"""SELECT text_hash, [{", ".join(f"count(*) FILTER (source || '|' || label_name = '{x}')" for x in _STRATA)},
+          count(*)] AS n FROM labeled GROUP BY text_hash""",
+    ),
+    "totals": (
+        ("histogram",),
+        f"SELECT [{', '.join(f'sum(n[{i + 1}])' for i in range(len(_STRATA) + 1))}]::DOUBLE[] AS t FROM histogram",
+    ),
+    "heads": (
+        ("histogram", "totals"),
+        """SELECT text_hash, n, row_number() OVER (ORDER BY n[9] DESC, sha1('42|' || text_hash)) AS rn
+        FROM histogram, totals WHERE n[9] > 1 AND n[9] * 1000 >= t[9]""",
+    ),
+    # The heaviest texts one by one: each to the fold with least of its own strata.
+    "placed": (
+        ("heads", "totals"),
+        f"""WITH RECURSIVE p AS (
+          SELECT 0 AS rn, '' AS text_hash, -1 AS fold,
+            list_transform(range(10), lambda f: {[0] * (len(_STRATA) + 1)}::DOUBLE[]) AS loads
+          UNION ALL
+          SELECT rn + 1, text_hash, fold, list_transform(range(10), lambda f: CASE WHEN f = fold
+            THEN list_transform(range(1, 10), lambda s: loads[f + 1][s] + n[s]) ELSE loads[f + 1] END)
+          FROM (SELECT p.rn, h.text_hash, h.n, p.loads,
+              list_sort(list_transform(
+                list_filter(range(10), lambda f: f > 1 OR p.loads[f + 1][9] + h.n[9] <= t.t[9] / 10),
+                lambda f: struct_pack(
+                  cost := round(list_sum(list_transform(range(1, 9), lambda s: CASE WHEN h.n[s] = 0 THEN 0
+                    ELSE h.n[s] * p.loads[f + 1][s] / t.t[s] END)) + h.n[9] * p.loads[f + 1][9] * 8 / t.t[9], 9),
+                  many := p.loads[f + 1][9],
+                  turn := CASE f WHEN 0 THEN 11 WHEN 1 THEN 10 ELSE f END,
+                  fold := f)))[1].fold AS fold
+            FROM p JOIN heads h ON h.rn = p.rn + 1, totals t) c)
+        SELECT * FROM p""",
+    ),
+    "filled": (
+        ("placed", "totals"),
+        """SELECT f, loads[f + 1][9] AS has, total, total - list_sum(list_transform(loads, lambda x: x[9])) AS rest
+        FROM (SELECT arg_max(loads, rn) AS loads FROM placed) p, (SELECT t[9] AS total FROM totals) t,
+          (SELECT unnest(range(10)) AS f) r""",
+    ),
+    "held_out_room": (
+        ("filled",),
+        """SELECT f, want * CASE WHEN sum(want) OVER () > 0 THEN least(1, rest / sum(want) OVER ()) ELSE 0 END AS gets
+        FROM (SELECT f, rest, greatest(0, total / 10 - has) AS want FROM filled WHERE f < 2) w""",
+    ),
+    "level": (
+        ("filled", "held_out_room"),
+        """SELECT min((rest - (SELECT sum(gets) FROM held_out_room) + before) / k) AS level
+        FROM (SELECT rest, sum(has) OVER w AS before, row_number() OVER w AS k FROM filled WHERE f > 1
+          WINDOW w AS (ORDER BY has, f ROWS UNBOUNDED PRECEDING)) s""",
+    ),
+    "turns": (
+        ("filled", "held_out_room", "level"),
+        """SELECT f, row_number() OVER (ORDER BY (j + 0.5::DOUBLE) / n, f) - 1 AS turn
+        FROM (SELECT f, n, unnest(range(n)) AS j FROM (
+          SELECT f, upto - coalesce(lag(upto) OVER (ORDER BY f), 0) AS n FROM (
+            SELECT f, CASE WHEN total > 0 THEN floor(1000 * run / total + 0.5)::BIGINT ELSE 0 END AS upto FROM (
+              SELECT f, sum(gets) OVER (ORDER BY f) AS run, sum(gets) OVER () AS total FROM (
+                SELECT f, gets FROM held_out_room
+                UNION ALL SELECT f, greatest(0, level - has) FROM filled, level WHERE f > 1) g) r) b) c) e""",
+    ),
     "folds": (
-        ("keyed",),
-        """SELECT text_hash, (row_number() OVER (PARTITION BY stratum
-            ORDER BY size_class DESC, deal_key) - 1 + stratum) % 10 AS fold FROM keyed""",
+        ("keyed", "placed", "turns"),
+        """SELECT text_hash, fold FROM placed WHERE rn > 0
+        UNION ALL SELECT text_hash, f FROM turns JOIN (
+          SELECT text_hash, (row_number() OVER (PARTITION BY stratum
+            ORDER BY size_class DESC, deal_key) - 1 + stratum) % 1000 AS turn
+          FROM keyed WHERE text_hash NOT IN (SELECT text_hash FROM placed)) k USING (turn)""",
     ),
     "unified": (
         ("labeled", "groups", "folds"),

@@ -119,8 +119,9 @@ def test_split_shares_are_balanced(spark):
         assert abs(r.test / total - 0.1) < 0.01 and abs(r.val / total - 0.1) < 0.01
 
 
-def test_folds_are_dealt_in_turn(spark, df, monkeypatch):
+def test_tail_is_dealt_in_turn(spark, df, monkeypatch):
     """Slices change nothing: the deal is one global order in each stratum."""
+    monkeypatch.setattr(split, "HEAD_SHARES", 0)
     groups = cut_lineage(group_table(df))
     folded = {r.text_hash: r.fold for r in split.fold_groups(groups).collect()}
     keyed = groups.withColumns({"s": dominant_stratum(), "k": seeded_key(42, F.col("text_hash"))})
@@ -134,6 +135,71 @@ def test_folds_are_dealt_in_turn(spark, df, monkeypatch):
     assert again == folded
 
 
+def heavy_rows(sizes, tail, classes=(0,)):
+    rows = [(f"text {k}", classes[k % len(classes)]) for k, size in enumerate(sizes) for _ in range(size)]
+    rows += [(f"rare {k}", k % 4) for k in range(tail)]
+    return [
+        (f"u{i}", text, ("jigsaw", "mhs")[len(text) % 2], label, CLASS_NAMES[label])
+        for i, (text, label) in enumerate(rows)
+    ]
+
+
+@pytest.mark.parametrize(
+    "sizes, tail, classes",
+    [
+        ([4000, 3000], 13_000, (0,)),
+        ([4000, 3000], 13_000, (0, 1)),
+        ([900] * 12, 9200, (0, 1, 2, 3)),
+        ([500 - k for k in range(30)], 5000, (0, 2)),
+        ([1000] * 9 + [999], 500, (3,)),
+        ([60, 40], 100, (0,)),
+    ],
+)
+def test_heavy_texts_leave_the_shares(spark, sizes, tail, classes):
+    rows = heavy_rows(sizes, tail, classes)
+    table = spark.createDataFrame(rows, SCHEMA)
+    first = split.assign_split(table.repartition(3), hot_rows=50)
+    shares = {r.split: r.share for r in split.split_shares(first).collect()}
+    if sum(sorted(sizes)[-8:]) <= 0.8 * len(rows):
+        assert abs(shares["val"] - 0.1) < 0.02 and abs(shares["test"] - 0.1) < 0.02
+    again = split.assign_split(table.repartition(7))
+    assert sorted(map(tuple, first.select("uid", "split").collect())) == sorted(
+        map(tuple, again.select("uid", "split").collect())
+    )
+    groups = cut_lineage(group_table(table))
+    folded = split.fold_groups(groups)
+    loads = {r.fold: (r.rows, r.small) for r in folded.groupBy("fold").agg(
+        F.sum("group_size").alias("rows"), F.count(F.when(F.col("group_size") == 1, 1)).alias("small")).collect()}
+    assert sum(n for n, _ in loads.values()) == len(rows)
+    heavy = folded.filter("group_size > 1").groupBy("fold").agg(F.sum("group_size").alias("n")).collect()
+    level = max(n for n, small in loads.values() if small)
+    assert all(loads[r.fold][1] == 0 for r in heavy if r.n > level + 1)
+
+
+def test_classes_of_the_head_are_spread(spark):
+    """Every fold gets two heavy texts of each class before one gets a third."""
+    rows = heavy_rows([100] * 80, 4000, (0, 1, 2, 3))
+    table = spark.createDataFrame([(uid, text, "mhs", *own) for uid, text, _, *own in rows], SCHEMA)
+    folded = split.fold_groups(cut_lineage(group_table(table))).filter("group_size > 1")
+    classes = folded.select("fold", dominant_stratum().alias("s")).groupBy("fold", "s").count().collect()
+    assert {r["count"] for r in classes} == {2} and len(classes) == 40
+
+
+def test_deficits():
+    loads = split.Loads([100, 100])
+    assert loads.pattern() == [f for _ in range(100) for f in range(10)]
+    assert [loads.place([60, 0]), loads.place([0, 30]), loads.place([15, 0]), loads.place([0, 20])] == [2, 3, 4, 5]
+    # 75 rows are left: 20 to each held-out fold, the other 35 bring the empty training folds to 8.75
+    assert loads.deficits() == [20, 20, 0, 0, 0, 0, 8.75, 8.75, 8.75, 8.75]
+    pattern = loads.pattern()
+    assert len(pattern) == 1000 and set(pattern) == {0, 1, 6, 7, 8, 9} and pattern.count(0) == 267
+    assert split.Loads([0, 0]).pattern() == [0]
+    over = split.Loads([100, 0])
+    for _ in range(9):
+        over.place([11, 0])
+    assert over.deficits()[:2] == [0.5, 0.5]
+
+
 def test_hot_text(spark, df):
     """A text with a third of all rows takes the broadcast, and the plan sorts no groups."""
     copies = df.limit(1).select(*(c for c in df.columns if c != "uid"))
