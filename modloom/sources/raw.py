@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from modloom.checks import need_columns
 from modloom.domains import FLAG_LABELS, HATE_SCORE, RATINGS, RAW_TARGETS
 from modloom.operators.runlog import EVAL_METRICS, LOSS_TERMS
+from modloom.sources import csv_records
 
 ANNOTATOR_COLUMNS = ("comment_id", "text", HATE_SCORE, *RATINGS, *RAW_TARGETS)
 TRAIN_COLUMNS = ("id", "comment_text", *FLAG_LABELS)
@@ -44,26 +45,32 @@ def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
 
 
 def read_flag_csv(
-    spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = True
+    spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool | None = None
 ) -> DataFrame:
     """Typed scan of the wanted columns. "NA" and line breaks are text; empty text stays empty.
 
-    Quoted line breaks keep a file from being split: it is one task, so write many files, or
-    convert to Parquet once with ``materialize``. Where ``has_quoted_breaks`` says no, pass
-    ``multi_line=False`` and large files are read in splits.
+    Large files are read in splits, with or without quoted line breaks (``csv_records``). Files
+    that use quotes in other ways than around whole fields need ``multi_line=True``: Spark's own
+    reader, one task per file. ``multi_line=False`` says that no line break is quoted.
     """
-    header = csv_header(spark, path, multi_line)
+    header = csv_header(spark, path, multi_line is not False)
     missing = [name for name in columns if name not in header]
     if missing:
         raise KeyError(f"{path} is missing columns {missing}")
     schema = T.StructType([T.StructField(name, _csv_type(name)) for name in header])
-    df = (
-        spark.read.schema(schema)
-        .options(
-            **CSV_OPTIONS | {"multiLine": multi_line}, mode="FAILFAST", enforceSchema="false"
+    if multi_line is None and has_quoted_breaks(spark, path):
+        options = {k: v for k, v in CSV_OPTIONS.items() if k != "header"} | {"mode": "FAILFAST"}
+        kinds = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema)
+        parsed = F.from_csv("record", kinds, options)
+        df = csv_records.records(spark, path, header).select(parsed.alias("row")).select("row.*")
+    else:
+        df = (
+            spark.read.schema(schema)
+            .options(
+                **CSV_OPTIONS | {"multiLine": bool(multi_line)}, mode="FAILFAST", enforceSchema="false"
+            )
+            .csv(path)
         )
-        .csv(path)
-    )
     return df.select(
         *[
             F.coalesce(F.col(name), F.lit("")).alias(name)
