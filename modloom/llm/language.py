@@ -6,8 +6,8 @@ host, site and suffix are smoothed one by the next, down to the share over every
 counts of text-only decisions by host, summed by grouped aggregation, without the row's own one.
 
 Trigram counts come from all labelled documents outside the held-out fifth. Their table has one
-row of 65,536 counts per language, whatever the corpus, and room for ``MOST_LANGUAGES`` languages,
-the largest ones if there should be more.
+row of 65,536 counts per language, whatever the corpus. A task holds the table of ``AT_ONCE``
+languages; where there are more, the texts are scored once for each such part.
 
 Documents carry no markup: their host is their source. Defined results: null and empty texts have
 no likelihood and rest on the other evidence; a null or odd address gives no host, site or suffix;
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from modloom.llm.tables import cut_lineage, held_out, text_of
 
 BUCKETS = 1 << 16
-#: Languages of the model; bounds its table to some 70 MB.
-MOST_LANGUAGES = 256
+#: Languages of one table, which bounds it to some 70 MB; more of them take several.
+AT_ONCE = 256
+#: Languages that a task counts before it hands its counts on.
+COUNTED = 64
 #: Added to every trigram count; most log odds that one text may bring; trust in a declaration.
 SMOOTH, MOST_ODDS, DECLARED = 0.5, 30.0, 0.7
 #: Pseudo-rows of the level below in each prior: site in host, suffix in site, all in suffix.
@@ -61,40 +63,49 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
+
+        def emptied() -> Iterator[pa.RecordBatch]:
+            for lang, own in counts.items():
+                at = np.flatnonzero(own)
+                yield pa.record_batch(
+                    {"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at), "n": pa.array(own[at])}
+                )
+            counts.clear()
+
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 own = counts.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
                 own[:BUCKETS] += np.bincount(trigrams(text), minlength=BUCKETS)
                 own[BUCKETS] += 1
-        for lang, own in counts.items():
-            at = np.flatnonzero(own)
-            yield pa.record_batch(
-                {"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at), "n": pa.array(own[at])}
-            )
+                if len(counts) > COUNTED:
+                    yield from emptied()
+        yield from emptied()
 
     rows = docs.select(text_of().alias("text"), F.col("lang").cast("string").alias("lang"))
     made = rows.mapInArrow(count, "lang string, bucket long, n long")
     return made.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log likelihood per bucket and language), from the labelled training rows."""
+def fit(docs: DataFrame) -> tuple[list[str], DataFrame]:
+    """(languages, trigram counts of each), from the labelled training rows."""
     rows = docs.filter(F.col("lang").isNotNull() & ~held_out("doc_id"))
     counts = cut_lineage(count_trigrams(rows), "language-counts")
-    sizes = counts.filter(F.col("bucket") == BUCKETS).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
-    languages = sorted(row.lang for row in sizes.collect())
+    return sorted(row.lang for row in counts.filter(F.col("bucket") == BUCKETS).select("lang").collect()), counts
+
+
+def likelihoods(counts: DataFrame, languages: list[str]) -> np.ndarray:
+    """Log likelihood per bucket and language; AT_ONCE rows of BUCKETS numbers at most."""
     table = np.full((BUCKETS, len(languages)), SMOOTH)
     place = {lang: i for i, lang in enumerate(languages)}
-    # at most MOST_LANGUAGES rows of BUCKETS numbers
     known = counts.filter(F.col("lang").isin(languages) & (F.col("bucket") < BUCKETS))
     packed = known.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n"))
     for row in packed.toLocalIterator():
         table[np.array(row.b, np.int64), place[row.lang]] += np.array(row.n, np.float64)
-    return languages, np.log(table / table.sum(axis=0)).astype(np.float32)
+    return np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
-def with_likelihood(rows: DataFrame, languages: list[str], table: np.ndarray) -> DataFrame:
-    """``rows`` (``text``, ``is_html``, others) with ``odds``: log likelihoods, the best one 0, in place of the text."""
+def scored(rows: DataFrame, table: np.ndarray, name: str) -> DataFrame:
+    """``rows`` with ``name``: the log likelihood of the text in each language of ``table``."""
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -107,13 +118,28 @@ def with_likelihood(rows: DataFrame, languages: list[str], table: np.ndarray) ->
                 # in parts, so that a long text does not need a row of the table for each gram
                 for at in range(0, len(grams), 1 << 16):
                     odds += table[grams[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
-                if len(odds):
-                    odds -= odds.max()
-                found.append(np.maximum(odds, -MOST_ODDS))
+                found.append(odds)
             yield pd.Series(found)
 
     made = F.pandas_udf(score, "array<double>")
-    return rows.withColumn("odds", made("text", "is_html")).drop("text", "is_html")
+    return rows.withColumn(name, made("text", "is_html"))
+
+
+def with_likelihood(rows: DataFrame, languages: list[str], counts: DataFrame) -> DataFrame:
+    """``rows`` (``text``, ``is_html``, others) with ``odds``: log likelihoods, the best one 0, in place of the text.
+
+    Each AT_ONCE languages take a pass of their own, so no task holds the tables of all.
+    """
+    parts = []
+    for first in range(0, len(languages), AT_ONCE):
+        if parts:
+            rows = cut_lineage(rows, "language-part")
+        parts.append(f"odds_{first}")
+        rows = scored(rows, likelihoods(counts, languages[first : first + AT_ONCE]), parts[-1])
+    every = F.concat(*parts) if parts else F.array().cast("array<double>")
+    rows = rows.withColumn("odds", every).drop("text", "is_html", *parts)
+    best = F.array_max("odds")
+    return rows.withColumn("odds", F.transform("odds", lambda x: F.greatest(x - best, F.lit(-MOST_ODDS))))
 
 
 def host_of(url: Column) -> Column:
@@ -209,7 +235,7 @@ def language_report(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     ``kind`` is 'page' or 'document'; the other table's id is null.
     """
-    languages, table = fit(docs)
+    languages, counts = fit(docs)
     host = host_of(F.col("url"))
     page_rows = pages.select(
         F.col("page_id").alias("id"),
@@ -227,8 +253,8 @@ def language_report(pages: DataFrame, docs: DataFrame) -> DataFrame:
         text_of().alias("text"),
         F.lit(False).alias("is_html"),
     )
-    scored = cut_lineage(with_likelihood(page_rows.unionByName(doc_rows), languages, table), "language-odds")
-    named = scored.withColumns(
+    found = cut_lineage(with_likelihood(page_rows.unionByName(doc_rows), languages, counts), "language-odds")
+    named = found.withColumns(
         {"site": site_of(F.col("host")), "suffix": F.when(F.col("kind") == "page", F.substring_index("host", ".", -1))}
     )
     fused = fuse(named, languages)

@@ -8,7 +8,8 @@ sqrt(M^2 - |x|^2), a query gets 0, and the nearest vector then has the largest i
 * Index, every vector: the graph gives the nearest centroids; a vector near a boundary goes to
   several lists, up to ``REPLICAS``.
 * Search: a query walks the same graph and reads every list whose centroid is within
-  ``1 + PRUNE`` times the distance of the nearest one, however many they are.
+  ``1 + PRUNE`` times the distance of the nearest one, however many they are, and then the next
+  nearest ones until the lists read hold more than ``K`` ids, or all of them are read.
 
 Lists are packed into blocks of bounded size. Blocks of queries meet blocks of vectors, and a task
 keeps the best ``K`` of each query, so no pair of query and vector leaves it. Scores are inner
@@ -94,6 +95,11 @@ class Graph:
         self.near = [np.array(sorted(x), np.int64) for x in joined]
         self.entry = int(np.argmin(np.square(centroids - centroids.mean(axis=0)).sum(axis=1)))
 
+    def distances(self, points: np.ndarray) -> np.ndarray:
+        """To every centroid."""
+        gaps = np.square(points).sum(axis=1)[:, None] + self.square - 2 * points @ self.centroids.T
+        return np.sqrt(np.maximum(gaps, 0))
+
     def walk(self, points: np.ndarray, ratio: float) -> np.ndarray:
         """Distances to the centroids found, infinite for others: (points, centroids).
 
@@ -128,10 +134,24 @@ def homes(graph: Graph, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, order[row, k]
 
 
-def read_lists(graph: Graph, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list): the lists that queries read."""
+def read_lists(
+    graph: Graph, points: np.ndarray, counts: np.ndarray, least: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list): the lists that queries read.
+
+    Where the near ones hold fewer than ``least`` ids (``counts`` has each id in one list), the next
+    ones follow in order of distance until they do, or until all are read.
+    """
     gaps = graph.walk(points, (1 + PRUNE) * WALK)
-    return np.nonzero(gaps <= gaps.min(axis=1, keepdims=True) * (1 + PRUNE))
+    reads = gaps <= gaps.min(axis=1, keepdims=True) * (1 + PRUNE)
+    short = np.flatnonzero(reads @ counts < least)
+    if len(short):
+        order = np.argsort(graph.distances(points[short]), axis=1, kind="stable")
+        held = counts[order]
+        more = np.zeros(order.shape, bool)
+        np.put_along_axis(more, order, np.cumsum(held, axis=1) - held < least, axis=1)
+        reads[short] |= more
+    return np.nonzero(reads)
 
 
 def best_of(
@@ -194,14 +214,15 @@ def fit(nodes: DataFrame, lists: int = LISTS) -> tuple[dict[int, Graph], dict[in
     return graphs, norms
 
 
-def _listed(rows: DataFrame, graphs: dict[int, Graph], norms: dict[int, float], query: bool) -> DataFrame:
-    """(list, id, vector) for every list of every row; a length without a graph has one list."""
-    centroids = {size: graph.centroids for size, graph in graphs.items()}
-    shared = rows.sparkSession.sparkContext.broadcast((centroids, norms))
+def _listed(rows: DataFrame, graphs: dict[int, Graph], place) -> DataFrame:
+    """(list, id, vector, first) for every list of every row; a length without a graph has one list.
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids, norms = shared.value
-        graphs = {size: Graph(own) for size, own in centroids.items()}
+    ``place(size, graph, points)`` gives (row, list), a row's nearest list first.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast({size: graph.centroids for size, graph in graphs.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graphs = {size: Graph(own) for size, own in shared.value.items()}
         for batch in batches:
             column = batch.column("vector")
             sizes = np.diff(column.offsets.to_numpy())
@@ -209,28 +230,49 @@ def _listed(rows: DataFrame, graphs: dict[int, Graph], norms: dict[int, float],
                 rows = np.flatnonzero(sizes == size)
                 at, lists = np.arange(len(rows)), np.zeros(len(rows), np.int64)
                 if int(size) in graphs:
-                    own = V.matrix(column.take(pa.array(rows)))
-                    graph = graphs[int(size)]
-                    if query:
-                        at, lists = read_lists(graph, lifted(own, None))
-                    else:
-                        at, lists = homes(graph, lifted(own, norms[int(size)]))
+                    at, lists = place(int(size), graphs[int(size)], V.matrix(column.take(pa.array(rows))))
                 taken = pa.array(rows[at])
                 yield pa.record_batch(
                     {
                         "list": pa.array([f"{size}:{x}" for x in lists], pa.string()),
                         "id": batch.column("id").take(taken),
                         "vector": column.take(taken),
+                        "first": pa.array(np.diff(at, prepend=-1) != 0),
                     }
                 )
 
-    schema = "list string, id long, vector " + rows.schema["vector"].dataType.simpleString()
-    return rows.select("id", "vector").mapInArrow(place, schema)
+    kind = rows.schema["vector"].dataType.simpleString()
+    return rows.select("id", "vector").mapInArrow(run, f"list string, id long, vector {kind}, first boolean")
+
+
+def index_lists(nodes: DataFrame, graphs: dict[int, Graph], norms: dict[int, float]) -> DataFrame:
+    def place(size: int, graph: Graph, points: np.ndarray):
+        return homes(graph, lifted(points, norms[size]))
+
+    return cut_lineage(_listed(nodes, graphs, place), "ann-lists")
+
+
+def id_counts(listed: DataFrame, graphs: dict[int, Graph]) -> dict[int, np.ndarray]:
+    """Ids per list of each graph; an id counts in one of its rows' nearest lists alone."""
+    counts = {size: np.zeros(len(graph.centroids), np.int64) for size, graph in graphs.items()}
+    size, number = (F.substring_index("list", ":", x).cast("int") for x in (1, -1))
+    once = listed.filter("first").groupBy(size.alias("size"), "id").agg(F.min(number).alias("number"))
+    # one row per list with a centroid
+    for row in once.filter(F.col("size").isin(list(graphs))).groupBy("size", "number").count().collect():
+        counts[row["size"]][row.number] = row["count"]
+    return counts
+
+
+def query_lists(queries: DataFrame, graphs: dict[int, Graph], counts: dict[int, np.ndarray], k: int) -> DataFrame:
+    def place(size: int, graph: Graph, points: np.ndarray):
+        # one more, as a query's own id may be among them
+        return read_lists(graph, lifted(points, None), counts[size], k + 1)
+
+    return cut_lineage(_listed(queries, graphs, place), "ann-query-lists")
 
 
-def _packed(listed: DataFrame, block: int, name: str, kind: str) -> DataFrame:
+def _packed(written: DataFrame, block: int, name: str, kind: str) -> DataFrame:
     """(list, part, ids, vectors): about ``block`` rows of a list in each row."""
-    written = cut_lineage(listed, f"{name}-lists")
     sizes = written.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
     part = F.pmod(F.xxhash64("id", "vector"), F.ceil(F.col("n") / block)).cast("int")
 
@@ -259,8 +301,9 @@ def search(table: DataFrame, id_column: str = "vec_id", vector: str = "embedding
     kind = V.component_type(nodes, "vector")
     graphs, norms = fit(nodes)
     queries = nodes.filter(F.pmod("id", F.lit(QUERY_STEP)) == 0)
-    postings = _packed(_listed(nodes, graphs, norms, False), VECTOR_BLOCK, "ann", kind)
-    asked = _packed(_listed(queries, graphs, norms, True), QUERY_BLOCK, "ann-query", kind)
+    listed = index_lists(nodes, graphs, norms)
+    postings = _packed(listed, VECTOR_BLOCK, "ann", kind)
+    asked = _packed(query_lists(queries, graphs, id_counts(listed, graphs), k), QUERY_BLOCK, "ann-query", kind)
     asked = asked.withColumnsRenamed({"part": "query_part", "ids": "query_ids", "vectors": "query_vectors"})
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:

@@ -193,7 +193,10 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS) -> DataFrame:
-    """(digest, text, label): at most ``limit`` labelled documents outside the held-out fifth."""
+    """(digest, text_digest, text, label): at most ``limit`` labelled documents outside the held-out fifth.
+
+    Rows equal in id and text count once; the limit holds for rows, however often an id occurs.
+    """
     digest = F.md5(F.col("doc_id").cast("string"))
     chosen = (
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
@@ -204,7 +207,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS) ->
         .limit(limit)
     )
     # at most ``limit`` rows of two numbers and a digest
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    met = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    met = cut_lineage(met.select("digest", F.md5("text").alias("text_digest"), "text", "label"), "toxic-rows")
+    key = ["digest", "text_digest"]
+    kept = met.select(*key).distinct().orderBy(*key).limit(limit)
+    return met.join(F.broadcast(kept), key).dropDuplicates(key)
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS) -> dict[int, float]:
@@ -212,11 +219,12 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS) -> dict[int,
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield rows[["digest", "label"]].assign(features=list(features(rows["text"])))
+            yield rows[["digest", "text_digest", "label"]].assign(features=list(features(rows["text"])))
 
-    made = training_rows(docs, labels, limit).select("digest", "label", "text")
-    made = cut_lineage(made.mapInPandas(grams, "digest string, label int, features array<int>"), "toxic-features")
-    ordered = made.repartition(1).sortWithinPartitions("digest").select("label", "features")
+    made = training_rows(docs, labels, limit).select("digest", "text_digest", "label", "text")
+    schema = "digest string, text_digest string, label int, features array<int>"
+    made = cut_lineage(made.mapInPandas(grams, schema), "toxic-features")
+    ordered = made.repartition(1).sortWithinPartitions("digest", "text_digest").select("label", "features")
     learned = ordered.mapInArrow(_train, "feature long, weight double").collect()
     return {row.feature: row.weight for row in learned}
 

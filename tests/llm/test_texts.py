@@ -62,6 +62,16 @@ def test_toxicity_learns_held_out_rows(spark, docs):
     assert kept.columns[-1] == "toxic_score" and 1150 < kept.count() < 1230
 
 
+def test_repeated_ids_do_not_exceed_the_limit(spark, docs):
+    rows = [(7, f"text {i % 1000}", "s") for i in range(3000)] + [(i, f"own {i}", "s") for i in range(10, 40)]
+    table = spark.createDataFrame([(7, 1), *((i, 0) for i in range(10, 40))], "doc_id long, toxic int")
+    chosen = toxicity.training_rows(docs(rows), table, 50).collect()
+    assert len(chosen) == 50 == len({(r.digest, r.text_digest) for r in chosen})
+    every = toxicity.training_rows(docs(rows), table).collect()
+    assert len(every) == 1000 + sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(10, 40))
+    assert len(toxicity.fit(docs(rows), table, 50)) > 0
+
+
 def test_toxicity_without_labels(spark, docs, empty_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     rows = toxicity.toxicity_report(docs(ODD), none).collect()
@@ -109,6 +119,22 @@ def test_language_edges(spark, docs, empty_docs):
     assert len(rows) == len(ODD)
 
 
+def test_three_hundred_languages(spark, docs, monkeypatch):
+    """More languages than one table holds: each is still found, and a declared one counts."""
+    monkeypatch.setattr(language, "AT_ONCE", 128)
+    monkeypatch.setattr(language, "COUNTED", 7)
+    syllables = ["".join(x) for x in itertools.product("bcdfghjk", "aeiou", "lmnprstv")]
+    rows = [(i, " ".join([syllables[i % 300] + "z"] * 40), "s") for i in range(900)]
+    table = docs(rows).withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 300).cast("string")))
+    pages = [(i, None, f"<p>{rows[i][1]}</p>") for i in range(300)]
+    schema = "page_id long, url string, html string"
+    found = language.language_report(spark.createDataFrame(pages, schema), table).collect()
+    # the language's three documents may all be held out
+    held = [i for i in range(300) if all(zlib.crc32(str(j).encode()) % 5 == 0 for j in (i, i + 300, i + 600))]
+    pages = {r.page_id: r.language for r in found if r.kind == "page"}
+    assert len(held) < 10 and all(pages[i] == f"l{i}" for i in range(300) if i not in held)
+
+
 def test_trigram_counts_cover_all_rows(docs):
     texts = ["abc abc", "xyz", None, "äöü"]
     counts = {r.bucket: r.n for r in language.count_trigrams(docs(texts)).collect()}

@@ -95,6 +95,32 @@ def test_posting_lists_recall(spark, n):
     assert np.mean(hits) >= 0.9
 
 
+def test_a_far_small_group_gets_all_its_results(spark):
+    """Thirteen vectors far from the rest: their lists alone hold too few."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(300, 16)).astype(np.float32) * 0.1
+    vectors[:, 0] += 1
+    vectors[::25] = rng.normal(size=(12, 16)) * 0.1
+    vectors[::25, 0] -= 8
+    vectors[260, 0] = -8
+    found = {}
+    for r in postings.search(table(spark, vectors)).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(found) == set(range(0, 300, 20)) and all(len(ids) == 20 for ids in found.values())
+    for query, ids in found.items():
+        assert len({i for i, _ in nearest(vectors, query, 20)} & ids) >= 18
+
+
+def test_ids_with_several_vectors_count_once(spark):
+    """Copies of an id do not pass for other results."""
+    rng = np.random.default_rng(6)
+    far = np.array([9] + [0] * 7)
+    rows = [(20, (rng.normal(size=8) * 0.01 + far).tolist()) for _ in range(600)]
+    rows += [(i, (rng.normal(size=8) * 0.01 - far).tolist()) for i in range(1, 400) if i % 20]
+    found = postings.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {r.query_id for r in found} == {20} and len({r.vec_id for r in found}) == 20
+
+
 def test_posting_lists_edges(spark):
     vectors = [[1.0] * 8] * 3 + BAD + [[2.0] * 8] + [[1.0] * 9] * 12
     rows = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in postings.search(table(spark, vectors)).collect())
