@@ -40,8 +40,10 @@ from modloom.sources.storage import own_scratch, scratch_path
 SIZE, LONGEST = 1 << 17, 48
 #: Steps in which a number of occurrences doubles, to find the most frequent words.
 STEPS = 8
-#: Code points that are split at a time; fields that a task counts, or remembers twice as many of.
-BLOCK, KEPT = 1 << 20, 1 << 18
+#: Code points that are split at a time, and fields that are encoded at a time.
+BLOCK, FIELDS = 1 << 20, 1 << 16
+#: Fields that a task counts before it hands them on; of a generation that it remembers.
+COUNTED, KEPT = 1 << 17, 1 << 16
 #: Bytes of a word up to which its pairs are searched one by one.
 SHORT = 64
 #: Bytes of ids or text in one Arrow batch.
@@ -360,7 +362,7 @@ def word_counts(docs: DataFrame, encoding: Encoding) -> DataFrame:
                     for first, others in splitter.blocks(part):
                         firsts[first] += 1
                         fields.update(others)
-                if len(fields) + len(firsts) > KEPT:
+                if len(fields) + len(firsts) > COUNTED:
                     yield emptied()
         yield emptied()
 
@@ -469,7 +471,7 @@ class Encoder:
                 for first, others in self.splitter.blocks(part):
                     held.append((row, first, others))
                     size += len(others)
-                    if size > BLOCK // 4:
+                    if size > FIELDS:
                         release()
         release()
         return [b"".join(parts) for parts in found]

@@ -121,6 +121,7 @@ def test_the_lexicon_changes_no_id(size):
 def test_blocks_change_no_id(monkeypatch):
     monkeypatch.setattr(lexicon, "BLOCK", 40)
     monkeypatch.setattr(lexicon, "KEPT", 5)
+    monkeypatch.setattr(lexicon, "FIELDS", 9)
     texts = [*TEXTS, *random_texts(60), "word and  spaces\n\n end " * 100]
     encoder = lexicon.Encoder(ENCODING, lexicon.Lexicon.compile({b" and": ENCODING.vocabulary.merge(b" and")}))
     for text, raw in zip(texts, encoder.encode(texts), strict=True):
