@@ -41,9 +41,14 @@ def split_labeled(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(~is_unlabeled()), df.filter(is_unlabeled())
 
 
-def check_binary(df: DataFrame, labels: Sequence[str] = FLAG_LABELS) -> DataFrame:
+def invalid_rows(labels: Sequence[str] = FLAG_LABELS) -> Column:
+    """The number of rows with a flag other than 0 and 1."""
     binary = reduce(lambda x, y: x & y, [holds(F.col(name).isin(0, 1)) for name in labels])
-    return df.agg(count_where(~binary).alias("invalid_rows"))
+    return count_where(~binary).alias("invalid_rows")
+
+
+def check_binary(df: DataFrame, labels: Sequence[str] = FLAG_LABELS) -> DataFrame:
+    return df.agg(invalid_rows(labels))
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:

@@ -127,10 +127,10 @@ def derive_severity(df: DataFrame, rules: SeverityRules = SEVERITY_RULES) -> Dat
     )
 
 
-def severity_check(df: DataFrame, rules: SeverityRules = SEVERITY_RULES) -> DataFrame:
-    """One row of violation counts: graded fallback rows, and levels below the minimum share."""
+def severity_counts() -> list[Column]:
+    """The counts that a check of graded rows needs."""
     harmful = is_harmful()
-    counts = df.agg(
+    return [
         count_where(~harmful & (F.col("severity") != IGNORE_ID)).alias("neither_with_id"),
         count_where(~harmful & (F.col("severity_name") != NO_SEVERITY)).alias("neither_with_name"),
         count_where(harmful).alias("harmful"),
@@ -138,7 +138,16 @@ def severity_check(df: DataFrame, rules: SeverityRules = SEVERITY_RULES) -> Data
             count_where(harmful & (F.col("severity_name") == name)).alias(name)
             for name in SEVERITY_NAMES
         ],
-    )
+    ]
+
+
+def severity_check(df: DataFrame, rules: SeverityRules = SEVERITY_RULES) -> DataFrame:
+    """One row of violation counts: graded fallback rows, and levels below the minimum share."""
+    return judge_severity(df.agg(*severity_counts()), rules)
+
+
+def judge_severity(counts: DataFrame, rules: SeverityRules = SEVERITY_RULES) -> DataFrame:
+    """``severity_check`` from its one row of counts."""
     share_low = [
         (
             (F.col("harmful") > 0)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modloom.checks import require
-from modloom.domains import FLAG_LABELS, ORIGIN_TEST, ORIGIN_TRAIN, SOURCE_COLUMNS
+from modloom.checks import require, require_zero, watched
+from modloom.domains import FLAG_SIGNALS, ORIGIN_TEST, ORIGIN_TRAIN, SOURCE_COLUMNS
 from modloom.operators import evaluate
 from modloom.operators import harmonize as H
 from modloom.operators.labels import label_flags, label_scores
@@ -18,8 +18,8 @@ from modloom.operators.sampling import (
     padded_batches,
     sample_rows,
 )
-from modloom.operators.schema import enforce_schema, validate_schema
-from modloom.operators.severity import derive_severity, severity_check
+from modloom.operators.schema import enforce_schema, need_schema, null_counts, repeated_uids, validate_schema
+from modloom.operators.severity import derive_severity, judge_severity, severity_check, severity_counts
 from modloom.operators.split import add_groups_and_split, split_leakage
 from modloom.operators.tokens import PAD_ID, build_vocab, target_prepare, tokenize
 from modloom.rules import (
@@ -32,7 +32,7 @@ from modloom.rules import (
     SplitRules,
     TextRules,
 )
-from modloom.sources.storage import cut_lineage, materialize, own_scratch, write_table
+from modloom.sources.storage import Checked, cut_lineage, materialize, own_scratch, write_table
 
 
 def flag_tables(
@@ -54,13 +54,13 @@ def load_flags(
 ) -> tuple[DataFrame, DataFrame]:
     """Checked and cleaned flag tables, written once. Inputs are functions that open a table."""
 
-    def build() -> tuple[DataFrame, DataFrame]:
-        # The checks read keys and flags only; no text is written twice.
+    def build() -> tuple[Checked, DataFrame]:
+        # The first check reads keys only, the other one counts while the table is written.
         label_rows = cut_lineage(labels(), "labels")
         require(H.check_test_labels(texts().select("id"), label_rows), "bad test labels")
-        for part in (train().select("id", *FLAG_LABELS), label_rows):
-            require(H.check_binary(H.split_labeled(part)[0]), "flags outside 0 and 1")
-        return flag_tables(train(), H.join_test_labels(texts(), label_rows), rules)
+        labeled, unlabeled = flag_tables(train(), H.join_test_labels(texts(), label_rows), rules)
+        labeled, counts = watched(labeled, [H.invalid_rows(FLAG_SIGNALS)])
+        return Checked(labeled, lambda _: require_zero(counts(), "flags outside 0 and 1")), unlabeled
 
     return materialize(spark, (labeled_path, unlabeled_path), build, force)
 
@@ -87,6 +87,10 @@ def unify(
 
 def check_unified(unified: DataFrame) -> None:
     require(validate_schema(unified), "the unified table breaks its schema")
+    check_splits(unified)
+
+
+def check_splits(unified: DataFrame) -> None:
     leaks = split_leakage(unified)
     if not leaks.isEmpty():
         raise ValueError("some texts span more than one split")
@@ -95,29 +99,43 @@ def check_unified(unified: DataFrame) -> None:
 def build_unified(
     flags: DataFrame, scores: DataFrame, path: str, sample: int | None = None, **rules
 ) -> DataFrame:
-    """Builds, writes and checks the unified table, or an exact sample of its rows.
+    """Builds, checks and publishes the unified table, or an exact sample of its rows.
 
     A sample is drawn after duplicates and splits are known, so its rows have the values they
-    have in the whole table.
+    have in the whole table. Nulls are counted by the write itself; unique ids and leaks are
+    checked on the written keys, before the table takes the place of an older one.
     """
     with own_scratch(flags.sparkSession):
         rows = unify(flags, scores, **rules)
-        write_table(rows if sample is None else sample_rows(rows, sample), path)
-    unified = flags.sparkSession.read.parquet(path)
-    check_unified(unified)
-    return unified
+        rows = rows if sample is None else sample_rows(rows, sample)
+        need_schema(rows)
+        rows, nulls = watched(rows, null_counts())
+
+        def accept(written: DataFrame) -> None:
+            message = "the unified table breaks its schema"
+            require_zero(nulls(), message)
+            require(repeated_uids(written), message)
+            check_splits(written)
+
+        write_table(rows, path, accept=accept)
+    return flags.sparkSession.read.parquet(path)
 
 
 def build_graded(
     unified: DataFrame, path: str | None = None, rules: SeverityRules = SEVERITY_RULES
 ) -> DataFrame:
-    """Adds severity, refuses a rubric with a rare level, writes the result if asked to."""
+    """Adds severity and refuses a rubric with a rare level; published only then, if asked to."""
     graded = derive_severity(unified, rules)
-    require(severity_check(graded, rules), "the severity rubric does not fit")
-    if path is not None:
-        write_table(graded, path)
-        return unified.sparkSession.read.parquet(path)
-    return graded
+    message = "the severity rubric does not fit"
+    if path is None:
+        require(severity_check(graded, rules), message)
+        return graded
+    spark = unified.sparkSession
+    rows, counts = watched(graded, severity_counts())
+    write_table(
+        rows, path, accept=lambda _: require(judge_severity(spark.createDataFrame([counts()]), rules), message)
+    )
+    return spark.read.parquet(path)
 
 
 def build_tokens(graded: DataFrame, path: str, vocab: DataFrame | None = None) -> DataFrame:

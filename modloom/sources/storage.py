@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,18 +174,26 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return _exists(spark, f"{path}/_SUCCESS")
 
 
+class Checked(NamedTuple):
+    """Rows that are published only if ``accept`` does not raise on what was written."""
+
+    rows: DataFrame
+    accept: Callable[[DataFrame], None] | None = None
+
+
 def materialize(
     spark: SparkSession,
     paths: str | tuple[str, ...],
-    build: Callable[[], tuple[DataFrame, ...]],
+    build: Callable[[], tuple[DataFrame | Checked, ...]],
     force: bool = False,
 ) -> tuple[DataFrame, ...]:
     """The tables at ``paths``; built and written only if one is missing or ``force`` is set."""
     targets = (paths,) if isinstance(paths, str) else tuple(paths)
     if force or not all(is_complete(spark, path) for path in targets):
         with own_scratch(spark):
-            for df, path in zip(build(), targets, strict=True):
-                write_table(df, path)
+            for made, path in zip(build(), targets, strict=True):
+                checked = made if isinstance(made, Checked) else Checked(made)
+                write_table(checked.rows, path, accept=checked.accept)
     return tuple(spark.read.parquet(path) for path in targets)
 
 

@@ -77,3 +77,35 @@ def test_broken_table_is_refused(unified):
     leaky = unified.withColumn("text_hash", F.lit("same"))
     with pytest.raises(ValueError, match="split"):
         build.check_unified(leaky)
+
+
+def test_a_breach_publishes_nothing(spark, unified, tmp_path):
+    """The table that was there stays, whichever check fails, and no folder is left behind."""
+    path = f"{tmp_path}/unified"
+    flags = registry.stored_flags(spark, FOLDER).limit(40)
+    scores = registry.stored_scores(spark, FOLDER).limit(40)
+    kept = build.build_unified(flags, scores, path).count()
+    with pytest.raises(ValueError, match="repeated_uid_rows"):
+        build.build_unified(flags.unionByName(flags), scores, path)
+    with pytest.raises(ValueError, match="null_text"):
+        build.build_unified(flags.withColumn("text", F.lit(None).cast("string")), scores, path)
+    rare = SeverityRules(critical=LevelRule(), high=LevelRule(), medium=LevelRule())
+    with pytest.raises(ValueError, match="low_share"):
+        build.build_graded(unified, path, rules=rare)
+    assert spark.read.parquet(path).count() == kept and len(list(tmp_path.iterdir())) == 1
+
+
+def test_nulls_are_counted_without_reading_again(spark, tmp_path, monkeypatch):
+    """The written table is read for its keys alone."""
+    read = []
+    plain = build.repeated_uids
+    monkeypatch.setattr(build, "repeated_uids", lambda df: read.append(plain(df)) or read[-1])
+    flags = registry.stored_flags(spark, FOLDER).limit(40)
+    build.build_unified(flags, registry.stored_scores(spark, FOLDER).limit(40), f"{tmp_path}/u")
+    plan = read[0]._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<uid:string>" in plan
+
+
+def test_an_empty_table_passes(spark, tmp_path):
+    flags, scores = (load(spark, FOLDER).limit(0) for load in (registry.stored_flags, registry.stored_scores))
+    assert build.build_unified(flags, scores, f"{tmp_path}/u").count() == 0
