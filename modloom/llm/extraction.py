@@ -8,6 +8,11 @@ that holds the found element, if there is one, is taken whole, with the articles
 have as many link-free characters per tag as the way up; else all articles inside it, if they hold most of its text. Menus, page headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments never count.
 
+A class or id that consists of noise and container words ("ad-box") settles that an element is noise.
+One that only begins or ends with a noise word ("share-price") is a suspicion: the element stays if it
+holds most of the page's link-free text, or its densest part while no article or main stands elsewhere.
+Of a main without articles, blocks beside the story that are mostly links go.
+
 One Arrow pass without a shuffle. Defined results: null, empty and text-free pages give an empty
 text; unclosed and stray tags are closed and ignored as far as needed; repeated rows each get
 their own result; an empty table gives no rows.
@@ -64,13 +69,22 @@ NOISE_NAMES = frozenset(
     " sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead"
     " cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup"
     " comment comments disqus reply replies share sharing social related recommended widget"
-    " toolbar pagination pager skip hidden".split()
+    " toolbar pagination pager skip hidden feedback teaser teasers".split()
+)
+#: Words that say where or how an element stands, not what it is about.
+CONTAINER_NAMES = frozenset(
+    "area bar bars block body bottom box button buttons col column container content count desktop"
+    " dialog first fixed floating form global group icon icons inner item items js last latest left"
+    " link links list main mobile new outer page panel primary reader right row secondary section"
+    " site slot sticky text thread title top unit user wrap wrapper zone".split()
 )
 LAYOUT = frozenset("has with without no not is".split())
 NOISE_ROLES = frozenset(
     "navigation banner contentinfo complementary search alert dialog menu menubar toolbar".split()
 )
 KEEPERS = frozenset(["article", "main"])
+#: Elements that may hold a list of links beside a story.
+GROUPS = frozenset("div section ul ol table dl".split())
 
 
 def noisy_name(name: str, topics: bool = False) -> bool:
@@ -83,18 +97,55 @@ def noisy_name(name: str, topics: bool = False) -> bool:
     return bool(parts) and parts[0] not in LAYOUT and not NOISE_NAMES.isdisjoint(ends)
 
 
+def settled_name(name: str) -> bool:
+    """True if a noisy name holds noise and container words, digits and single letters only."""
+    known = NOISE_NAMES | CONTAINER_NAMES
+    return all(len(part) < 2 or part.isdigit() or part in known for part in NAME_PARTS.split(name))
+
+
 class Page:
     """The elements of a page in page order, as parallel lists."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.noise = ["#page"], [-1], [False]
+        #: Elements that are noise by the look of their names, until the densities are known.
+        self.suspects: set[int] = set()
         self.chars, self.tags = [0], [0]
         self.link_chars, self.link_tags = [0], [0]
         #: (element, text) in page order; None is a block's edge.
         self.parts: list[tuple[int, str | None]] = []
         self.body = 0
         self._read(source)
+        own = [list(values) for values in (self.chars, self.tags, self.link_chars, self.link_tags)]
         self._add_up()
+        if self.suspects:
+            self._settle()
+            self.chars, self.tags, self.link_chars, self.link_tags = own
+            self._add_up()
+
+    def _settle(self) -> None:
+        """Turns suspects into noise, with all they hold, unless they carry the story."""
+        best, _, inside = self._densest(self.densities())
+        if best is None:
+            return
+        up, around = best, set()
+        while up > 0:
+            around.add(up)
+            up = self.parent[up]
+        root = self.body
+        most = (self.chars[root] - self.link_chars[root]) / 2
+        suspected = set(self.suspects)
+        for node in range(1, len(self.tag)):
+            if self.parent[node] in suspected and self.tag[node] != "main":
+                suspected.add(node)
+        elsewhere = any(self.tag[n] in KEEPERS and n not in suspected for n in inside)
+        for node in range(1, len(self.tag)):
+            if node in self.suspects:
+                carries = self.chars[node] - self.link_chars[node] > most
+                if not (carries or node in around and not elsewhere):
+                    self.noise[node] = True
+            if self.noise[self.parent[node]] and self.tag[node] != "main":
+                self.noise[node] = True
 
     def _read(self, source: str) -> None:
         stack, at = [0], 0
@@ -167,15 +218,23 @@ class Page:
             return not any(self.tag[n] in KEEPERS for n in stack)
         if not attrs or "=" not in attrs and "hidden" not in attrs:
             return False
+        suspect = False
         for key, value in ATTRIBUTE.findall(attrs):
             key, value = key.lower(), value.strip("\"'").lower()
-            if key in ("class", "id") and any(noisy_name(v, name == "article") for v in value.split()):
-                return True
+            if key in ("class", "id"):
+                noisy = [v for v in value.split() if noisy_name(v, name == "article")]
+                if any(settled_name(v) for v in noisy):
+                    return True
+                suspect = suspect or bool(noisy)
             if key == "role" and value in NOISE_ROLES:
                 return True
             if key == "style" and "display:none" in value.replace(" ", ""):
                 return True
-        return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", attrs))
+        if re.search(r"(?:^|\s)hidden(?:\s|/|$)", attrs):
+            return True
+        if suspect:
+            self.suspects.add(len(self.tag) - 1)
+        return False
 
     def _end(self, stack: list[int], name: str) -> None:
         """Closes the innermost open element of that name and all inside; else does nothing.
@@ -229,24 +288,31 @@ class Page:
             found.append(c / t * math.log(max(ratio, 1.0)) / math.log(base + math.e - 1))
         return found
 
-    def chosen(self) -> list[int]:
-        """The elements whose subtrees are the main text."""
-        density = self.densities()
+    def _densest(self, density: list[float]) -> tuple[int | None, list[float], list[int]]:
+        """The element with the largest sum over its children, all sums, the elements with text."""
         total = [0.0] * len(density)
         for node in range(len(density) - 1, 0, -1):
             if not self.noise[node]:
                 total[self.parent[node]] += density[node]
         inside = [node for node in range(self.body, len(total)) if not self.noise[node] and self.chars[node]]
-        if not inside:
+        best = max(inside, key=lambda node: (total[node], self.chars[node], -node), default=None)
+        return best, total, inside
+
+    def chosen(self) -> list[int]:
+        """The elements whose subtrees are the main text."""
+        density = self.densities()
+        best, total, inside = self._densest(density)
+        if best is None:
             return []
-        best = max(inside, key=lambda node: (total[node], self.chars[node], -node))
         threshold, plain, node = density[best], self._plain(best), best
         while node > self.body:
             node = self.parent[node]
             threshold, plain = min(threshold, density[node]), min(plain, self._plain(node))
         keeper = self._keeper(best)
+        if keeper is not None and self.tag[keeper] == "main":
+            return self._without_link_blocks(keeper, best)
         if keeper is not None:
-            up = self.parent[keeper] if self.tag[keeper] == "article" else None
+            up = self.parent[keeper]
             beside = [n for n in inside if self.tag[n] == "article" and self.parent[n] == up]
             return [keeper, *(n for n in beside if self._plain(n) >= plain)]
         within = self._articles(best)
@@ -274,6 +340,22 @@ class Page:
                 up = self.parent[up]
         return None
 
+    def _without_link_blocks(self, main: int, best: int) -> list[int]:
+        """``main``; blocks in it beside the way to ``best`` that are mostly links become noise."""
+        way, up = set(), best
+        while up >= main:
+            way.add(up)
+            up = self.parent[up]
+        for node in range(main + 1, len(self.tag)):
+            up = self.parent[node]
+            links = self.link_tags[node] > 0 and self.link_chars[node] * 2 > self.chars[node]
+            beside = up in way and up != best and node not in way
+            if beside and links and self.tag[node] in GROUPS:
+                self.noise[node] = True
+            elif up > main and self.noise[up]:
+                self.noise[node] = True
+        return [main]
+
     def _articles(self, node: int) -> list[int]:
         """The outermost articles inside a node."""
         inner, found = {node}, []
@@ -290,7 +372,7 @@ class Page:
         for node in self.chosen():
             marked[node] = True
         for node in range(1, len(self.tag)):
-            marked[node] = marked[node] or marked[self.parent[node]]
+            marked[node] = not self.noise[node] and (marked[node] or marked[self.parent[node]])
         pieces = [" " if t is None else t for node, t in self.parts if marked[node] or t is None]
         return " ".join("".join(pieces).split())
 
