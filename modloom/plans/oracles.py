@@ -964,6 +964,12 @@ def oracle_sql() -> dict[str, str]:
               previous_best IS NULL OR value > previous_best AS improved FROM eval_best""",
             "eval_best",
         ),
+        "runlog_follow": sql(
+            """SELECT run_id, epoch, step, event, round(value, 6) AS value,
+              round(previous_best, 6) AS previous_best,
+              previous_best IS NULL OR value > previous_best AS improved FROM eval_best""",
+            "eval_best",
+        ),
         "runlog_early_stop": sql(
             """SELECT i.run_id, max(stop_epoch) AS stop_epoch, count(*) AS epochs_run,
               max(epochs_logged) AS epochs_logged, round(max(top), 6) AS best_metric

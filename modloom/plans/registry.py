@@ -22,12 +22,14 @@ from modloom.domains import (
 )
 from modloom.functions import text as X
 from modloom.functions.scores import expected_level, masked_mean
-from modloom.operators import dedup, evaluate, harmonize, heads, labels, losses, runlog, sampling
+from modloom.operators import dedup, evaluate, harmonize, heads, joint, labels, losses, runlog, sampling
 from modloom.operators import schema as unified_schema
 from modloom.operators import severity, split, stats, tokens
 from modloom.plans import views
 from modloom.plans.build import flag_tables, unify
 from modloom.sources import raw, storage
+from modloom.streaming import runs
+from modloom.streaming.live import write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -439,6 +441,35 @@ def train_heads(spark: SparkSession, folder: str) -> DataFrame:
     return counts.filter(F.col("head").isin(list(models)))
 
 
+def train_joint(spark: SparkSession, folder: str) -> DataFrame:
+    rows = tokens.target_prepare(stored_graded(spark, folder)).filter(F.col("split") == "train")
+    columns = ["uid", "buckets", "label", "label_name", "severity", "has_targets", "targets"]
+    data = storage.cut_lineage(joint.with_buckets(rows).select(*columns), "buckets")
+    table = joint.loss_table(data, joint.train(data))
+    # the order of a sum may change its last places
+    return table.select("head", *[F.round(name, 3).alias(name) for name in ("initial", "loss")])
+
+
+#: Parts that the log arrives in, at least, and lines per part about which more parts are made.
+PARTS, PART_LINES = 4, 5_000_000
+
+
+def runlog_follow(spark: SparkSession, folder: str) -> DataFrame:
+    """The log arrives in parts; the stream is started again for each."""
+    path, out, marks = (storage.scratch_path(spark, f"follow-{n}") for n in ("log", "out", "marks"))
+    log = storage.cut_lineage(views.run_log(spark, folder), "follow")
+    low, high, n = log.agg(F.min("epoch"), F.max("epoch"), F.count(F.lit(1))).first()
+    parts = max(PARTS, n // PART_LINES)
+    for k in range(parts if n else 0):
+        # whole epochs, in order, as a run logs them
+        part = F.floor((F.col("epoch") - low) * parts / (high - low + 1))
+        storage.write_table(log.filter(part == k), f"{path}/{k}")
+        grown = spark.readStream.schema(log.schema).parquet(f"{path}/*")
+        query = write_stream(runs.follow_best(grown), out, marks)
+        query.awaitTermination()
+    return spark.read.schema(runs.EVALUATIONS).parquet(out) if n else runlog.best_so_far(log)
+
+
 def on(source: Query, operator: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         result = operator(source(spark, folder))
@@ -569,6 +600,7 @@ QUERIES: dict[str, Query] = {
     # training log
     "runlog_windows": runlog_windows,
     "runlog_best": on(views.run_log, runlog.best_so_far),
+    "runlog_follow": runlog_follow,
     "runlog_early_stop": on(views.run_log, runlog.early_stop),
     # heads
     "mean_pool": mean_pool,
@@ -576,6 +608,7 @@ QUERIES: dict[str, Query] = {
     "linear_head": linear_head,
     "score_batches": score_batches,
     "train_heads": train_heads,
+    "train_joint": train_joint,
 }
 
 

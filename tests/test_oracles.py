@@ -21,7 +21,8 @@ def connection():
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    # a trained model is beyond SQL: test_joint holds it to plain forms and separate fits
+    assert set(QUERIES) == set(ORACLES) | {"train_joint"}
     assert set(QUERIES) <= set(entry_points.queries())
     assert set(ORACLES) <= set(entry_points.oracle_sql())
 
