@@ -44,8 +44,8 @@ STEPS = 8
 BLOCK, FIELDS = 1 << 20, 1 << 16
 #: Fields that a task counts before it hands them on; of a generation that it remembers.
 COUNTED, KEPT = 1 << 17, 1 << 16
-#: Bytes of a word up to which its pairs are searched one by one.
-SHORT = 64
+#: Bytes of a word up to which its pairs are searched one by one, and short words merged in lockstep.
+SHORT, LOCKSTEP = 64, 1 << 12
 #: Bytes of ids or text in one Arrow batch.
 BATCH = 1 << 23
 
@@ -80,6 +80,14 @@ class Vocabulary:
         self.merges = {
             (ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(whole["model"]["merges"])
         }
+        pairs = sorted((a * len(self.bytes_of) + b, rank, merged) for (a, b), (rank, merged) in self.merges.items())
+        #: The same merges as arrays: left times tokens plus right in order, rank, merged.
+        self.pairs, self.ranks, self.merged = np.array(pairs, np.int64).reshape(-1, 3).T.copy()
+        self.by_rank = np.empty(len(self.ranks), np.int32)
+        self.by_rank[self.ranks] = self.merged
+        bytes_ = np.array(self.first)
+        #: The rank of every pair of bytes.
+        self.byte_ranks = self._ranks_of(np.repeat(bytes_, 256), np.tile(bytes_, 256)).reshape(256, 256)
         names = sorted(map(re.escape, self.added), key=len, reverse=True)
         self.added_pattern = re.compile(f"({'|'.join(names)})") if names else None
 
@@ -88,6 +96,71 @@ class Vocabulary:
         ids = [self.first[b] for b in word]
         return self._merge_short(ids) if len(ids) <= SHORT else self._merge_long(ids)
 
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of each word; short ones are merged in lockstep, those of like length together."""
+        found = [b""] * len(words)
+        lengths = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(lengths, kind="stable")
+        order = order[lengths[order] > 0]
+        short = order[: np.searchsorted(lengths[order], SHORT, side="right")]
+        for at in order[len(short) :].tolist():
+            found[at] = packed(self._merge_long([self.first[b] for b in words[at]]))
+        for first in range(0, len(short), LOCKSTEP):
+            rows = short[first : first + LOCKSTEP]
+            ids, ends = self._merge_rows([words[i] for i in rows.tolist()], lengths[rows])
+            whole = ids.astype("<u4").tobytes()
+            edges = (4 * ends).tolist()
+            for at, a, b in zip(rows.tolist(), [0, *edges], edges, strict=False):
+                found[at] = whole[a:b]
+        return found
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair; the number of merges if it has none."""
+        if not len(self.pairs):
+            return np.zeros(len(left), np.int32)
+        wanted = left.astype(np.int64) * len(self.bytes_of) + right
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == wanted, self.ranks[at], len(self.pairs)).astype(np.int32)
+
+    def _merge_rows(self, words: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after the other, where each word's end)."""
+        n, width, none = len(words), int(lengths.max()), len(self.pairs)
+        inside = np.arange(width) < lengths[:, None]
+        ids = np.full((n, width), -1, np.int32)
+        raw = np.zeros((n, width), np.uint8)
+        raw[inside] = np.frombuffer(b"".join(words), np.uint8)
+        ids[inside] = np.array(self.first, np.int32)[raw[inside]]
+        # a place's rank is that of its token and the next one; a token stands where it begins
+        ranks = np.full((n, width), none, np.int32)
+        pair = inside[:, 1:]
+        ranks[:, :-1][pair] = self.byte_ranks[raw[:, :-1][pair], raw[:, 1:][pair]]
+        after = np.tile(np.arange(1, width + 1), (n, 1))
+        before = np.tile(np.arange(-1, width - 1), (n, 1))
+        after[np.arange(n), lengths - 1] = width
+        active = np.arange(n)
+        while len(active):
+            best = ranks[active].argmin(axis=1)
+            rank = ranks[active, best]
+            going = rank < none
+            active, best, rank = active[going], best[going], rank[going]
+            gone = after[active, best]
+            following = after[active, gone]
+            ids[active, best] = self.by_rank[rank]
+            ids[active, gone] = -1
+            ranks[active, gone] = none
+            after[active, best] = following
+            ranks[active, best] = none
+            on = np.flatnonzero(following < width)
+            rows, here, there = active[on], best[on], following[on]
+            before[rows, there] = here
+            ranks[rows, here] = self._ranks_of(ids[rows, here], ids[rows, there])
+            earlier = before[active, best]
+            on = np.flatnonzero(earlier >= 0)
+            rows, here, there = active[on], earlier[on], best[on]
+            ranks[rows, here] = self._ranks_of(ids[rows, here], ids[rows, there])
+        kept = ids >= 0
+        return ids[kept], np.cumsum(kept.sum(axis=1))
+
     def _merge_short(self, ids: list[int]) -> list[int]:
         merges, none = self.merges, (len(self.merges), -1)
         ranks = [merges.get(pair, none) for pair in zip(ids, ids[1:], strict=False)]
@@ -148,6 +221,8 @@ def vocabulary(path: str) -> Vocabulary:
 AGREED = re.compile("[\0-՗ -⁯₠-₿　-ゖァ-ヾ一-龥가-힣]*")
 #: No word spans the place before such a space, so what lies between is split on its own.
 FIELD = re.compile(r" (?=\S)")
+#: A space that is no such place; without one, every space is.
+WIDE = re.compile(r" (?:\s|\Z)")
 
 
 class Splitter:
@@ -164,7 +239,8 @@ class Splitter:
         while start < len(text):
             cut = FIELD.search(text, start + BLOCK) if len(text) - start > BLOCK else None
             stop = cut.start() if cut else len(text)
-            first, *others = FIELD.split(text[start:stop])
+            part = text[start:stop]
+            first, *others = FIELD.split(part) if WIDE.search(part) else part.split(" ")
             yield first, others
             start = stop
 
@@ -422,18 +498,21 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def look_up(self, words: list[str]) -> dict[str, bytes]:
-        """The packed ids of distinct words: from the lexicon, or merged."""
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """The packed ids of words: from the lexicon, or merged."""
         raw = [w.encode() for w in words]
-        merge = self.encoding.vocabulary.merge
-        found = {}
-        for word, own, rank in zip(words, raw, self.lexicon.ranks(raw).tolist(), strict=True):
-            found[word] = self.lexicon.packed_at(rank) if rank >= 0 else packed(merge(own))
+        ranks = self.lexicon.ranks(raw)
+        outside = np.flatnonzero(ranks < 0).tolist()
+        found = [self.lexicon.packed_at(rank) if rank >= 0 else b"" for rank in ranks.tolist()]
+        merged = self.encoding.vocabulary.merge_all([raw[i] for i in outside])
+        for i, ids in zip(outside, merged, strict=True):
+            found[i] = ids
         return found
 
     def of_fields(self, fields: list[str]) -> list[bytes]:
         words = [self.splitter.words(field) for field in fields]
-        found = self.look_up(list(set(chain.from_iterable(words))))
+        distinct = list(set(chain.from_iterable(words)))
+        found = dict(zip(distinct, self.look_up(distinct), strict=True))
         return [found[own[0]] if len(own) == 1 else b"".join(map(found.__getitem__, own)) for own in words]
 
     def learn(self, fields: set[str]) -> None:
@@ -442,8 +521,12 @@ class Encoder:
             self.older, self.known = self.known, {}
         fields.difference_update(self.known)
         self.known.update((field, self.older[field]) for field in fields.intersection(self.older))
-        fresh = list(fields.difference(self.older))
-        self.known.update(zip(fresh, self.of_fields([" " + field for field in fresh]), strict=True))
+        fresh = fields.difference(self.older)
+        # a space and letters are one word
+        plain = [field for field in fresh if field.isascii() and field.isalpha()]
+        self.known.update(zip(plain, self.look_up([" " + field for field in plain]), strict=True))
+        others = list(fresh.difference(plain))
+        self.known.update(zip(others, self.of_fields([" " + field for field in others]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""

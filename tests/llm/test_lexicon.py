@@ -50,6 +50,20 @@ def test_merges_match_the_library():
         assert ENCODING.vocabulary._merge_long(ids) == expected(word)
 
 
+@pytest.mark.parametrize("lockstep", [1, 7, 4096])
+def test_words_in_lockstep_merge_like_one_word(monkeypatch, lockstep):
+    monkeypatch.setattr(lexicon, "LOCKSTEP", lockstep)
+    rng = random.Random(lockstep)
+    words = ["", "a", "aaaaaaa", "é", " the", "x" * 64, "x" * 65, "ab" * 300, "𝔘nicode", "\0"]
+    letters = "etaoin shrdlu" if lockstep > 1 else "ab"
+    words += ["".join(rng.choices(letters, k=rng.randint(1, 40))) for _ in range(300)]
+    words += [bytes(rng.choices(range(256), k=rng.randint(1, 20))).decode("latin-1") for _ in range(100)]
+    raw = [w.encode() for w in words]
+    own = ENCODING.vocabulary
+    assert own.merge_all(raw) == [lexicon.packed(own.merge(w)) for w in raw]
+    assert own.merge_all([]) == []
+
+
 def test_classes_agree_where_the_quick_split_is_used():
     splitter = ENCODING.splitter()
     agreed = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and lexicon.AGREED.fullmatch(chr(c))]

@@ -202,4 +202,4 @@ def test_mix_without_words(docs):
 
 
 def test_registered_names():
-    assert sorted(int(n.split("_")[0][2:]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in queries.queries()) == list(range(1, 14))
