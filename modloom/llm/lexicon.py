@@ -221,6 +221,8 @@ def vocabulary(path: str) -> Vocabulary:
 AGREED = re.compile("[\0-՗ -⁯₠-₿　-ゖァ-ヾ一-龥가-힣]*")
 #: No word spans the place before such a space, so what lies between is split on its own.
 FIELD = re.compile(r" (?=\S)")
+#: Marks that are words of their own after letters.
+ENDS = frozenset(".,;:!?)")
 #: A space that is no such place; without one, every space is.
 WIDE = re.compile(r" (?:\s|\Z)")
 
@@ -247,6 +249,8 @@ class Splitter:
     def words(self, field: str) -> list[str]:
         if not (field.isascii() or AGREED.fullmatch(field)):
             return self._by_library(field)
+        if field[:1] == " " and field[-1] in ENDS and field[1:-1].isalpha():
+            return [field[:-1], field[-1]]
         one = field[1:].isalpha() and field[0] == " "
         return [field] if one else self.pattern.findall(field)
 
@@ -426,10 +430,13 @@ def word_counts(docs: DataFrame, encoding: Encoding) -> DataFrame:
             counts = Counter()
             for space, found in (("", firsts), (" ", fields)):
                 for field, n in found.items():
+                    if space and field.isascii() and field.isalpha():
+                        counts[" " + field] += n
+                        continue
                     for word in splitter.words(space + field):
                         counts[word] += n
                 found.clear()
-            words = [w for w in counts if len(w.encode()) <= LONGEST]
+            words = [w for w in counts if len(w) <= LONGEST and (w.isascii() or len(w.encode()) <= LONGEST)]
             return pa.record_batch({"word": pa.array(words, pa.string()), "n": pa.array([counts[w] for w in words], pa.int64())})
 
         for batch in batches:
