@@ -43,7 +43,11 @@ def add_duplicate_flags(df: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFr
 
 def duplicate_stats(df: DataFrame) -> DataFrame:
     """Duplicate rows, duplicate groups and conflicting groups, as one row."""
-    groups = with_flags(group_table(df))
+    return stats_of(with_flags(group_table(df)))
+
+
+def stats_of(groups: DataFrame) -> DataFrame:
+    """The same from a group table with flags."""
     return groups.agg(
         F.coalesce(
             F.sum(F.when(F.col("is_duplicate"), F.col("group_size"))), F.lit(0)

@@ -126,26 +126,16 @@ def _save(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_table(
-    df: DataFrame,
-    path: str,
-    partition_by: tuple[str, ...] = (),
-    accept: Callable[[DataFrame], None] | None = None,
-) -> None:
-    """Replaces the table at ``path`` by ``df``, which may read the old one.
+@contextmanager
+def replacing(spark: SparkSession, path: str) -> Iterator[str]:
+    """A hidden folder beside ``path`` that takes its place by two renames if the block ends well.
 
-    The rows are written beside it and take its place by two renames after the job has
-    committed and ``accept``, which gets the written rows, has not raised. After any error
-    before that the old table is as it was. One writer at a time.
+    After any error before that the old one is as it was. One writer at a time.
     """
-    spark = df.sparkSession
     new, old = _beside(spark, path, f"new-{uuid.uuid4().hex}"), _beside(spark, path, "old")
     restore(spark, path)
     try:
-        _save(df, new, partition_by)
-        if accept is not None:
-            # a glob, as Spark takes no path with a hidden name
-            accept(spark.read.schema(df.schema).option("basePath", new).parquet(f"{new}/[!_]*"))
+        yield new
         if _exists(spark, path):
             _move(spark, path, old)
         _move(spark, new, path)
@@ -156,6 +146,24 @@ def write_table(
     drop_table(spark, old)
 
 
+def write_table(
+    df: DataFrame,
+    path: str,
+    partition_by: tuple[str, ...] = (),
+    accept: Callable[[DataFrame], None] | None = None,
+) -> None:
+    """Replaces the table at ``path`` by ``df``, which may read the old one.
+
+    The rows are written beside it and take its place after the job has committed and
+    ``accept``, which gets the written rows, has not raised; else the old table stays.
+    """
+    with replacing(df.sparkSession, path) as new:
+        _save(df, new, partition_by)
+        if accept is not None:
+            # a glob, as Spark takes no path with a hidden name
+            accept(df.sparkSession.read.schema(df.schema).option("basePath", new).parquet(f"{new}/[!_]*"))
+
+
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
