@@ -134,9 +134,11 @@ def add_duplicate_flags(laid: ByText) -> DataFrame:
 
     A bucket's rows meet the groups counted in the same bucket. Groups of the other part are at
     most ``HOT_SHARES``, a few numbers each, and are broadcast; rows without a text get the defaults.
+    Columns that have the flags' names are replaced.
     """
 
     def flagged(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        rows = rows.drop(*FLAGS)
         joined = rows.join(groups.withColumnRenamed(laid.key, "group_key"), F.col(laid.key) == F.col("group_key"), "left")
         return joined.select(
             *rows.columns,

@@ -726,6 +726,30 @@ def oracle_sql() -> dict[str, str]:
             FROM unified WHERE is_duplicate GROUP BY text_hash""",
             "unified",
         ),
+        "laid_out_flags": sql(
+            """SELECT uid, count(*) OVER t > 1 AS is_duplicate, count(*) OVER t AS dup_group_size,
+              min(label_name) OVER t <> max(label_name) OVER t AS label_conflict
+            FROM unified WINDOW t AS (PARTITION BY text_hash)""",
+            "unified",
+        ),
+        "laid_out_stats": sql(
+            """SELECT coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS duplicate_rows,
+              count(*) FILTER (n > 1) AS duplicate_groups, count(*) FILTER (labels > 1) AS conflicting_groups
+            FROM (SELECT count(*) AS n, count(DISTINCT label_name) AS labels FROM unified GROUP BY text_hash) g""",
+            "unified",
+        ),
+        "laid_out_summary": sql(
+            """SELECT text_hash, count(*) AS dup_group_size,
+              list_sort(list_distinct(list(source))) AS sources,
+              list_sort(list_distinct(list(label_name))) AS labels,
+              count(DISTINCT label_name) > 1 AS label_conflict
+            FROM unified GROUP BY text_hash HAVING count(*) > 1""",
+            "unified",
+        ),
+        "laid_out_leakage": sql(
+            "SELECT text_hash FROM unified GROUP BY text_hash HAVING min(split) <> max(split)",
+            "unified",
+        ),
         "split_assign": sql("SELECT uid, split FROM unified", "unified"),
         "split_counts": sql(
             f"SELECT source, {_counts(('train', 'val', 'test'), 'split')} FROM unified GROUP BY source",

@@ -22,7 +22,7 @@ from modloom.domains import (
 )
 from modloom.functions import text as X
 from modloom.functions.scores import expected_level, masked_mean
-from modloom.operators import dedup, evaluate, harmonize, heads, joint, labels, losses, runlog, sampling
+from modloom.operators import by_text, dedup, evaluate, harmonize, heads, joint, labels, losses, runlog, sampling
 from modloom.operators import schema as unified_schema
 from modloom.operators import severity, split, stats, tokens
 from modloom.plans import views
@@ -112,6 +112,18 @@ def unified_rows(spark: SparkSession, folder: str) -> DataFrame:
 unified = stage("unified", unified_rows)
 
 
+def unified_by_text(spark: SparkSession, folder: str) -> by_text.ByText:
+    """The unified table laid out by text, written once per application and input folder."""
+    key = (spark.sparkContext.applicationId, folder, "unified-by-text")
+    rows = unified(spark, folder)
+    with _ONE_AT_A_TIME, storage.outside_scopes():
+        if key not in _STAGES or not storage.is_complete(spark, f"{_STAGES[key]}/hot"):
+            path = storage.scratch_path(spark, key[2])
+            by_text.write_by_text(rows, path)
+            _STAGES[key] = path
+        return by_text.open_by_text(spark, _STAGES[key])
+
+
 def graded(spark: SparkSession, folder: str) -> DataFrame:
     return severity.derive_severity(unified(spark, folder))
 
@@ -272,6 +284,24 @@ def dup_flags(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def laid_out_flags(spark: SparkSession, folder: str) -> DataFrame:
+    return by_text.add_duplicate_flags(unified_by_text(spark, folder)).select(
+        "uid", "is_duplicate", "dup_group_size", "label_conflict"
+    )
+
+
+def laid_out_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return by_text.duplicate_stats(unified_by_text(spark, folder))
+
+
+def laid_out_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return by_text.each_text(unified_by_text(spark, folder), dedup.duplicate_summary)
+
+
+def laid_out_leakage(spark: SparkSession, folder: str) -> DataFrame:
+    return by_text.each_text(unified_by_text(spark, folder), split.split_leakage)
+
+
 def split_assign(spark: SparkSession, folder: str) -> DataFrame:
     return split.assign_split(combined_rows(spark, folder)).select("uid", "split")
 
@@ -546,6 +576,10 @@ QUERIES: dict[str, Query] = {
     "dup_flags": dup_flags,
     "dup_stats": on(combined_rows, dedup.duplicate_stats),
     "dup_summary": on(combined_rows, dedup.duplicate_summary),
+    "laid_out_flags": laid_out_flags,
+    "laid_out_stats": laid_out_stats,
+    "laid_out_summary": laid_out_summary,
+    "laid_out_leakage": laid_out_leakage,
     "split_assign": split_assign,
     "split_counts": on(unified, split.split_counts),
     "split_summary": on(unified, split.split_summary),

@@ -103,6 +103,8 @@ def test_empty_and_all_hot(spark, df):
     one = df.filter("text_hash = 'hot'")
     hot = by_text.write_by_text(one, storage.scratch_path(spark, "by-text"), hot_rows=2)
     assert hot.cold.isEmpty()
+    clash = hot._replace(cold=hot.cold.withColumn("is_duplicate", F.lit("x")), hot=hot.hot.withColumn("is_duplicate", F.lit("x")))
+    assert rows_of(by_text.add_duplicate_flags(clash)) == rows_of(by_text.add_duplicate_flags(hot))
     assert rows_of(by_text.add_duplicate_flags(hot)) == rows_of(dedup.add_duplicate_flags(one))
 
 
