@@ -113,9 +113,12 @@ unified = stage("unified", unified_rows)
 
 
 def unified_by_text(spark: SparkSession, folder: str) -> by_text.ByText:
-    """The unified table laid out by text, written once per application and input folder."""
+    """The unified table laid out by text, written once per application and input folder.
+
+    It holds the columns that jobs on groups read; the texts stay where they are.
+    """
     key = (spark.sparkContext.applicationId, folder, "unified-by-text")
-    rows = unified(spark, folder)
+    rows = unified(spark, folder).select("uid", "text_hash", "source", "label", "split")
     with _ONE_AT_A_TIME, storage.outside_scopes():
         if key not in _STAGES or not storage.is_complete(spark, f"{_STAGES[key]}/hot"):
             path = storage.scratch_path(spark, key[2])
