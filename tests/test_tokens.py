@@ -108,3 +108,36 @@ def test_token_table_and_batches(graded, spark, tmp_path):
     batches = training_batches(stored).collect()
     assert {r.batch_id for r in batches} == {0}
     assert {len(r.input_ids) for r in batches} == {128}
+
+
+@pytest.mark.parametrize("max_broadcast", [2, K.MAX_BROADCAST_VOCAB])
+def test_runs_of_long_texts_and_repeated_rows(spark, max_broadcast):
+    """Texts longer than an Arrow batch, with rare tokens at both ends; rows of one uid share their tokens."""
+    long = " ".join(["first", *["a b c"] * 9000, "last"])
+    rows = [("l", long), ("n", None), ("t", "a b x"), ("t", "c a")]
+    df = spark.createDataFrame(rows, "uid string, text string").withColumns(
+        {"source": F.lit("mhs"), "split": F.lit("train"), "label": F.lit(0), "severity": F.lit(1)}
+    ).withColumns({name: F.lit(True) for name in TARGET_COLUMNS})
+    vocab = spark.createDataFrame(
+        [(t, i + 4) for i, t in enumerate(["a", "b", "c", "last"])], "token string, token_id int"
+    )
+    got = K.tokenize(K.target_prepare(df), vocab, None, max_broadcast).collect()
+    ids = {r.uid: r.input_ids for r in got}
+    assert ids["l"] == [0, 3, *[4, 5, 6] * 9000, 7, 2] and ids["n"] == [0, 2]
+    assert ids["t"] == [0, 4, 6, 4, 5, 3, 2] and len(got) == 4
+
+
+def test_single_tokens_are_shuffled_only_if_rare(spark):
+    """Texts of common words cross a shuffle as one row each, not as one row per word."""
+    df = spark.range(200).select(
+        F.col("id").cast("string").alias("uid"), F.repeat(F.lit("a b "), 50).alias("text"),
+        *[F.lit(1).alias(name) for name in ("source", "split", "label", "severity")],
+        *[F.lit(True).alias(name) for name in TARGET_COLUMNS],
+    )
+    vocab = spark.createDataFrame([("a", 4), ("b", 5), ("c", 6)], "token string, token_id int")
+    coded = K.tokenize(K.target_prepare(df), vocab, max_broadcast=2)
+    joined = coded._jdf.queryExecution().optimizedPlan().toString()
+    below = joined[joined.index("Aggregate [key"):]
+    # the explode lies below the packing, which lies below the join with the rare entries
+    assert below.index("rare_token") < below.index("MapInArrow") < below.index("Generate")
+    assert all(r.input_ids == [0, *[4, 5] * 50, 2] for r in coded.collect())
