@@ -109,3 +109,12 @@ def test_nulls_are_counted_without_reading_again(spark, tmp_path, monkeypatch):
 def test_an_empty_table_passes(spark, tmp_path):
     flags, scores = (load(spark, FOLDER).limit(0) for load in (registry.stored_flags, registry.stored_scores))
     assert build.build_unified(flags, scores, f"{tmp_path}/u").count() == 0
+
+
+def test_severity_needs_no_second_copy_of_the_texts(spark, monkeypatch):
+    """Graded rows are read from the unified table, and their readers see no text."""
+    columns = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in UNIFIED_SCHEMA.fields)
+    empty = spark.sql(f"SELECT {columns}").filter("uid IS NOT NULL")
+    monkeypatch.setattr(registry, "unified", lambda spark, folder: empty)
+    monkeypatch.setattr(registry.storage, "write_table", None)
+    assert "severity_name" in registry.stored_graded(spark, "nowhere").columns
