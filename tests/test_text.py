@@ -1,5 +1,6 @@
 import hashlib
 import html
+import itertools
 import unicodedata
 
 import pytest
@@ -221,3 +222,20 @@ def test_text_columns_keep_every_row(spark):
 def test_long_inner_white_space_is_no_trouble(column):
     text = "!" + " " * 200_000 + "!"
     assert column(X.squeeze_ends, [f" {text}\n"]) == [text]
+
+
+def test_lone_spaces_are_not_replaced_by_themselves(spark):
+    """The patterns pass over single spaces, which most white space is, and give the same texts."""
+    parts = [" ", "  ", "\t", " ", "-", "a", "é", ""]
+    texts = ["".join(p) for p in itertools.product(parts, repeat=4)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        X.squeeze_spaces(F.col("text")).alias("new"),
+        F.trim(F.regexp_replace("text", rf"{X.SPACE}+", " ")).alias("old"),
+        F.regexp_replace("text", X.NON_ALNUM, " ").alias("new_words"),
+        F.regexp_replace("text", r"[^a-z0-9\p{L}\p{N}]+", " ").alias("old_words"),
+    )
+    assert df.filter("new <> old OR new_words <> old_words").isEmpty()
+    found = spark.sql("SELECT 'a b' AS text").select(
+        *[F.col("text").rlike(pattern) for pattern in (X.SPACES, X.NON_ALNUM)]
+    )
+    assert not any(found.first())
