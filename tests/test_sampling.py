@@ -109,3 +109,19 @@ def test_eval_sample(spark):
     got = {r.uid for r in S.eval_sample(df, 10).collect()}
     ordered = sorted((f"u{i}" for i in range(60, 120)), key=lambda uid: key(42, uid))
     assert got == set(ordered[:10])
+
+
+def test_batches_are_dealt_by_a_short_key(spark):
+    """The id stays with its sequence; 20 bytes of it cross the shuffles that order the rows."""
+    rows = [(f"r{i % 90}", 1 + i % 7, [5] * (1 + i % 7), [1] * (1 + i % 7)) for i in range(100)] + [(None, 3, [5] * 3, [1] * 3)]
+    df = spark.createDataFrame(rows, "uid string, length int, input_ids array<int>, attention_mask array<int>")
+    padded = S.padded_batches(df, 0, batch_size=4, mega_batches=3)
+    plan = padded._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    (at,) = [i for i, line in enumerate(plan) if "RepartitionByExpression" in line]
+    assert "_order_key" in plan[at + 1] and "input_ids" not in plan[at + 1]
+    assert padded.columns[:4] == ["uid", "length", "input_ids", "attention_mask"]
+    # by definition: places by id and length, then a join by id
+    places = S.padded_lengths(S.length_grouped(df.select("uid", "length"), batch_size=4, mega_batches=3))
+    want = df.join(places.drop("length"), "uid")
+    columns = ["uid", "length", "batch_id", "mega_batch", "padded_length"]
+    assert sorted(padded.select(*columns).collect()) == sorted(want.select(*columns).collect())
