@@ -3,6 +3,7 @@ import html
 import itertools
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -239,3 +240,25 @@ def test_lone_spaces_are_not_replaced_by_themselves(spark):
         *[F.col("text").rlike(pattern) for pattern in (X.SPACES, X.NON_ALNUM)]
     )
     assert not any(found.first())
+
+
+def test_characters_of_a_batch_are_composed_piece_by_piece(spark):
+    """More texts than a piece holds, nulls among them, keep their order; only a piece is strings at a time."""
+    texts = [None if i % 5 == 0 else f"ﬂ{i}&lt;" for i in range(2 * X.PIECE + 3)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    got = rows.select("id", X.canonical_chars(F.col("text")).alias("t")).collect()
+    assert {r.id: r.t for r in got} == {i: x and x.replace("ﬂ", "fl").replace("&lt;", "<") for i, x in enumerate(texts)}
+    sizes = []
+
+    class Texts(list):
+        type = pa.string()
+
+        def __getitem__(self, part):
+            return Texts(super().__getitem__(part))
+
+        def to_pylist(self):
+            sizes.append(len(self))
+            return list(self)
+
+    done = X._unescape_and_compose.func(Texts(texts))
+    assert len(done) == len(texts) and max(sizes) == X.PIECE
