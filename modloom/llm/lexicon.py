@@ -47,7 +47,7 @@ COUNTED, KEPT = 1 << 17, 1 << 16
 #: Bytes of a word up to which its pairs are searched one by one, and short words merged in lockstep.
 SHORT, LOCKSTEP = 64, 1 << 12
 #: Bytes of ids or text in one Arrow batch.
-BATCH = 1 << 23
+BATCH = 1 << 22
 
 
 # --- the vocabulary -----------------------------------------------------------------------
@@ -393,6 +393,7 @@ class Lexicon:
         lengths = np.array([len(w) for w in words], np.int64)
         flat = np.frombuffer(b"".join(words), np.uint8)
         starts = np.cumsum(lengths) - lengths
+        keys = np.asarray(self.keys)
         rank, state = np.zeros(len(words), np.int64), np.full(len(words), len(self.final) - 1)
         alive = np.flatnonzero((lengths > 0) & (len(self.keys) > 0))
         rank[lengths == 0] = -1
@@ -402,9 +403,10 @@ class Lexicon:
             alive = alive[lengths[alive] > step]
             if not len(alive):
                 break
-            wanted = state[alive] * 256 + flat[starts[alive] + step]
-            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-            hit = self.keys[at] == wanted
+            # of the keys' own type, or each search copies all of them
+            wanted = (state[alive] * 256 + flat[starts[alive] + step]).astype(keys.dtype)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            hit = keys[at] == wanted
             rank[alive[~hit]] = -1
             alive, at = alive[hit], at[hit]
             state[alive] = self.targets[at]
@@ -416,6 +418,15 @@ class Lexicon:
         """The ids of the word with this rank, as they stand in the file."""
         return self.ids[self.places[rank] : self.places[rank + 1]].tobytes()
 
+    def packed_all(self, ranks: np.ndarray) -> list[bytes]:
+        """The same for each rank; no ids where it is negative."""
+        # plain views: slices of a memmap object cost several times as much
+        places, view = np.asarray(self.places), memoryview(np.asarray(self.ids)).cast("B")
+        firsts, ends = np.zeros((2, len(ranks)), np.int64)
+        inside = ranks >= 0
+        firsts[inside], ends[inside] = places[ranks[inside]], places[ranks[inside] + 1]
+        return [bytes(view[a:b]) for a, b in zip((4 * firsts).tolist(), (4 * ends).tolist(), strict=True)]
+
 
 # --- Spark --------------------------------------------------------------------------------
 
@@ -510,7 +521,7 @@ class Encoder:
         raw = [w.encode() for w in words]
         ranks = self.lexicon.ranks(raw)
         outside = np.flatnonzero(ranks < 0).tolist()
-        found = [self.lexicon.packed_at(rank) if rank >= 0 else b"" for rank in ranks.tolist()]
+        found = self.lexicon.packed_all(ranks)
         merged = self.encoding.vocabulary.merge_all([raw[i] for i in outside])
         for i, ids in zip(outside, merged, strict=True):
             found[i] = ids
@@ -527,8 +538,11 @@ class Encoder:
         if len(self.known) > KEPT:
             self.older, self.known = self.known, {}
         fields.difference_update(self.known)
-        self.known.update((field, self.older[field]) for field in fields.intersection(self.older))
-        fresh = fields.difference(self.older)
+        older = self.older
+        again = [field for field in fields if field in older]
+        self.known.update((field, older[field]) for field in again)
+        fields.difference_update(again)
+        fresh = fields
         # a space and letters are one word
         plain = [field for field in fresh if field.isascii() and field.isalpha()]
         self.known.update(zip(plain, self.look_up([" " + field for field in plain]), strict=True))
@@ -585,18 +599,47 @@ def _slices(column: pa.Array, limit: int = BATCH) -> Iterator[tuple[int, pa.Arra
 
 def _through(df: DataFrame, column: str, added: T.StructField, make: Callable) -> DataFrame:
     """``df`` with ``column``, its last one, replaced by ``added``; ``make()`` gives a task's function of arrays."""
-    schema = T.StructType([*df.drop(column).schema.fields, added])
+
+    def alone() -> Callable[[pa.Array], list[pa.Array]]:
+        function = make()
+        return lambda values: [function(values)]
+
+    return _through_all(df, column, [added], alone)
+
+
+def _through_all(df: DataFrame, column: str, added: list[T.StructField], make: Callable) -> DataFrame:
+    """The same with several columns in place of one; the function gives a list of arrays."""
+    schema = T.StructType([*df.drop(column).schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
             for first, part in _slices(batch.column(batch.num_columns - 1)):
                 own = [c.slice(first, len(part)) for c in batch.columns[:-1]]
-                yield pa.record_batch([*own, function(part)], names=schema.names)
+                yield pa.record_batch([*own, *function(part)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+IDS, DECODED = T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())
+
+
+def _encoder(encoding: Encoding, name: str) -> Callable[[pa.Array], pa.Array]:
+    """A task's function from texts to packed ids; ``name`` is that of the published lexicon."""
+    encoder = Encoder(encoding, Lexicon.mapped(SparkFiles.get(name)))
+    return lambda texts: pa.array(encoder.encode(texts.to_pylist()), pa.binary())
+
+
+def _decoder(encoding: Encoding) -> Callable[[pa.Array], pa.Array]:
+    """A task's function from packed ids to texts."""
+    own = encoding.vocabulary
+    return lambda packed: pa.array([own.decode(np.frombuffer(x, "<u4").tolist()) for x in packed.to_pylist()], pa.string())
+
+
+def _texts(docs: DataFrame, id_column: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_column}`"), text_of().alias("bpe_text"))
+
+
 def encode(
     docs: DataFrame, id_column: str = "doc_id", encoding: Encoding | None = None, lexicon: Lexicon | None = None
 ) -> DataFrame:
@@ -606,13 +649,29 @@ def encode(
     """
     encoding = encoding or public_encoding()
     name = publish(docs.sparkSession, lexicon or fit_lexicon(docs, encoding))
+    return _through(_texts(docs, id_column), "bpe_text", IDS, lambda: _encoder(encoding, name))
 
-    def make() -> Callable[[pa.Array], pa.Array]:
-        encoder = Encoder(encoding, Lexicon.mapped(SparkFiles.get(name)))
-        return lambda texts: pa.array(encoder.encode(texts.to_pylist()), pa.binary())
 
-    rows = docs.select(F.col(f"`{id_column}`"), text_of().alias("bpe_text"))
-    return _through(rows, "bpe_text", T.StructField("ids", T.BinaryType()), make)
+def round_trip(
+    docs: DataFrame, id_column: str = "doc_id", encoding: Encoding | None = None, lexicon: Lexicon | None = None
+) -> DataFrame:
+    """(id, ids, decoded): ``decode`` of ``encode`` in one pass.
+
+    Two steps in a row would keep two Python workers a task, each with a vocabulary of its own.
+    """
+    encoding = encoding or public_encoding()
+    name = publish(docs.sparkSession, lexicon or fit_lexicon(docs, encoding))
+
+    def make() -> Callable[[pa.Array], list[pa.Array]]:
+        to_ids, to_text = _encoder(encoding, name), _decoder(encoding)
+
+        def both(texts: pa.Array) -> list[pa.Array]:
+            ids = to_ids(texts)
+            return [ids, to_text(ids)]
+
+        return both
+
+    return _through_all(_texts(docs, id_column), "bpe_text", [IDS, DECODED], make)
 
 
 def unpacked(encoded: DataFrame) -> DataFrame:
@@ -632,21 +691,13 @@ def unpacked(encoded: DataFrame) -> DataFrame:
 def decode(encoded: DataFrame, encoding: Encoding | None = None) -> DataFrame:
     """``encoded`` with ``decoded``, the text of its packed ``ids``."""
     encoding = encoding or public_encoding()
-
-    def make() -> Callable[[pa.Array], pa.Array]:
-        def texts(packed: pa.Array) -> pa.Array:
-            own = encoding.vocabulary
-            return pa.array([own.decode(np.frombuffer(x, "<u4").tolist()) for x in packed.to_pylist()], pa.string())
-
-        return texts
-
     rows = encoded.withColumn("bpe_ids", F.col("ids"))
-    return _through(rows, "bpe_ids", T.StructField("decoded", T.StringType()), make)
+    return _through(rows, "bpe_ids", DECODED, lambda: _decoder(encoding))
 
 
 def encoding_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
-    return decode(encode(docs)).select(
+    return round_trip(docs).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -185,3 +185,26 @@ def test_frequent_words(spark, size):
 
 def test_empty_table(empty_docs):
     assert lexicon.encoding_report(empty_docs).count() == 0
+
+
+def test_report_decodes_in_the_pass_that_encodes(spark, docs, capsys):
+    table = docs([*TEXTS, None, *random_texts(20, 9)])
+    small = lexicon.fit_lexicon(table, ENCODING, 50)
+    both = lexicon.round_trip(table, lexicon=small)
+    assert sorted(map(tuple, both.collect())) == sorted(
+        map(tuple, lexicon.decode(lexicon.encode(table, lexicon=small)).collect())
+    )
+    capsys.readouterr()
+    lexicon.encoding_report(table).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
+def test_ids_of_many_words(tmp_path):
+    words = {b" the": [5], b"ab": [6, 7], b"abc": [8, 9, 10]}
+    path = tmp_path / "lexicon.bin"
+    path.write_bytes(lexicon.Lexicon.compile(words).to_bytes())
+    mapped = lexicon.Lexicon.mapped(str(path))
+    ranks = mapped.ranks([b"abc", b"no", b" the", b"ab", b""])
+    assert mapped.packed_all(ranks) == [lexicon.packed(ids) for ids in ([8, 9, 10], [], [5], [6, 7], [])]
+    none = lexicon.Lexicon.compile({})
+    assert none.packed_all(none.ranks([b"a"])) == [b""]
