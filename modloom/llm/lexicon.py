@@ -4,9 +4,10 @@ Words (what the vocabulary's pattern cuts out of a text) are counted over the wh
 inside the tasks before they meet. The ``SIZE`` most frequent ones become a minimal acyclic
 automaton that shares prefixes and suffixes; its arcs carry numbers whose sum along a word is the
 word's rank, under which its ids stand. The arrays are one file in the shared folder that Spark
-hands to every executor, and tasks map it into memory. A task looks its distinct words up in
-lockstep, one byte of all of them at a time; words outside are merged exactly, pair by pair. So
-the size of the lexicon changes the speed, never an id.
+hands to every executor, and tasks map it into memory. A task cuts a block of texts into words
+at once, from the classes of its code points, and looks the distinct ones up in lockstep, one
+byte of all of them at a time; words outside are merged exactly, pair by pair. So the size of
+the lexicon changes the speed, never an id.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; added tokens in a
 text become their ids, as the library does; repeated rows each appear; a text of any length is
@@ -20,13 +21,12 @@ import json
 import re
 import struct
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -40,16 +40,29 @@ from modloom.sources.storage import own_scratch, scratch_path
 SIZE, LONGEST = 1 << 17, 48
 #: Steps in which a number of occurrences doubles, to find the most frequent words.
 STEPS = 8
-#: Code points that are split at a time, and fields that are encoded at a time.
+#: Code points that are split at a time, and fields whose words are remembered where the library splits.
 BLOCK, FIELDS = 1 << 20, 1 << 16
-#: Fields that a task counts before it hands them on; of a generation that it remembers.
+#: Distinct words that a task counts before it hands them on; words whose ids it remembers.
 COUNTED, KEPT = 1 << 17, 1 << 16
+#: Tokens that are decoded at a time.
+TOKENS = 1 << 16
 #: Bytes of a word up to which its pairs are searched one by one, and short words merged in lockstep.
 SHORT, LOCKSTEP = 64, 1 << 12
 #: Bytes of ids or text in one Arrow batch.
 BATCH = 1 << 22
 
 
+def gather(flat: np.ndarray, firsts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ranges of ``flat`` with these starts and lengths, one after the other."""
+    ends = np.cumsum(lengths)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(firsts - (ends - lengths), lengths)]
+
+
+def running(lengths: np.ndarray) -> np.ndarray:
+    """The sum of the lengths before each, and of all at the end."""
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
 # --- the vocabulary -----------------------------------------------------------------------
 
 
@@ -73,6 +86,9 @@ class Vocabulary:
             self.bytes_of[number] = bytes(alphabet[c] for c in token)
         for token, number in self.added.items():
             self.bytes_of[number] = token.encode()
+        #: The same bytes in one array, and where each token's begin.
+        self.flat, self.widths = np.frombuffer(b"".join(self.bytes_of), np.uint8), np.array([len(b) for b in self.bytes_of])
+        self.starts = running(self.widths)
         self.first = [0] * 256
         for char, byte in alphabet.items():
             self.first[byte] = ids[char]
@@ -206,8 +222,12 @@ class Vocabulary:
                 push(before[i])
         return [x for x in ids if x >= 0]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        """Blocks of tokens at a time, so that the places of a long text's bytes are never all in memory."""
+        ids = np.asarray(ids, np.int64)
+        blocks = (ids[i : i + TOKENS] for i in range(0, len(ids), TOKENS))
+        found = [gather(self.flat, self.starts[own], self.widths[own]).tobytes() for own in blocks]
+        return b"".join(found).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=4)
@@ -221,30 +241,111 @@ def vocabulary(path: str) -> Vocabulary:
 AGREED = re.compile("[\0-՗ -⁯₠-₿　-ゖァ-ヾ一-龥가-힣]*")
 #: No word spans the place before such a space, so what lies between is split on its own.
 FIELD = re.compile(r" (?=\S)")
+#: The same holds for a line's end before a word, so long texts are cut there, too.
+CUT = re.compile(r"[ \n](?=\S)")
 #: Marks that are words of their own after letters.
 ENDS = frozenset(".,;:!?)")
 #: A space that is no such place; without one, every space is.
 WIDE = re.compile(r" (?:\s|\Z)")
+#: What the pattern cuts off behind a quote: letters that it takes with it.
+TAILS = ("s", "t", "re", "ve", "m", "ll", "d")
+OTHER, LETTER, NUMBER, WHITE = range(4)
+
+
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """The pattern's class of each code point below U+10000; of use where the libraries agree."""
+    found = np.full(1 << 16, OTHER, np.uint8)
+    agreed = "".join(c for c in map(chr, (*range(0xD800), *range(0xE000, 0x10000))) if AGREED.fullmatch(c))
+    for kind, name in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (WHITE, r"\s")):
+        found[[ord(c) for c in regex.findall(name, agreed)]] = kind
+    return found
+
+
+def word_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where words begin in texts that follow one another; ``first`` is true where a text begins.
+
+    A word is a run of one class with a space before it, if there is one. Of a run of white space the
+    last one stands alone, or before the next word, unless the text ends there. A quote that begins
+    a word takes one of TAILS with it.
+    """
+    kinds = classes()[points if points.dtype == np.uint8 else np.minimum(points, 0xFFFF)]
+    white, inside = kinds == WHITE, ~first[1:]
+    starts = first.copy()
+    starts[1:] |= (kinds[1:] != kinds[:-1]) & (white[1:] | (points[:-1] != ord(" ")))
+    starts[:-1] |= white[:-1] & ~white[1:] & inside
+    quotes = np.flatnonzero(starts & (points == ord("'")))
+    for tail in TAILS:
+        at = quotes[quotes + len(tail) < len(points)]
+        for step, letter in enumerate(tail, 1):
+            at = at[(points[at + step] == ord(letter)) & ~first[at + step]]
+        starts[at + 1] = False
+        behind = at + 1 + len(tail)
+        starts[behind[behind < len(points)]] = True
+    return starts
 
 
 class Splitter:
-    """Texts in fields, which follow one another in a space, and fields in the vocabulary's words."""
+    """Texts in the vocabulary's words; in fields, which follow one another in a space, where the libraries may differ."""
 
     def __init__(self, path: str, pattern: str):
         self.path, self.pattern = path, regex.compile(pattern)
         self.original = None
+        #: How long the words of fields are that hold code points of which the libraries may differ.
+        self.known: dict[str, list[int]] = {}
 
     @staticmethod
-    def blocks(text: str) -> Iterator[tuple[str, list[str]]]:
-        """(first field, the others without their space) of BLOCK code points or a little more."""
+    def pieces(text: str) -> Iterator[str]:
+        """Parts of BLOCK code points or a little more, between words."""
         start = 0
         while start < len(text):
-            cut = FIELD.search(text, start + BLOCK) if len(text) - start > BLOCK else None
+            cut = CUT.search(text, start + BLOCK) if len(text) - start > BLOCK else None
             stop = cut.start() if cut else len(text)
-            part = text[start:stop]
+            yield text[start:stop]
+            start = stop
+
+    @classmethod
+    def blocks(cls, text: str) -> Iterator[tuple[str, list[str]]]:
+        """(first field, the others without their space) of each of these parts."""
+        for part in cls.pieces(text):
             first, *others = FIELD.split(part) if WIDE.search(part) else part.split(" ")
             yield first, others
-            start = stop
+
+    def cut(self, pieces: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """(words of all pieces one after the other, how many each piece has); no piece is empty."""
+        whole = "".join(pieces)
+        raw = whole.encode()
+        edges = running(np.array([len(piece) for piece in pieces], np.int64))
+        first = np.zeros(len(whole), bool)
+        first[edges[:-1]] = True
+        plain = len(raw) == len(whole)
+        points = np.frombuffer(raw, np.uint8) if plain else np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        starts = word_starts(points, first)
+        for piece, edge in zip([] if plain else pieces, edges.tolist(), strict=False):
+            if not (piece.isascii() or AGREED.fullmatch(piece)):
+                starts[edge : edge + len(piece)] = False
+                starts[edge + running(self._lengths(piece))[:-1]] = True
+        at = np.flatnonzero(starts)
+        places = np.append(at, len(whole))
+        if not plain:
+            widths = (points >= 0x80).view(np.uint8) + (points >= 0x800) + (points >= 0x10000) + np.uint8(1)
+            places = running(np.add.reduceat(widths, at, dtype=np.int64))
+        buffers = [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(raw)]
+        words = pa.Array.from_buffers(pa.large_binary(), len(at), buffers)
+        return words, np.diff(np.searchsorted(at, edges))
+
+    def _lengths(self, piece: str) -> np.ndarray:
+        """The code points of each word, field by field."""
+        found = []
+        for first, others in self.blocks(piece):
+            found.extend(map(len, self.words(first)))
+            for field in others:
+                if field not in self.known:
+                    if len(self.known) >= FIELDS:
+                        self.known.clear()
+                    self.known[field] = [len(word) for word in self.words(" " + field)]
+                found.extend(self.known[field])
+        return np.array(found, np.int64)
 
     def words(self, field: str) -> list[str]:
         if not (field.isascii() or AGREED.fullmatch(field)):
@@ -390,15 +491,17 @@ class Lexicon:
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         """The rank of each word, -1 for those that are not in the lexicon."""
-        lengths = np.array([len(w) for w in words], np.int64)
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        starts = np.cumsum(lengths) - lengths
+        return self.ranks_of(np.frombuffer(b"".join(words), np.uint8), running(np.array([len(w) for w in words], np.int64)))
+
+    def ranks_of(self, flat: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The same for words that lie one after the other in ``flat``, each between two of ``places``."""
+        starts, lengths = places[:-1], np.diff(places)
         keys = np.asarray(self.keys)
-        rank, state = np.zeros(len(words), np.int64), np.full(len(words), len(self.final) - 1)
+        rank, state = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.final) - 1)
         alive = np.flatnonzero((lengths > 0) & (len(self.keys) > 0))
         rank[lengths == 0] = -1
         if not len(self.keys):
-            return np.full(len(words), -1)
+            return np.full(len(starts), -1)
         for step in range(int(lengths.max(initial=0))):
             alive = alive[lengths[alive] > step]
             if not len(alive):
@@ -431,34 +534,47 @@ class Lexicon:
 # --- Spark --------------------------------------------------------------------------------
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], encoding: Encoding, splitter: Splitter) -> Iterator[pa.Array]:
+    """The words of the texts, BLOCK code points of them or a little more at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for text in batch.column(0):
+            for part in encoding.parts(text.as_py())[::2]:
+                for piece in splitter.pieces(part):
+                    held.append(piece)
+                    size += len(piece)
+                    if size >= BLOCK:
+                        yield splitter.cut(held)[0]
+                        held, size = [], 0
+    if held:
+        yield splitter.cut(held)[0]
+
+
 def word_counts(docs: DataFrame, encoding: Encoding) -> DataFrame:
     """(word, n) over all texts, for words of at most LONGEST bytes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, fields, firsts = encoding.splitter(), Counter(), Counter()
-
-        def emptied() -> pa.RecordBatch:
-            counts = Counter()
-            for space, found in (("", firsts), (" ", fields)):
-                for field, n in found.items():
-                    if space and field.isascii() and field.isalpha():
-                        counts[" " + field] += n
-                        continue
-                    for word in splitter.words(space + field):
-                        counts[word] += n
-                found.clear()
-            words = [w for w in counts if len(w) <= LONGEST and (w.isascii() or len(w.encode()) <= LONGEST)]
-            return pa.record_batch({"word": pa.array(words, pa.string()), "n": pa.array([counts[w] for w in words], pa.int64())})
-
-        for batch in batches:
-            for text in batch.column(0):
-                for part in encoding.parts(text.as_py())[::2]:
-                    for first, others in splitter.blocks(part):
-                        firsts[first] += 1
-                        fields.update(others)
-                if len(fields) + len(firsts) > COUNTED:
-                    yield emptied()
-        yield emptied()
+        splitter, held, size = encoding.splitter(), [], 0
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+
+        def emptied() -> Iterator[pa.RecordBatch]:
+            for batch in summed().to_batches():
+                yield pa.record_batch({"word": batch.column("word").cast(pa.string()), "n": batch.column("n_sum")})
+
+        for words in _blocks(batches, encoding, splitter):
+            found = pc.value_counts(words.filter(pc.less_equal(pc.binary_length(words), LONGEST)))
+            held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+            size += len(found)
+            if size > 2 * COUNTED:
+                held = [summed().rename_columns({"n_sum": "n"})]
+                size = held[0].num_rows
+                if size > COUNTED:
+                    yield from emptied()
+                    held, size = [], 0
+        if held:
+            yield from emptied()
 
     partial = docs.select(text_of().alias("text")).mapInArrow(count, "word string, n long")
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
@@ -485,8 +601,8 @@ def fit_lexicon(docs: DataFrame, encoding: Encoding, size: int = SIZE) -> Lexico
     """The lexicon of the most frequent words; no more than these, ``size`` at most, reach the driver."""
 
     def make() -> Callable[[pa.Array], pa.Array]:
-        merge = encoding.vocabulary.merge
-        return lambda words: pa.array([packed(merge(w.encode())) for w in words.to_pylist()], pa.binary())
+        merge_all = encoding.vocabulary.merge_all
+        return lambda words: pa.array(merge_all([w.encode() for w in words.to_pylist()]), pa.binary())
 
     with own_scratch(docs.sparkSession):
         top = frequent_words(cut_lineage(word_counts(docs, encoding), "words"), size)
@@ -512,75 +628,86 @@ class Encoder:
 
     def __init__(self, encoding: Encoding, lexicon: Lexicon):
         self.encoding, self.lexicon, self.splitter = encoding, lexicon, encoding.splitter()
-        #: The packed ids of fields, with the space before them: of late, and from before that.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def look_up(self, words: list[str]) -> list[bytes]:
-        """The packed ids of words: from the lexicon, or merged."""
-        raw = [w.encode() for w in words]
-        ranks = self.lexicon.ranks(raw)
-        outside = np.flatnonzero(ranks < 0).tolist()
-        found = self.lexicon.packed_all(ranks)
-        merged = self.encoding.vocabulary.merge_all([raw[i] for i in outside])
-        for i, ids in zip(outside, merged, strict=True):
-            found[i] = ids
-        return found
-
-    def of_fields(self, fields: list[str]) -> list[bytes]:
-        words = [self.splitter.words(field) for field in fields]
-        distinct = list(set(chain.from_iterable(words)))
-        found = dict(zip(distinct, self.look_up(distinct), strict=True))
-        return [found[own[0]] if len(own) == 1 else b"".join(map(found.__getitem__, own)) for own in words]
-
-    def learn(self, fields: set[str]) -> None:
-        """Makes ``known`` hold all ``fields``."""
-        if len(self.known) > KEPT:
-            self.older, self.known = self.known, {}
-        fields.difference_update(self.known)
-        older = self.older
-        again = [field for field in fields if field in older]
-        self.known.update((field, older[field]) for field in again)
-        fields.difference_update(again)
-        fresh = fields
-        # a space and letters are one word
-        plain = [field for field in fresh if field.isascii() and field.isalpha()]
-        self.known.update(zip(plain, self.look_up([" " + field for field in plain]), strict=True))
-        others = list(fresh.difference(plain))
-        self.known.update(zip(others, self.of_fields([" " + field for field in others]), strict=True))
+        #: The words seen last, their ids one after the other, and where each word's begin.
+        self.known, self.ids, self.places = pa.array([], pa.large_binary()), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct words one after the other, how many each has): remembered, from the lexicon, or merged."""
+        at = pc.fill_null(pc.index_in(words, self.known), -1).to_numpy()
+        fresh = np.flatnonzero(at < 0)
+        unknown = words.take(fresh)
+        flat, places = _raw(unknown)
+        ranks = self.lexicon.ranks_of(flat, places)
+        outside = np.flatnonzero(ranks < 0)
+        merged = self.encoding.vocabulary.merge_all(unknown.take(outside).to_pylist())
+        lengths = [np.diff(self.places), np.diff(self.lexicon.places), np.array([len(ids) // 4 for ids in merged], np.int64)]
+        # the three sources as one: each word's place among them
+        place = at.astype(np.int64)
+        place[fresh] = len(self.known) + ranks
+        place[fresh[outside]] = len(lengths[0]) + len(lengths[1]) + np.arange(len(outside))
+        whole = np.concatenate([self.ids, self.lexicon.ids, np.frombuffer(b"".join(merged), "<i4")])
+        lengths = np.concatenate(lengths)
+        ids, sizes = gather(whole, running(lengths)[place], lengths[place]), lengths[place]
+        self._remember(words, ids, sizes, at[at >= 0])
+        return ids, sizes
+
+    def _remember(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray, met: np.ndarray) -> None:
+        """Keeps these words, but no long ones, then those longest unmet go first."""
+        rest = np.ones(len(self.known), bool)
+        rest[met] = False
+        own = np.flatnonzero(np.diff(_raw(words)[1]) <= LONGEST)[:KEPT]
+        rest = np.flatnonzero(rest)[: KEPT - len(own)]
+        lengths = np.diff(self.places)
+        self.known = pa.concat_arrays([words.take(own), self.known.take(rest)])
+        self.ids = np.concatenate(
+            [gather(ids, running(sizes)[own], sizes[own]), gather(self.ids, self.places[rest], lengths[rest])]
+        )
+        self.places = running(np.concatenate([sizes[own], lengths[rest]]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         added = self.encoding.vocabulary.added
         found: list[list[bytes]] = [[] for _ in texts]
-        held: list[tuple[int, str, list[str]]] = []
+        #: Pieces of texts that wait, and where their ids go.
+        held: list[tuple[int, int, str]] = []
         size = 0
 
         def release() -> None:
-            nonlocal size
-            self.learn(set().union(*(others for _, _, others in held)))
-            firsts = self.of_fields([first for _, first, _ in held])
-            for (row, _, others), first in zip(held, firsts, strict=True):
-                found[row].append(first)
-                found[row].extend(map(self.known.__getitem__, others))
-            held.clear()
-            size = 0
+            words, counts = self.splitter.cut([piece for _, _, piece in held])
+            coded = words.dictionary_encode()
+            ids, sizes = self.look_up(coded.dictionary)
+            codes = coded.indices.to_numpy()
+            lengths = sizes[codes]
+            whole = gather(ids, running(sizes)[codes], lengths).astype("<u4", copy=False).tobytes()
+            edges = (4 * running(lengths)[running(counts)]).tolist()
+            for (row, place, _), a, b in zip(held, edges, edges[1:], strict=False):
+                found[row][place] = whole[a:b]
 
         for row, text in enumerate(texts):
             for i, part in enumerate(self.encoding.parts(text)):
                 if i % 2:
-                    release()
                     found[row].append(packed([added[part]]))
                     continue
-                for first, others in self.splitter.blocks(part):
-                    held.append((row, first, others))
-                    size += len(others)
-                    if size > FIELDS:
+                for piece in self.splitter.pieces(part):
+                    held.append((row, len(found[row]), piece))
+                    found[row].append(b"")
+                    size += len(piece)
+                    if size >= BLOCK:
                         release()
-        release()
+                        held, size = [], 0
+        if held:
+            release()
         return [b"".join(parts) for parts in found]
 
 
+def _raw(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, places in them between which the words lie one after the other)."""
+    _, places, flat = words.buffers()
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    return np.frombuffer(flat or b"", np.uint8), np.frombuffer(places, np.int64)[words.offset :][: len(words) + 1]
+
+
 def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -633,7 +760,7 @@ def _encoder(encoding: Encoding, name: str) -> Callable[[pa.Array], pa.Array]:
 def _decoder(encoding: Encoding) -> Callable[[pa.Array], pa.Array]:
     """A task's function from packed ids to texts."""
     own = encoding.vocabulary
-    return lambda packed: pa.array([own.decode(np.frombuffer(x, "<u4").tolist()) for x in packed.to_pylist()], pa.string())
+    return lambda packed: pa.array([own.decode(np.frombuffer(x, "<u4")) for x in packed.to_pylist()], pa.string())
 
 
 def _texts(docs: DataFrame, id_column: str) -> DataFrame:

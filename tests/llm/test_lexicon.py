@@ -208,3 +208,53 @@ def test_ids_of_many_words(tmp_path):
     assert mapped.packed_all(ranks) == [lexicon.packed(ids) for ids in ([8, 9, 10], [], [5], [6, 7], [])]
     none = lexicon.Lexicon.compile({})
     assert none.packed_all(none.ranks([b"a"])) == [b""]
+
+
+def test_blocks_of_texts_are_cut_without_python_per_word(monkeypatch):
+    """Words come from arrays; only code points of which the libraries may differ are cut field by field."""
+    texts = [t for t in [*TEXTS, *random_texts(100, 10)] if t.isascii() or lexicon.AGREED.fullmatch(t)]
+    monkeypatch.setattr(lexicon.Splitter, "words", lambda *_: pytest.fail("a field was cut on its own"))
+    encoder = lexicon.Encoder(ENCODING, lexicon.Lexicon.compile({b" the": ENCODING.vocabulary.merge(b" the")}))
+    for text, raw in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == expected(text)
+
+
+@pytest.mark.parametrize("letters", ["'strevmld S ", "' \n\ta1.'s", "'lé \x1c\xa0½-", "'s 🙂日 \u0915\u1680x"])
+def test_words_of_many_texts_at_once(letters):
+    rng = random.Random(len(letters))
+    texts = ["".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(3000)]
+    splitter = ENCODING.splitter()
+    words, counts = splitter.cut(texts)
+    found = iter([w.decode() for w in words.to_pylist()])
+    for text, count in zip(texts, counts.tolist(), strict=True):
+        assert [next(found) for _ in range(count)] == splitter._by_library(text)
+
+
+@pytest.mark.parametrize("kept", [0, 1, 40, 10_000])
+def test_remembered_words_keep_their_ids(monkeypatch, kept):
+    monkeypatch.setattr(lexicon, "KEPT", kept)
+    monkeypatch.setattr(lexicon, "BLOCK", 200)
+    monkeypatch.setattr(lexicon, "FIELDS", 3)
+    encoder = lexicon.Encoder(ENCODING, lexicon.Lexicon.compile({}))
+    texts = [*TEXTS, *random_texts(80, 11)] * 2
+    for text, raw in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == expected(text)
+    assert len(encoder.known) <= kept and len(encoder.places) == len(encoder.known) + 1
+
+
+def test_long_texts_decode_in_blocks(monkeypatch):
+    monkeypatch.setattr(lexicon, "TOKENS", 3)
+    for text in TEXTS:
+        assert ENCODING.vocabulary.decode(expected(text)) == text
+
+
+@pytest.mark.parametrize("counted", [1, 20, 1 << 17])
+def test_counts_handed_on_in_parts(spark, docs, monkeypatch, counted):
+    monkeypatch.setattr(lexicon, "COUNTED", counted)
+    monkeypatch.setattr(lexicon, "BLOCK", 50)
+    texts = [*TEXTS, *random_texts(40, 12)]
+    wanted = {}
+    for word in (w for t in texts for w in words_of(t)):
+        if len(word.encode()) <= lexicon.LONGEST:
+            wanted[word] = wanted.get(word, 0) + 1
+    assert {r.word: r.n for r in lexicon.word_counts(docs([*texts, None]).coalesce(1), ENCODING).collect()} == wanted
