@@ -1,11 +1,16 @@
 """Joint training: gradient, losses and scores against plain forms, and against separate fits."""
 
+import glob
+import pickle
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from modloom.operators import heads, joint, losses
+from modloom.sources import storage
 
 SCHEMA = "uid string, text string, label int, label_name string, severity int, has_targets boolean, targets array<float>"
 NAMES = ["neither", "offensive", "hate", "threat"]
@@ -103,3 +108,47 @@ def test_rows_without_answers_teach_nothing(spark, rows):
     found = joint.train(joint.with_buckets(bare, 64), 64)
     assert set(found.losses.values()) == {0.0} and not found.weights.any() and found.jobs == 1
     assert joint.train(rows.limit(0), 64).losses == dict.fromkeys(joint.HEADS, 0.0)
+
+
+def test_entries_are_distinct_buckets_of_each_row():
+    found = joint.entries_of(pa.array([[3, 1, 3], [], None, [0, 63, 0, 0]], pa.list_(pa.int32())), 64)
+    assert found.rows.tolist() == [0, 3] and found.starts.tolist() == [0, 2]
+    assert found.bucket.tolist() == [1, 3, 0, 63] and found.count.tolist() == [1, 2, 3, 1]
+    assert found.value == pytest.approx([1 / np.sqrt(3), 1, 1, 0.5])
+    none = joint.entries_of(pa.array([[], None], pa.list_(pa.int32())), 64)
+    weights = np.arange(joint.WIDTH * 65.0).reshape(joint.WIDTH, 65)
+    assert np.array_equal(joint.logits_of(none, weights), np.tile(weights[:, -1:], 2))
+
+
+def test_training_packs_rows_once(rows, monkeypatch):
+    """Steps read blocks of entries, not the words of the rows again."""
+    made, packed = [], joint.packed
+
+    def counted(*given):
+        made.append(packed(*given))
+        return made[-1]
+
+    monkeypatch.setattr(joint, "packed", counted)
+    found = joint.train(rows, 64, max_jobs=4)
+    assert len(made) == 1 and found.jobs == 4
+    blocks = [pickle.loads(r.block) for r in made[0].collect()]
+    answers = [label for _, label, _, _ in blocks]
+    assert sum(map(len, answers)) == rows.count()
+    assert max(map(len, answers)) <= joint.ROWS
+    want = rows.agg(F.sum(F.size(F.array_distinct("buckets")))).first()[0]
+    assert sum(len(entries[3]) for entries, *_ in blocks) == want < rows.agg(F.sum(F.size("buckets"))).first()[0]
+
+
+def test_training_leaves_no_blocks(spark, rows):
+    with storage.own_scratch(spark) as outer:
+        joint.train(rows, 64, max_jobs=2)
+        assert not outer.paths
+    left = glob.glob(f"{storage.shared_folder(spark).removeprefix('file://')}/modloom/blocks-*")
+    assert not left
+
+
+def test_rows_of_a_block_teach_the_same_heads(rows):
+    blocks = [pickle.loads(r.block) for r in joint.packed(rows, 64).collect()]
+    for _, *answers in blocks:
+        taught = joint._taught(*answers)
+        assert (taught == taught[:, :1]).all()
