@@ -70,10 +70,6 @@ def score_batches(
     return df.mapInPandas(score, schema)
 
 
-# Rows that the heads are fitted on at most, an exact sample of the training split.
-MAX_FIT_ROWS = 20_000
-
-
 def features(
     df: DataFrame, size: int = 1 << 16, fit_on: str = "split = 'train'"
 ) -> tuple[PipelineModel, DataFrame]:
@@ -111,17 +107,18 @@ def heads_with_choice(df: DataFrame) -> set[str]:
 
 
 def train_heads(
-    df: DataFrame, max_iter: int = 10, parallelism: int = 4, max_fit_rows: int = MAX_FIT_ROWS
+    df: DataFrame, max_iter: int = 10, parallelism: int = 4, max_fit_rows: int | None = None
 ) -> dict[str, LogisticRegressionModel]:
     """One linear classifier per head on the column ``features``; heads are fitted side by side.
 
-    ``df`` is the training split, of which at most ``max_fit_rows`` rows are read, an exact
-    sample. The class head weighs rows by the inverse root class size of the resampled first
+    ``df`` is the training split; all its rows are read, unless the caller asks for an exact sample
+    of ``max_fit_rows``. The class head weighs rows by the inverse root class size of the resampled first
     epoch. A head without rows, or with a single answer, gets no model.
     """
     # Four rows, one per class.
     weights = F.broadcast(class_weights(epoch_resample(df, 0)).select("label_name", "weight"))
-    df = sample_rows(df, max_fit_rows)
+    if max_fit_rows is not None:
+        df = sample_rows(df, max_fit_rows)
 
     def fit(name: str) -> LogisticRegressionModel:
         mask, answer = head_masks()[name]

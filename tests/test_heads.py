@@ -3,7 +3,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from modloom.domains import IGNORE_ID, TARGET_COLUMNS
 from modloom.operators import heads as M
+from modloom.plans import registry
+from modloom.sources import storage
 
 
 def test_mean_pool(spark):
@@ -82,3 +85,40 @@ def test_fit_reads_a_bounded_sample(corpus):
     _, data = M.features(corpus, 1 << 8)
     models = M.train_heads(data.filter("split = 'train'"), max_iter=2, max_fit_rows=60)
     assert set(models) <= {"class", "severity", "target_race"} and "class" in models
+
+
+def test_fit_reads_all_rows_unless_asked(corpus, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("the heads were fitted on a sample")
+
+    monkeypatch.setattr(M, "sample_rows", refused)
+    _, data = M.features(corpus, 1 << 8)
+    models = M.train_heads(data.filter("split = 'train'"), max_iter=2)
+    assert set(models) == {"class", "severity", "target_race"}
+
+
+def test_query_learns_from_every_training_row(spark, monkeypatch):
+    """More rows than the former sample of 20,000: the query counts, and fits on, all of them."""
+    label = F.when(F.col("id") % 3 == 0, 1).otherwise(0)
+    columns = {name: F.lit(False) if i else F.col("id") % 2 == 0 for i, name in enumerate(TARGET_COLUMNS)}
+    rows = (
+        spark.range(0, 24_000, 1, 4)
+        .withColumns(columns | {"label": label, "severity": F.lit(IGNORE_ID)})
+        .withColumns(
+            {
+                "uid": F.concat(F.lit("u"), "id"),
+                "split": F.when(F.col("id") % 12 == 0, "val").otherwise("train"),
+                "label_name": F.when(F.col("label") == 1, "offensive").otherwise("neither"),
+                "text": F.concat(F.lit("word"), F.col("id") % 6),
+            }
+        )
+    )
+    monkeypatch.setattr(registry, "stored_graded", lambda *_: rows)
+    read, fit = [], M.LogisticRegression.fit
+    monkeypatch.setattr(
+        M.LogisticRegression, "fit", lambda self, data: read.append(data.count()) or fit(self, data)
+    )
+    with storage.own_scratch(spark):
+        got = {r.head: (r.n_train, r.n_val) for r in registry.train_heads(spark, "").collect()}
+    assert got == {"class": (22_000, 2_000), "target_race": (22_000, 2_000)}
+    assert read == [22_000, 22_000]
