@@ -138,7 +138,10 @@ def train_heads(
             probabilityCol=f"{name}_probability",
             predictionCol=f"{name}_prediction",
         )
-        return learner.fit(data.select("features", "answer", "weight"))
+        model = learner.fit(data.select("features", "answer", "weight"))
+        # The summary holds the session, which no task can take along once it has observed a frame.
+        model._java_obj.setSummary(data.sparkSession._jvm.scala.Option.empty())
+        return model
 
     usable = heads_with_choice(df)
     names = [name for name in head_masks() if name in usable]

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from modloom.domains import IGNORE_ID, TARGET_COLUMNS
@@ -122,3 +123,12 @@ def test_query_learns_from_every_training_row(spark, monkeypatch):
         got = {r.head: (r.n_train, r.n_val) for r in registry.train_heads(spark, "").collect()}
     assert got == {"class": (22_000, 2_000), "target_race": (22_000, 2_000)}
     assert read == [22_000, 22_000]
+
+
+def test_models_score_in_a_session_that_observed_a_frame(spark, corpus):
+    seen = Observation()
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 5}
+    _, data = M.features(corpus, 1 << 8)
+    models = M.train_heads(data.filter("split = 'train'"), max_iter=2)
+    assert M.head_accuracy(data, models).count() == 3
